@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajecta.llm import near_dedup
+from trajecta.llm.near_dedup import op6_minhash_near_dedup
 from trajecta.llm.packing import op7_best_fit_packing
 from trajecta.llm.token_binary import op2_token_binary
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_binary, op7_best_fit_packing]
+    found = [op2_token_binary, op6_minhash_near_dedup, op7_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_minhash_near_dedup": near_dedup.ORACLE_SQL}
