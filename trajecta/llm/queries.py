@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import near_dedup
+from trajecta.llm import licenses, near_dedup
+from trajecta.llm.licenses import op1_license_scans
 from trajecta.llm.near_dedup import op6_minhash_near_dedup
 from trajecta.llm.packing import op7_best_fit_packing
+from trajecta.llm.sharding import op4_sharding
 from trajecta.llm.token_binary import op2_token_binary
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_binary, op6_minhash_near_dedup, op7_best_fit_packing]
+    found = [op1_license_scans, op2_token_binary, op4_sharding, op6_minhash_near_dedup, op7_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op1_license_scans": licenses.oracle(), "op6_minhash_near_dedup": near_dedup.ORACLE_SQL}
