@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trajecta.llm import licenses, near_dedup
+from trajecta.llm.decontamination import op5_decontamination
+from trajecta.llm.language_id import op3_language_id
 from trajecta.llm.licenses import op1_license_scans
 from trajecta.llm.near_dedup import op6_minhash_near_dedup
 from trajecta.llm.packing import op7_best_fit_packing
 from trajecta.llm.sharding import op4_sharding
 from trajecta.llm.token_binary import op2_token_binary
+from trajecta.llm.token_counts import op9_token_counts
+from trajecta.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scans, op2_token_binary, op4_sharding, op6_minhash_near_dedup, op7_best_fit_packing]
+    found = [
+        op1_license_scans, op2_token_binary, op3_language_id, op4_sharding, op5_decontamination,
+        op6_minhash_near_dedup, op7_best_fit_packing, op8_toxicity, op9_token_counts,
+    ]
     return {f.__name__: f for f in found}
 
 
