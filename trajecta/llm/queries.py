@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trajecta.llm import licenses, near_dedup
+from trajecta.llm.ann import op10_ann
 from trajecta.llm.decontamination import op5_decontamination
 from trajecta.llm.language_id import op3_language_id
 from trajecta.llm.licenses import op1_license_scans
@@ -21,7 +22,7 @@ from trajecta.llm.toxicity import op8_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scans, op2_token_binary, op3_language_id, op4_sharding, op5_decontamination,
-        op6_minhash_near_dedup, op7_best_fit_packing, op8_toxicity, op9_token_counts,
+        op6_minhash_near_dedup, op7_best_fit_packing, op8_toxicity, op9_token_counts, op10_ann,
     ]
     return {f.__name__: f for f in found}
 
