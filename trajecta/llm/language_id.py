@@ -226,7 +226,7 @@ def train(labelled: DataFrame, per_lang: int = 500, max_chars: int = 6000) -> Mo
     return calibrate(fit_models(fit), {k: [t for i, t in enumerate(v) if len(v) < 5 or i % 5 == 0] for k, v in drawn.items()})
 
 
-def identify(docs: DataFrame, model: Model | None, tolerance: float = 8.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, tolerance: float = 8.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, lang_pred, score, cross_entropy, rejected.
 
     lang_pred is the language of the lowest length-normalised cross-entropy (the first by name
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model | None, tolerance: float = 8.0) -> Da
     the share of the best language in exp(-cross-entropy * 20), 0 for `und`. rejected marks
     `und` and texts whose cross-entropy lies over `tolerance` calibrated deviations above the
     language's mean; a deviation combines the spread between texts and the sampling error of a
-    text of that length. Null doc_ids, repeated rows and very long texts are scored row by
+    text of that length. Columns in `carry` are passed through. Null doc_ids, repeated rows and very long texts are scored row by
     row; other columns are not read; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
@@ -255,9 +255,12 @@ def identify(docs: DataFrame, model: Model | None, tolerance: float = 8.0) -> Da
                 best_h[own] = low
                 limit = m.mean[best] + tolerance * np.sqrt(m.spread[best] ** 2 + m.per_char[best] / np.maximum(size, 1)) + 0.05
                 rejected[own] = low > limit
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": lang, "score": score, "cross_entropy": best_h, "rejected": rejected})
+            out = {"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": lang, "score": score, "cross_entropy": best_h, "rejected": rejected}
+            yield pd.DataFrame(out | {c: batch[c] for c in carry})
 
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean" + kinds
+    return docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInPandas(predict, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,20 +128,23 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     return nn_pu_fit(positive, unlabelled, prior)
 
 
-def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, score (0 to 1), predicted (1 from the threshold on).
 
     Null and empty texts get the score of a text without features. Repeated rows and null
-    doc_ids are scored row by row; other columns are not read; an empty table gives no rows.
+    doc_ids are scored row by row; columns in `carry` are passed through and others not read;
+    an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: max_features weights
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             s = np.array([held.value.score(t if isinstance(t, str) else None) for t in batch["text"]], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": s, "predicted": (s >= threshold).astype(np.int32)})
+            out = {"doc_id": batch["doc_id"].astype("Int64"), "score": s, "predicted": (s >= threshold).astype(np.int32)}
+            yield pd.DataFrame(out | {c: batch[c] for c in carry})
 
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, score double, predicted int")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInPandas(predict, "doc_id long, score double, predicted int" + kinds)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
