@@ -20,9 +20,15 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _ORACLE[name] = sql
 
 
+def _load() -> None:
+    from trajecta.plans import trajectories  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
