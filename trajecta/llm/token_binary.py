@@ -22,7 +22,7 @@ _MAX_SYMBOLS = 65_535
 
 
 def repair_compress(
-    ids: np.ndarray, doc_sizes: np.ndarray, max_rounds: int = 10, min_count: int = 8, min_gain: float = 0.01
+    ids: np.ndarray, doc_sizes: np.ndarray, max_rounds: int = 6, min_count: int = 8, min_gain: float = 0.01
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard: (alphabet, rules[n, 2], rule lengths, sequence, symbols of each document).
 

@@ -12,7 +12,7 @@ _TWO_SPACES = re.compile(r"\s\s")
 _ENCODERS: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
-def encoder(path: str, cache_pieces: int = 600_000) -> "PieceEncoder":
+def encoder(path: str, cache_pieces: int = 300_000) -> "PieceEncoder":
     """One encoder a worker process, so tasks that follow one another share its cache."""
     key = (path, cache_pieces)
     if key not in _ENCODERS:
@@ -53,11 +53,15 @@ class PieceEncoder:
         self.flat = np.zeros(4096, dtype=np.uint32)
         self.used = 0
 
-    def _pieces(self, text: str) -> list[str]:
-        if not self.by_pieces or _TWO_SPACES.search(text) or any(s in text for s in self.specials):
-            return [text]
+    def _keys(self, text: str) -> list[str]:
+        """Keys of a text's pieces: w for " w", a line end and w for itself, NUL and w for w without a space."""
+        if not self.by_pieces or "\0" in text or _TWO_SPACES.search(text) or any(s in text for s in self.specials):
+            return ["\0" + text]
         words = text.replace("\n", " \n").split(" ")
-        return [words[0], *[w if w[:1] == "\n" else " " + w for w in words[1:]]] if words[0] else [" " + w if w[:1] != "\n" else w for w in words[1:]]
+        if words[0]:
+            words[0] = "\0" + words[0]
+            return words
+        return words[1:]
 
     def _put(self, pieces: list[str], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
         slot, end = len(self.slots), self.used + len(ids)
@@ -71,29 +75,28 @@ class PieceEncoder:
         self.used = end
         self.slots.update(zip(pieces, range(slot, slot + len(pieces)), strict=True))
 
-    def _add(self, pieces: list[str]) -> None:
+    def _add(self, keys: list[str]) -> None:
         """Encode new pieces: many in one text with line ends between them, odd ones alone."""
-        simple = []
-        if self.line is not None and self.by_pieces:
-            for p in pieces:
-                body = p[1:] if p[0] in " \n" else p
-                if len(p) < 1000 and body.split() == [body] and not any(s in p for s in self.specials):
-                    simple.append(p)
+        simple, odd = [], []
+        together = self.line is not None and self.by_pieces
+        for key in keys:
+            body = key[1:] if key[:1] in ("\0", "\n") else key
+            plain = together and len(key) < 1000 and body.split() == [body] and not any(s in key for s in self.specials)
+            (simple if plain else odd).append(key)
         for at in range(0, len(simple), 5_000):
             part = simple[at : at + 5_000]
-            text = "\n" + "\n".join(p.lstrip("\n") for p in part)
+            text = "\n" + "\n".join(k[1:] if k[0] in "\0\n" else " " + k for k in part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             cuts = np.flatnonzero(ids == self.line)
             if len(cuts) != len(part):
                 raise RuntimeError("pieces do not stand apart in this tokenizer")
-            own_line = np.fromiter((p[0] == "\n" for p in part), dtype=np.int64, count=len(part))
+            own_line = np.fromiter((k[0] == "\n" for k in part), dtype=np.int64, count=len(part))
             begins = cuts + 1 - own_line
             self._put(part, ids, begins, np.append(cuts[1:], len(ids)) - begins)
-        done = set(simple)
-        for piece in pieces:
-            if piece not in done:
-                ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=np.uint32)
-                self._put([piece], ids, np.zeros(1, dtype=np.int64), np.array([len(ids)]))
+        for key in odd:
+            text = key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            self._put([key], ids, np.zeros(1, dtype=np.int64), np.array([len(ids)]))
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; null counts as empty."""
@@ -102,11 +105,10 @@ class PieceEncoder:
         pieces: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            own = self._pieces(text) if text else []
+            own = self._keys(text) if text else []
             pieces += own
             counts[i] = len(own)
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.slots]
-        self._add(missing)
+        self._add(list(set(pieces).difference(self.slots)))
         slots = np.fromiter(map(self.slots.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         sizes = self.sizes[slots]
         ends = np.cumsum(sizes)
@@ -118,7 +120,7 @@ class PieceEncoder:
         return [ids[doc_ends[i] : doc_ends[i + 1]] for i in range(len(texts))]
 
 
-def text_batches(texts: list[str | None], max_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def text_batches(texts: list[str | None], max_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about max_chars characters, one text at least."""
     start = chars = 0
     for i, t in enumerate(texts):
