@@ -201,13 +201,19 @@ def spanning_links(names: list, classes: np.ndarray, sets: list[np.ndarray], per
 def compare_buckets(members: DataFrame, sets: DataFrame, percent: int, block: int = 192) -> DataFrame:
     """Links (a, b) between different classes among members(bucket, node, class).
 
-    A bucket is cut into blocks of about `block` members; every two of its blocks meet in one
-    group of at most two blocks, so a group is bounded however large the bucket is.
+    In a bucket, members of its largest class are only compared with the others. Both kinds
+    are cut into blocks of about `block` members; every block of others meets itself and each
+    block of either kind in a group of at most two blocks, so a group is bounded however large
+    the bucket is.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("own", own)
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    of_class = members.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("k"))
+    sizes = of_class.groupBy("bucket").agg(F.sum("k").alias("m"), F.max(F.struct("k", "class")).alias("top"))
+    minor, major = (F.ceil(n / block).cast("int") for n in (F.col("m") - F.col("top.k"), F.col("top.k")))
+    sizes = sizes.select("bucket", F.col("top.class").alias("top"), minor.alias("minor"), major.alias("major")).where("minor > 0")
+    turn, others = F.xxhash64("node"), F.col("class") != F.col("top")
+    own = F.when(others, F.pmod(turn, F.col("minor"))).otherwise(F.col("minor") + F.pmod(turn, F.col("major"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(others, F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1)
+    met = members.join(sizes, "bucket").select("bucket", "node", "class", own.alias("own"), F.explode(meets).alias("other"))
     met = met.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "class")
     full = met.join(sets, "node")
 
