@@ -69,7 +69,8 @@ def _cell(c: str, size: float) -> Column:
 
 def _brute_block(source: DataFrame, target: DataFrame, by: list[str], sid: str, tid: str, salt: int) -> DataFrame:
     """Nearest of each source row over target rows dealt to `salt` parts a group, part by part in numpy."""
-    parts = target.withColumn("_part", F.pmod(F.xxhash64(tid), F.lit(salt)).cast("int"))
+    # new names for the columns, as both sides may stem from one table
+    parts = target.select(*[F.col(c).alias(c) for c in target.columns]).withColumn("_part", F.pmod(F.xxhash64(tid), F.lit(salt)).cast("int"))
     asked = source.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

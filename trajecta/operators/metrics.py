@@ -98,7 +98,7 @@ def cloud_metrics(pred_to_gt: DataFrame, gt_to_pred: DataFrame, by: list[str], t
     b = gt_to_pred.groupBy(*by).agg(F.avg("distance").alias("completeness"), *[share(f"recall{n}", t) for n, t in names])
     out = a.join(b, by).withColumn("chamfer", (F.col("accuracy") + F.col("completeness")) / 2)
     for n, _ in names:
-        p, q = F.col(f"precision{n}"), F.col(f"recall{n}")
+        p, q = F.col(f"`precision{n}`"), F.col(f"`recall{n}`")
         out = out.withColumn(f"f1{n}", F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0))
     return out
 

@@ -72,4 +72,4 @@ POINTS = "pts AS (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x,
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, without a negative zero."""
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])

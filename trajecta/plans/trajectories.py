@@ -189,11 +189,10 @@ def se3_roundtrips(spark, d):
     m = F.col("gt")
     unit = compose(invert_rigid(m), m)
     full = compose(invert_affine(m), m)
-    q = quaternion(m)
-    back = rotation_of(q, r(m, 0, 3), r(m, 1, 3), r(m, 2, 3))
-    code = pose_encoding(m, F.lit(500.0), F.lit(480.0), F.lit(640.0), F.lit(480.0))
-    again, k = decode_pose_encoding(code, F.lit(640.0), F.lit(480.0))
-    worst = lambda a, b: F.greatest(*[F.abs(a[i] - b[i]) for i in range(12)])
+    p = p.withColumn("q", quaternion(m)).withColumn("code", pose_encoding(m, F.lit(500.0), F.lit(480.0), F.lit(640.0), F.lit(480.0)))
+    back = rotation_of(F.col("q"), r(m, 0, 3), r(m, 1, 3), r(m, 2, 3))
+    again, k = decode_pose_encoding(F.col("code"), F.lit(640.0), F.lit(480.0))
+    worst = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
     eye = F.array(*[F.lit(1.0 if i in (0, 5, 10) else 0.0) for i in range(12)])
     out = p.select("scene", worst(unit, eye).alias("rigid"), worst(full, eye).alias("full"), worst(back, m).alias("quaternion"), worst(again, m).alias("encoding"), F.abs(k.fx - 500.0).alias("focal"), finite_pose(m).alias("fine"))
     return rounded(out.groupBy("scene").agg(*[F.max(c).alias(c) for c in ("rigid", "full", "quaternion", "encoding", "focal")], F.bool_and("fine").alias("fine")))
