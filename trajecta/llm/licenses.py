@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,19 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+def anchor_words(known: dict[str, list[str]], share: float) -> list[str]:
+    """Words of which a unit holds one at least if it holds `share` of the bigrams of any template.
+
+    Of each template, the bigrams of the longest words, one more than may be missing, and of
+    each of these its longer word.
+    """
+    out: set[str] = set()
+    for grams in known.values():
+        by_length = sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))
+        out.update(by_length[: len(grams) - math.ceil(share * len(grams) - 1e-9) + 1])
+    return sorted(out)
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """Licences in docs(doc_id, text): doc_id, license_id, dice, n_units, whole_text.
 
@@ -73,7 +87,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     as word gaps. For a unit of b distinct word bigrams and a template of t, Dice is
     2 * common / (b + t); it can reach the threshold only for t between
     b * threshold / (2 - threshold) and b * (2 - threshold) / threshold, so other templates are
-    pruned before any intersection. A unit gives its best template (the first by name on
+    pruned before any intersection. By the same bound a unit must hold a share
+    threshold / (2 - threshold) of a template's bigrams, so one of any larger remainder of
+    them: units without a word of such a remainder are pruned before bigrams are made. A unit gives its best template (the first by name on
     ties). Returned is a row for each document and licence: the highest Dice, the number of
     units, and whether the whole text is one. Null texts and units under two words match
     nothing; rows that repeat a doc_id count together; an empty table gives no rows.
@@ -85,12 +101,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         raise ValueError("every template needs two words")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = low * min(map(len, known.values())), high * max(map(len, known.values()))
-    lines = F.split("text", "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(lines)
+    words = F.transform(F.split(F.lower("text"), "\n"), lambda line: F.split(line, r"[^\p{L}\p{N}]+"))
     # posexplode: unit 0 is the whole text
-    exploded = docs.select("doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", F.posexplode(units).alias("unit", "line"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " ")), " ")
-    sized = exploded.where(F.length("line") >= 3).select("doc_id", "unit", words.alias("w")).where(F.size("w") - 1 >= least)
+    units = F.when(F.size("w") > 1, F.concat(F.array(F.flatten("w")), F.col("w"))).otherwise(F.col("w"))
+    exploded = docs.where(F.col("text").isNotNull()).select("doc_id", words.alias("w")).select("doc_id", F.posexplode(units).alias("unit", "w"))
+    anchors = F.array(*[F.lit(x) for x in anchor_words(known, low)])
+    sized = exploded.where(F.arrays_overlap("w", anchors)).select("doc_id", "unit", F.array_remove("w", "").alias("w")).where(F.size("w") - 1 >= least)
     grams = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     grams = sized.select("doc_id", "unit", grams.alias("g")).where((F.size("g") >= least) & (F.size("g") <= most))
     scores = []
