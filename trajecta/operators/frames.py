@@ -101,7 +101,7 @@ def flow_keyframes(rows: DataFrame, by: list[str], scale_frames: int, threshold:
     The state of the fold is the gap and the flow gathered since the last keyframe, so it runs
     inside one sorted array of a sequence as an SQL aggregate; no Python.
     """
-    seq = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "flow"))).alias("s"))
+    seq = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "flow"))).alias("_seq"))
     empty = F.expr("cast(array() as array<struct<frame_idx:int,is_key:boolean>>)")
     start = F.struct(F.lit(0).alias("gap"), F.lit(0.0).cast("double").alias("moved"), empty.alias("out"))
 
@@ -113,5 +113,5 @@ def flow_keyframes(rows: DataFrame, by: list[str], scale_frames: int, threshold:
             F.concat(acc["out"], F.array(F.struct(x["frame_idx"].cast("int").alias("frame_idx"), key.alias("is_key")))).alias("out"),
         )
 
-    folded = seq.select(*by, F.aggregate("s", start, step, lambda acc: acc["out"]).alias("o"))
-    return folded.select(*by, F.explode("o").alias("o")).select(*by, "o.frame_idx", "o.is_key")
+    folded = seq.select(*by, F.aggregate("_seq", start, step, lambda acc: acc["out"]).alias("_o"))
+    return folded.select(*by, F.explode("_o").alias("_o")).select(*by, "_o.frame_idx", "_o.is_key")

@@ -258,13 +258,13 @@ register("w9_flow_keyframes", flow_keys)
 def smoothed(spark, d):
     f = fr.moving_average(frames(spark, d).select("scene", "frame_idx", "x"), ["scene"], "frame_idx", "x", 3, "mean3")
     f = fr.moving_average(f, ["scene"], "frame_idx", "x", 30, "mean30")
-    return rounded(f.select("scene", "frame_idx", "mean3", "mean30"))
+    return rounded(f.select("scene", "frame_idx", "mean3", "mean30"), 8)
 
 
 register(
     "w5_a36_moving_averages", smoothed,
-    f"WITH {FRAMES} SELECT scene, frame_idx, round(avg(x) OVER (PARTITION BY scene ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS mean3, "
-    "round(avg(x) OVER (PARTITION BY scene ORDER BY frame_idx ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING), 6) AS mean30 FROM fr",
+    f"WITH {FRAMES} SELECT scene, frame_idx, round(avg(x) OVER (PARTITION BY scene ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 8) AS mean3, "
+    "round(avg(x) OVER (PARTITION BY scene ORDER BY frame_idx ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING), 8) AS mean30 FROM fr",
 )
 
 

@@ -132,7 +132,7 @@ def write_trajectory(poses: DataFrame, path: str) -> None:
 
 def write_intrinsics(rows: DataFrame, path: str) -> None:
     """K2: as K1, but missing values are written as nan."""
-    k = [F.coalesce(F.format_string("%.10f", F.col(c)), F.lit("nan")) for c in ("fx", "fy", "cx", "cy")]
+    k = [F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.10f", F.col(c))) for c in ("fx", "fy", "cx", "cy")]
     _write_lines(rows, F.concat_ws(" ", F.col("frame_idx").cast("string"), *k, F.col("width").cast("string"), F.col("height").cast("string")), path)
 
 
