@@ -36,10 +36,10 @@ def planar_pose(yaw: Column, tx: Column, ty: Column) -> Column:
 
 def compose(a: Column, b: Column) -> Column:
     """A after B: the product of two poses."""
-    return let({"a": a, "b": b}, lambda s: _compose(s["a"], s["b"]))
+    return let({"a": a, "b": b}, lambda s: compose_parts(s["a"], s["b"]))
 
 
-def _compose(a: Column, b: Column) -> Column:
+def compose_parts(a: Column, b: Column) -> Column:
     cells = []
     for i in range(3):
         for j in range(4):
@@ -114,10 +114,10 @@ def homogeneous(m16: Column, x: Column, y: Column, z: Column) -> tuple[Column, C
 
 def quaternion(m: Column) -> Column:
     """Rotation to (x, y, z, w), taking the largest of trace and diagonal first; w >= 0."""
-    return let({"m": m}, lambda s: _quaternion(s["m"]))
+    return let({"m": m}, lambda s: quaternion_parts(s["m"]))
 
 
-def _quaternion(m: Column) -> Column:
+def quaternion_parts(m: Column) -> Column:
     a, b, c = r(m, 0, 0), r(m, 1, 1), r(m, 2, 2)
     trace = a + b + c
     yz, zx, xy = r(m, 2, 1) - r(m, 1, 2), r(m, 0, 2) - r(m, 2, 0), r(m, 1, 0) - r(m, 0, 1)
@@ -162,24 +162,30 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def rotation_error(a: Column, b: Column) -> Column:
     """degrees between two rotations by their quaternions."""
-    return let({"p": quaternion(a), "q": quaternion(b)}, lambda s: _quaternion_angle(s["p"], s["q"]))
+    return let({"p": quaternion(a), "q": quaternion(b)}, lambda s: quaternion_angle(s["p"], s["q"]))
 
 
-def _quaternion_angle(p: Column, q: Column) -> Column:
+def quaternion_angle(p: Column, q: Column) -> Column:
     dot = p.x * q.x + p.y * q.y + p.z * q.z + p.w * q.w
     return F.degrees(F.acos(clamp(1 - 2 * F.greatest(1 - dot * dot, lit(1e-15)), -1, 1)))
 
 
+def trace_angle(a: Column, b: Column) -> Column:
+    """F6 without quaternions: their squared product is a quarter of one plus the trace of the relative rotation."""
+    trace = sum((r(a, i, j) * r(b, i, j) for i in range(3) for j in range(3)), lit(0))
+    return F.degrees(F.acos(clamp(1 - 2 * F.greatest(1 - (1 + trace) / 4, lit(1e-15)), -1, 1)))
+
+
 def direction_error(a: Column, b: Column) -> Column:
     """degrees between two translations, a direction and its opposite counting the same; 1e6 rad where one is zero."""
-    return let({"a": a, "b": b}, lambda s: _direction_angle(s["a"], s["b"]))
+    return let({"a": a, "b": b}, lambda s: direction_angle(s["a"], s["b"]))
 
 
-def _direction_angle(a: Column, b: Column) -> Column:
+def direction_angle(a: Column, b: Column) -> Column:
     na, nb = (F.sqrt(r(m, 0, 3) ** 2 + r(m, 1, 3) ** 2 + r(m, 2, 3) ** 2) for m in (a, b))
     dot = (r(a, 0, 3) * r(b, 0, 3) + r(a, 1, 3) * r(b, 1, 3) + r(a, 2, 3) * r(b, 2, 3)) / F.nullif(na * nb, lit(0))
     angle = F.degrees(F.acos(F.sqrt(clamp(1 - F.greatest(1 - dot * dot, lit(1e-15)), 0, 1))))
-    return let({"x": angle}, lambda s: F.coalesce(F.least(s["x"], F.abs(180 - s["x"])), F.degrees(lit(1e6))))
+    return F.coalesce(F.least(angle, F.abs(180 - angle)), F.degrees(lit(1e6)))
 
 
 def unproject(u: Column, v: Column, depth: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> tuple[Column, Column, Column]:

@@ -7,9 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.functions.geometry import compose_parts, direction_angle, invert_affine, trace_angle
+from trajecta.operators.joins import ordered_pairs
+
 THRESHOLDS = (3, 5, 15, 30)
 
 
+def pose_pair_errors(poses: DataFrame, by: list[str]) -> DataFrame:
+    """(by, i, j, r_err, t_err) of all pairs i < j, poses gt and pred.
+
+    Inverses are taken once a frame, before the join. What follows is staged in projections of
+    plain expressions, each intermediate a column, so that all of it runs in generated code.
+    """
+    inv = poses.select(*by, "frame_idx", "gt", "pred", invert_affine(F.col("gt")).alias("gi"), invert_affine(F.col("pred")).alias("pi"))
+    pairs = ordered_pairs(inv, by, "frame_idx", ["gt", "pred", "gi", "pi"])
+    keys = [*by, F.col("a_frame_idx").alias("i"), F.col("b_frame_idx").alias("j")]
+    rel = pairs.select(*keys, compose_parts(F.col("a_gi"), F.col("b_gt")).alias("g"), compose_parts(F.col("a_pi"), F.col("b_pred")).alias("p"))
+    return rel.select(*by, "i", "j", trace_angle(F.col("g"), F.col("p")).alias("r_err"), direction_angle(F.col("g"), F.col("p")).alias("t_err"))
+
+
 def auc(error: Column, threshold: int) -> Column:
     """A4: percent of the area under the cumulative histogram of integer bins; an error equal to the threshold is in the last bin.
 

@@ -134,13 +134,13 @@ register("a31_visibility_by_cone", cones)
 
 def shrunk(spark, d):
     z = zbuffer(spark, d).select("frame", "u", "v", "depth")
-    return rounded(cl.shrink(z, ["frame"], 4, "depth"), 3)
+    return rounded(cl.shrink(z, ["frame"], 4, "depth"), 2)
 
 
 register(
     "a32_downsample", shrunk,
     f"WITH {_Z}, w AS (SELECT frame, CAST(u // 4 AS INTEGER) AS u, CAST(v // 4 AS INTEGER) AS v, round(depth, 4) AS depth, (1 - abs(u % 4 - 1.5) / 4) * (1 - abs(v % 4 - 1.5) / 4) AS w FROM zb) "
-    "SELECT frame, u, v, round(sum(w * depth) FILTER (depth <> 0) / sum(w) FILTER (depth <> 0), 3) AS depth, bool_or(depth <> 0) AS \"any\" FROM w GROUP BY 1, 2, 3",
+    "SELECT frame, u, v, round(sum(w * depth) FILTER (depth <> 0) / sum(w) FILTER (depth <> 0), 2) AS depth, bool_or(depth <> 0) AS \"any\" FROM w GROUP BY 1, 2, 3",
 )
 
 

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions.geometry import (
-    compose, decode_pose_encoding, direction_error, finite_pose, invert_affine, invert_rigid, octile, pose_encoding, quaternion, r, relative, rotation_error,
-    rotation_of, slerp,
+    compose, decode_pose_encoding, finite_pose, invert_affine, invert_rigid, octile, pose_encoding, quaternion, r, rotation_of, slerp,
 )
 from trajecta.operators import frames as fr
 from trajecta.operators.alignment import trajectory_errors
 from trajecta.operators.grids import path_length
 from trajecta.operators.joins import asof_nearest, consecutive, frame_map, ordered_pairs
-from trajecta.operators.metrics import THRESHOLDS, auc_by_frames, macro, pair_metrics, rank_metrics, long_metrics, mean_of_documents, umeyama_statistics
+from trajecta.operators.metrics import THRESHOLDS, auc_by_frames, macro, pair_metrics, pose_pair_errors, rank_metrics, long_metrics, mean_of_documents, umeyama_statistics
 from trajecta.plans.bindings import EVENTS, FRAMES, events, frames, poses, rounded, table
 from trajecta.plans.registry import register
 from trajecta.streaming.frames import bounded_replay, live_state, navigation_state, odometry
@@ -23,9 +22,7 @@ HOUR = 3_600_000_000
 
 def pair_errors(spark: SparkSession, d: str) -> DataFrame:
     """Errors of all pairs i < j of each scene, poses given as matrices."""
-    pairs = ordered_pairs(poses(spark, d), ["scene"], "frame_idx", ["gt", "pred"])
-    g, p = relative(F.col("a_gt"), F.col("b_gt")), relative(F.col("a_pred"), F.col("b_pred"))
-    return pairs.select("scene", F.col("a_frame_idx").alias("i"), F.col("b_frame_idx").alias("j"), rotation_error(g, p).alias("r_err"), direction_error(g, p).alias("t_err"))
+    return pose_pair_errors(poses(spark, d), ["scene"])
 
 
 # Planar poses have closed forms: the yaw difference of the relative poses, and their rotated translations.
