@@ -107,7 +107,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     exploded = docs.where(F.col("text").isNotNull()).select("doc_id", words.alias("w")).select("doc_id", F.posexplode(units).alias("unit", "w"))
     anchors = F.array(*[F.lit(x) for x in anchor_words(known, low)])
     sized = exploded.where(F.arrays_overlap("w", anchors)).select("doc_id", "unit", F.array_remove("w", "").alias("w")).where(F.size("w") - 1 >= least)
-    grams = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    n = F.greatest(F.size("w") - 1, F.lit(0))  # the optimizer may make bigrams before it drops short units
+    grams = F.array_distinct(F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
     grams = sized.select("doc_id", "unit", grams.alias("g")).where((F.size("g") >= least) & (F.size("g") <= most))
     scores = []
     for rank, (name, own) in enumerate(known.items()):

@@ -153,6 +153,11 @@ def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     return trees.join(own, "doc_id", "left").withColumn("edits", F.coalesce("edits", F.expr(f"cast(array() as {EDIT})")))
 
 
+def whole(x: float | None) -> int:
+    """A number that pandas may have made a float or NaN; null counts as 0."""
+    return 0 if x is None or x != x else int(x)
+
+
 def apply_edits(trees: DataFrame, tokenizer_path: str, keep_state: bool = False) -> DataFrame:
     """Apply `edits` to each tree of trees(doc_id, text, segment_chars, segment_tokens, edits).
 
@@ -173,7 +178,7 @@ def apply_edits(trees: DataFrame, tokenizer_path: str, keep_state: bool = False)
                 before = tree.total
                 for e in r.edits if r.edits is not None else []:
                     if e is not None:
-                        tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "", enc)
+                        tree.edit(whole(e["start"]), whole(e["length"]), e["replacement"] or "", enc)
                 row = [None if pd.isna(r.doc_id) else int(r.doc_id), before, tree.total, int(tree.chars[1]), tree.encoded_chars, len(r.segment_chars)]
                 if keep_state:
                     live = [i for i, x in enumerate(tree.leaves) if x]
