@@ -100,7 +100,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), 0
-        enc, end = encoder(tokenizer_path), np.array([end_id], dtype=np.uint32)
+        enc, end = encoder(tokenizer_path, cache_pieces=900_000), np.array([end_id], dtype=np.uint32)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             names = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
