@@ -176,6 +176,14 @@ def test_sharding(docs, rows, empty):
     assert assign_shards(empty, 8).count() == 0
 
 
+def test_sharding_brings_evenly_split_groups_together(spark):
+    texts = [f"pair {i // 2}" for i in range(400)] + [f"four {i // 4}" for i in range(200)] + [f"alone {i}" for i in range(400)]
+    got = assign_shards(table(spark, list(enumerate(texts))).repartition(5), 8).toPandas()
+    assert got.groupby("shard").size().tolist() == [125] * 8
+    spread = got[got.n_links > 0].groupby("text_crc32").agg(n=("shard", "size"), shards=("shard", "nunique"))
+    assert len(spread) == 250 and (spread[spread.n == 2].shards == 1).mean() > 0.97 and (spread[spread.n == 4].shards == 1).mean() > 0.95
+
+
 def test_licences(spark, empty):
     rows = [(1, TEMPLATES["MIT-text"].upper().replace(",", " ;")), (2, "a line of prose here\nReleased under the MIT License!\nmore"), (3, "no licence at all in this text"), (4, None), (5, ""), (None, TEMPLATES["GPL-3.0"]), (2, "again some more words of prose\nreleased under the mit license")]
     got = {(r.doc_id, r.license_id): r for r in scan_licenses(table(spark, rows)).collect()}

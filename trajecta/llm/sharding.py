@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def _shard_sizes(state: DataFrame, n_shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(n_shards)]
 
 
-def propagate(members: DataFrame, start: DataFrame, n_shards: int, rounds: int = 6, slack: float = 0.25, buckets: int = 1024) -> DataFrame:
+def propagate(members: DataFrame, start: DataFrame, n_shards: int, rounds: int | None = None, slack: float = 0.25, buckets: int = 1024) -> DataFrame:
     """Move rows towards the shards of the rows that they share groups with.
 
     members(row_id, group) are the links: rows of one group are neighbours; start(row_id,
@@ -26,28 +28,32 @@ def propagate(members: DataFrame, start: DataFrame, n_shards: int, rounds: int =
     the shard that holds most of its neighbours among those with room, and admits the wishes of
     the largest gain while the shard stays under its quota, (1 + slack) times the mean size.
     Admission goes by buckets of hashed rows under a running sum, so it needs one row a bucket.
+
+    A row's own shard is counted with the row itself, and between equal shards a hash of group
+    and shard decides (a shard without room loses), so all rows of a group go one way: two
+    halves never change places. Where every row is in one group, a round raises the sum of the
+    squared counts of groups by shard, so the default, rounds until no row moves, ends. Links
+    through several groups a row may go in circles: give `rounds` for these.
     """
     total = start.count()
     quota = int(total / n_shards * (1 + slack)) + 1
     state, owned = start, None
-    for k in range(rounds):
+    for k in itertools.count() if rounds is None else range(rounds):
         sizes = _shard_sizes(state, n_shards)
         room = [max(0, quota - s) for s in sizes]
         if not any(room):
             break
         placed = members.join(state, "row_id")
         tally = placed.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")).select("group", F.col("shard").alias("to"), "n")
-        own = F.sum(F.when(F.col("to") == F.col("shard"), F.col("n") - 1).otherwise(0))
-        options = placed.join(tally, "group").groupBy("row_id", "shard", "to").agg(F.sum("n").alias("n"), own.alias("here"))
-        open_to = (_by_number(F.col("to"), room) > 0) & (F.col("to") != F.col("shard"))
+        options = placed.join(tally, "group").groupBy("row_id", "shard", "to").agg(F.sum("n").alias("n"), F.min(F.xxhash64("group", "to")).alias("order"))
+        other = F.col("to") != F.col("shard")
         best = options.groupBy("row_id", "shard").agg(
-            F.sum("here").alias("here"), F.max(F.when(open_to, F.struct("n", (-F.col("to")).alias("lowest")))).alias("best")
+            F.max(F.when(~other, F.struct("n", "order"))).alias("own"), F.max(F.when(other & (_by_number(F.col("to"), room) > 0), F.struct("n", "order", "to"))).alias("best")
         )
-        gain = F.col("best.n") - F.col("here")
-        # the lower of two equal shards attracts, else two halves of a group would change places for ever
-        pull = (gain > 0) | ((gain == 0) & (-F.col("best.lowest") < F.col("shard")))
-        wish = best.where(F.col("best").isNotNull() & pull).select(
-            "row_id", (-F.col("best.lowest")).cast("int").alias("to"),
+        gain = F.col("best.n") - F.col("own.n")
+        tie = (gain == 0) & ((F.col("best.order") > F.col("own.order")) | (_by_number(F.col("shard"), room) == 0))
+        wish = best.where(F.col("best").isNotNull() & ((gain > 0) | tie)).select(
+            "row_id", F.col("best.to").alias("to"),
             (F.floor(F.log2(gain + 1)) * -buckets + F.pmod(F.xxhash64("row_id", F.lit(k)), F.lit(buckets))).cast("long").alias("turn"),
         )
         wish = materialize(wish, "wishes")
@@ -66,7 +72,7 @@ def propagate(members: DataFrame, start: DataFrame, n_shards: int, rounds: int =
     return state
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, rounds: int = 6) -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int = 8, rounds: int | None = None) -> DataFrame:
     """Put docs(doc_id, text) into shards whose row counts differ by one at most, keeping equal texts together.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('rows'), shard, slot (gapless
