@@ -51,10 +51,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold a benchmark item go."""
-    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Operator 5: documents that hold a benchmark item go, row by row: null and repeated doc_ids decide nothing."""
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS), "keyed")
+    found = find_contamination(keyed.select(F.col("row_id").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    gone = materialize(found.select(F.col("doc_id").alias("row_id")).distinct(), "contaminated")
+    return keyed.join(gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -318,3 +318,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[3] == [i for i in seen[2] if i != 304]
     assert sorted(set(seen[4])) == seen[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_decontaminate_stage_goes_by_rows(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog while seven other foxes sleep in the barn"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "so " + item), (None, "a clean text"), (5, item + " end"), (5, "another clean text"), (6, None)]
+    got = corpus_pipeline.decontaminate(spark, table(spark, rows), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "a clean text"), (5, "another clean text"), (6, "")]
