@@ -1,6 +1,7 @@
 """Operators on small tables: brute force, and nulls, empty and long texts, repeated rows, empty tables, clashing names."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from trajecta.llm.ann import nearest
 from trajecta.llm.common import connected_components, dense_rank_slots, shared_path
 from trajecta.llm.decontamination import find_contamination
 from trajecta.llm.language_id import identify, train as train_languages
-from trajecta.llm.licenses import TEMPLATES, scan_licenses
+from trajecta.llm.licenses import FULL_TEXTS, TEMPLATES, scan_licenses
 from trajecta.llm.near_dedup import near_duplicates
 from trajecta.llm.packing import pack_documents
 from trajecta.llm.sharding import assign_shards
@@ -192,6 +193,20 @@ def test_licences(spark, empty):
     assert scan_licenses(empty).count() == 0
 
 
+def test_licences_in_runs_of_lines_and_words(spark):
+    rnd = random.Random(8)
+    around = lambda x: f"Notes on stones and rivers\n{prose(rnd, 400)}\n{x}\n{prose(rnd, 400)}"
+    wrapped = lambda x: "\n".join(textwrap.wrap(x, 70))
+    rows = [(1, around(wrapped(TEMPLATES["MIT-text"]))), (2, around("# " + wrapped(TEMPLATES["Apache-2.0-header"]).replace("\n", "\n# "))), (3, around("As was said. " + TEMPLATES["CC-BY-SA-4.0"] + " So it is.").replace("\n", " "))]
+    rows += [(4, around(FULL_TEXTS["BSD-2-Clause-full"])), (5, FULL_TEXTS["BSD-3-Clause-full"]), (6, "Copyright (c) 2020\n" + FULL_TEXTS["Apache-2.0-full"]), (7, around(wrapped(TEMPLATES["MIT-text"])[:400])), (None, around(wrapped(TEMPLATES["ISC-text"])))]
+    rows += [(8, around(wrapped(TEMPLATES["MIT-text"])) + "\n" + around(wrapped(TEMPLATES["ISC-text"])))]
+    got = {(r.doc_id, r.license_id): r for r in scan_licenses(table(spark, rows)).collect()}
+    want = {(1, "MIT-text"), (2, "Apache-2.0-header"), (3, "CC-BY-SA-4.0"), (4, "BSD-2-Clause-full"), (5, "BSD-3-Clause-full"), (6, "Apache-2.0-full"), (None, "ISC-text"), (8, "MIT-text"), (8, "ISC-text")}
+    named = {(2, "Apache-2.0"), (6, "Apache-2.0")}  # by the first line of the notice
+    assert set(got) == want | named and all(got[k].dice > 0.95 and got[k].n_units == 1 for k in want)
+    assert {k for k, r in got.items() if r.whole_text} == {(5, "BSD-3-Clause-full"), (6, "Apache-2.0-full")}
+
+
 def test_decontamination_in_blocks(spark, docs, empty):
     item = "glass bread storm water early night paper chair open door hill green walk cloud bright seven"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "nowhere to be found in any of these texts at all")], "item_id long, text string")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import read_table
+from trajecta.llm.common import materialize, read_table
 
 # Public licence texts and the short notices in common use.
 TEMPLATES: dict[str, str] = {
@@ -59,6 +60,8 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Whole licence texts, by the name of their file and "-full"; found as runs of words only.
+FULL_TEXTS: dict[str, str] = {f"{p.name}-full": p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").iterdir())}
 MAX_TEMPLATES = 256
 
 
@@ -80,6 +83,65 @@ def anchor_words(known: dict[str, list[str]], share: float) -> list[str]:
     return sorted(out)
 
 
+def scan_runs(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """Best run of words in docs(doc_id, text) for every document and template: doc_id, license_id, dice, whole_text.
+
+    A run starts and ends anywhere, so line breaks and text around a notice do not count. Only
+    rows whose whole text holds a share threshold / (2 - threshold) of a template's bigrams are
+    looked into. A run of n bigrams with c in the template reaches the threshold where
+    2 * c - threshold * n is threshold * t at least: for each end the best start within the
+    admissible size is a running minimum, and the best ends of every stretch are scored on
+    distinct bigrams. Of runs that share half of the shorter one, the one with more bigrams in
+    common stays, so a notice inside a longer one does not count.
+    """
+    known = {k: template_bigrams(v) for k, v in sorted(templates.items())}
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    strings = lambda own: F.split(F.lit("\n".join(own)), "\n")
+    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
+    bigrams = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    every = list(dict.fromkeys(g for own in known.values() for g in own))
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  keeps the optimizer from evaluating x in every expression that reads it
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", once(words).alias("w")).where(F.size("w") > 1).select("doc_id", once(bigrams("w")).alias("b"))
+    rows = rows.select("doc_id", "b", once(F.array_intersect(strings(every), F.col("b"))).alias("m"))
+    common = lambda own: F.size(F.array_intersect(strings(own), F.col("m")))
+    held = [
+        F.when(F.size("m") >= low * len(own), F.when(common(own) >= low * len(own), F.struct(F.lit(name).alias("license_id"), common(own).alias("c"))))
+        for name, own in known.items()
+    ]
+    rows = rows.where(F.size("m") >= low * min(map(len, known.values()))).select("doc_id", "b", once(F.array_compact(F.array(*held))).alias("held")).where(F.size("held") > 0)
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "b", "held"), "licence-rows")
+
+    spark = docs.sparkSession
+    facts = [(name, rank, len(own), int(high * len(own)) + len(re.findall(r"[^\W_]+", templates[name])) - len(own)) for rank, (name, own) in enumerate(known.items())]
+    facts = F.broadcast(spark.createDataFrame(facts, "license_id string, rank int, t int, longest int"))  # a row a template
+    grams = F.broadcast(spark.createDataFrame([(name, g) for name, own in known.items() for g in own], "license_id string, gram string"))  # bounded by the templates
+    wanted = rows.select("row_id", F.col("held.license_id").alias("names"), F.posexplode("b").alias("pos", "gram"))
+    hits = wanted.join(grams, "gram").where(F.array_contains("names", F.col("license_id"))).join(facts, "license_id").drop("names", "gram")
+    key = ["row_id", "license_id"]
+    hits = hits.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("pos")))
+    before = 2.0 * (F.col("k") - 1) - threshold * F.col("pos")
+    near = Window.partitionBy(*key).orderBy(F.col("pos") / F.col("longest")).rangeBetween(-1, 0)
+    ends = hits.withColumn("start", F.min(F.struct(before.alias("before"), "pos")).over(near))
+    ends = ends.withColumn("sum", 2.0 * F.col("k") - threshold * (F.col("pos") + 1) - F.col("start.before")).where(F.col("sum") >= threshold * F.col("t") - 1e-6)
+    stretch = F.floor(F.col("pos") / (F.floor(F.col("t") / 4) + 1))
+    best = ends.groupBy(*key, "rank", stretch.alias("stretch")).agg(F.max(F.struct("sum", F.col("start.pos").alias("a"), F.col("pos").alias("z"))).alias("best"))
+    runs = best.select(*key, "rank", "best.a", "best.z").join(rows.select("row_id", "b"), "row_id")
+    runs = runs.withColumn("g", F.array_distinct(F.slice("b", F.col("a") + 1, F.col("z") - F.col("a") + 1)))
+    own = F.coalesce(*[F.when(F.col("license_id") == name, strings(own)) for name, own in known.items()])
+    runs = runs.withColumn("own", own).withColumn("common", F.size(F.array_intersect("g", "own")))
+    runs = runs.withColumn("dice", F.lit(2.0) * F.col("common") / (F.size("g") + F.size("own"))).where(F.col("dice") >= threshold)
+    runs = materialize(runs.select(*key, "a", "z", F.struct("common", "dice", (-F.col("rank")).alias("order")).alias("worth"), "dice"), "licence-runs")
+    x, y = runs.alias("x"), runs.alias("y")
+    shared = F.least("x.z", "y.z") - F.greatest("x.a", "y.a") + 1
+    inside = (F.col("x.row_id") == F.col("y.row_id")) & (F.col("x.license_id") != F.col("y.license_id")) & (F.col("y.worth") > F.col("x.worth"))
+    inside = inside & (2 * shared >= F.least(F.col("x.z") - F.col("x.a"), F.col("y.z") - F.col("y.a")) + 1)
+    stay = x.join(y, inside, "left_anti").groupBy(*key).agg(F.max("dice").alias("dice"))
+    sizes = rows.select("row_id", "doc_id", F.size(F.array_distinct("b")).alias("n"), F.explode("held").alias("h")).select("row_id", "doc_id", "n", "h.*")
+    whole = 2.0 * F.col("c") / (F.col("n") + F.col("t")) >= threshold
+    found = stay.join(sizes, key).join(facts, "license_id").withColumn("whole_text", whole)
+    return found.groupBy("doc_id", "license_id").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"), F.max("whole_text").alias("whole_text"))
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """Licences in docs(doc_id, text): doc_id, license_id, dice, n_units, whole_text.
 
@@ -91,7 +153,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     threshold / (2 - threshold) of a template's bigrams, so one of any larger remainder of
     them: units without a word of such a remainder are pruned before bigrams are made. A unit gives its best template (the first by name on
     ties). Returned is a row for each document and licence: the highest Dice, the number of
-    units, and whether the whole text is one. Null texts and units under two words match
+    units, and whether the whole text is one. Licences that no unit of a document gives are looked
+    for in runs of words of any place and length (scan_runs), with whole licence texts among the
+    templates; n_units is then the number of rows that hold one. Null texts and units under two words match
     nothing; rows that repeat a doc_id count together; an empty table gives no rows.
     """
     known = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
@@ -118,9 +182,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         scores.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(-rank).alias("rank"), F.lit(name).alias("license_id"))))
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     found = grams.select("doc_id", "unit", best.alias("best")).where(F.col("best.dice") >= threshold)
-    return found.groupBy("doc_id", F.col("best.license_id").alias("license_id")).agg(
+    found = found.groupBy("doc_id", F.col("best.license_id").alias("license_id")).agg(
         F.max("best.dice").alias("dice"), F.count(F.lit(1)).alias("n_units"), F.max((F.col("unit") == 0)).alias("whole_text")
     )
+    found = materialize(found, "licence-units")
+    same = F.col("r.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("r.license_id") == F.col("u.license_id"))
+    runs = scan_runs(docs, templates or TEMPLATES | FULL_TEXTS, threshold)
+    return found.unionByName(runs.alias("r").join(found.alias("u"), same, "left_anti"))
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
