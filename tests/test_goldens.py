@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -12,10 +13,12 @@ from trajecta.functions import text as tx
 from trajecta.operators import frames as fr
 from trajecta.operators import grids as gr
 from trajecta.operators.alignment import align, align_robust, icp, orthogonalize, trajectory_errors
-from trajecta.operators.clouds import visible_by_count, z_buffer
-from trajecta.operators.joins import asof_nearest, nearest_point
-from trajecta.operators.metrics import align_depth, auc, accuracy_under, cloud_metrics, depth_metrics, lower_median, rank_metrics
-from trajecta.streaming.frames import EVENT_SCHEMA, bounded_replay, bounded_stream, navigation_state, odometry
+from trajecta.operators import flow as fl
+from trajecta.operators.clouds import visible_by_cone, visible_by_count, z_buffer
+from trajecta.operators.joins import asof_nearest, nearest_point, ordered_pairs
+from trajecta.operators.metrics import align_depth, auc, accuracy_under, cloud_metrics, depth_metrics, lower_median, pose_distances, pose_pair_errors, rank_metrics
+from trajecta.operators.ranks import order_metrics
+from trajecta.streaming.frames import EVENT_SCHEMA, bounded_replay, bounded_stream, current, navigation_state, odometry, snapshots
 
 
 def one(df):
@@ -169,22 +172,164 @@ def test_stream_equals_replay_and_keeps_bounded_state(spark, tmp_path):
     assert len(live) == 120 and max(r[5] for r in live) <= 5
 
 
-def test_flow_keyframes_match_a_loop(spark):
-    rnd = random.Random(9)
-    rows = [(k, i, rnd.random()) for k in range(3) for i in range(50)]
-    got = {(r.s, r.frame_idx): r.is_key for r in fr.flow_keyframes(spark.createDataFrame(rows, "s int, frame_idx int, flow double"), ["s"], 3, 1.2, 4).collect()}
+def test_short_sequences_come_out_too(spark, tmp_path):
+    rows = [("short", i, 0.1) for i in range(3)] + [("long", i, 0.1) for i in range(9)]
+    got = [tuple(r) for r in bounded_replay(spark.createDataFrame(rows, EVENT_SCHEMA), 5, 2, 1.0, 30).orderBy("seq", "frame_idx").collect()]
+    assert [r[:4] for r in got if r[0] == "short"] == [("short", i, "first", True) for i in range(3)]
+    assert [r[3] for r in got if r[0] == "long"] == [True] * 6 + [False] * 3  # the first streamed frame is a keyframe
+    spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{tmp_path}/in")
+    q = bounded_stream(events, 5, 2, 1.0, 30, idle_ms=1000).writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    until = time.time() + 60
+    while time.time() < until and spark.table("idle").count() < 12:
+        time.sleep(1)
+    q.stop()
+    assert sorted(map(tuple, spark.table("idle").collect())) == sorted(got)
+
+
+def flow_rows(spark, n_frames=40, seed=9):
+    rnd, rows = random.Random(seed), []
     for k in range(3):
-        gap, moved = 0, 0.0
-        for _, i, flow in (r for r in rows if r[0] == k):
-            gap, moved = gap + 1, moved + flow
-            key = i < 3 or moved > 1.2 or gap >= 4
-            assert got[k, i] == key
-            gap, moved = (0, 0.0) if key else (gap, moved)
+        yaw = x = 0.0
+        for i in range(n_frames - 7 * k):
+            yaw, x = yaw + rnd.uniform(-0.05, 0.05), x + rnd.uniform(0, 0.3)
+            c, s = math.cos(yaw), math.sin(yaw)
+            rows.append((k, i, [c, 0.0, s, x, 0.0, 1.0, 0.0, 0.1 * k, -s, 0.0, c, 0.2 * i], [0.0, 8.0, 16.0], [0.0, 8.0, 8.0], [3.0 + k, 0.0, 5.0]))
+    return rows, spark.createDataFrame(rows, "s int, frame_idx int, pose array<double>, u array<double>, v array<double>, depth array<double>")
+
+
+def test_flow_keyframes_and_windows_match_a_loop(spark):
+    camera, scale, most, gap, size, overlap = (40.0, 36.0, 16.0, 12.0), 3, 2.0, 4, 7, 4
+    rows, df = flow_rows(spark)
+    matrix = lambda m: np.vstack([np.array(m).reshape(3, 4), [0, 0, 0, 1]])
+
+    def mean_flow(cur, ref):
+        out = []
+        for u, v, z in zip(*cur[3:], strict=True):
+            if z > 1e-6:
+                p = np.linalg.inv(matrix(ref)) @ matrix(cur[2]) @ np.array([(u - 16) / 40 * z, (v - 12) / 36 * z, z, 1])
+                if p[2] > 1e-6:
+                    out.append(math.hypot(40 * p[0] / p[2] + 16 - u, 36 * p[1] / p[2] + 12 - v))
+        return sum(out) / len(out) if out else 0.0
+
+    def window(own, start, target):
+        out, keys, at = [], 0, start
+        while at < len(own) and (at - start < scale or keys < target):
+            flow = 0.0
+            if at - start < scale:
+                kind, pose, last = 0, own[at][2], at
+            else:
+                flow = mean_flow(own[at], pose)
+                kind = 1 if not keys or flow > most or at - last >= gap else 2
+                if kind == 1:
+                    pose, last, keys = own[at][2], at, keys + 1
+            out.append((at, kind, round(flow, 6)))
+            at += 1
+        return out, at
+
+    keys = [tuple(r) for r in fl.flow_keyframes(df, ["s"], camera, scale, most, gap).collect()]
+    wins = [tuple(r) for r in fl.flow_windows(df, ["s"], camera, size, scale, overlap, most, gap).collect()]
+    for k in range(3):
+        own = [r for r in rows if r[0] == k]
+        want, _ = window(own, 0, 10**9)
+        assert [(i, kind, round(f, 6)) for s, i, kind, f in keys if s == k] == want and {kind for _, kind, _ in want} == {0, 1, 2}
+        start, number, want = 0, 0, []
+        while True:
+            part, end = window(own, start, size - scale)
+            want += [(number, *r) for r in part]
+            if end >= len(own):
+                break
+            start, number = max(end - overlap, start + scale), number + 1
+        assert [(w, i, kind, round(f, 6)) for s, w, i, kind, f in wins if s == k] == want and number > 1
+
+
+def test_flow_matrix_and_pose_distances_match_numpy(spark):
+    rows, df = flow_rows(spark, 18)
+    poses = {(r[0], r[1]): np.vstack([np.array(r[2]).reshape(3, 4), [0, 0, 0, 1]]) for r in rows}
+
+    def log_length(rel, beta):
+        angle = math.acos(min(1, max(-1, (np.trace(rel[:3, :3]) - 1) / 2)))
+        w = np.array([rel[2, 1] - rel[1, 2], rel[0, 2] - rel[2, 0], rel[1, 0] - rel[0, 1]]) * (angle / (2 * math.sin(angle)) if angle > 1e-9 else 0.5)
+        k = np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])
+        v = np.eye(3) + sum(np.linalg.matrix_power(k, n) / math.factorial(n + 1) for n in range(1, 18))
+        return math.sqrt((np.linalg.solve(v, beta * rel[:3, 3]) ** 2).sum() + angle**2)
+
+    got = {(r.s, r.i, r.j): r.distance for r in pose_distances(df, ["s"]).collect()}
+    assert len(got) == sum(n * (n - 1) // 2 for n in (18, 11, 4))
+    for (s, i, j), value in got.items():
+        assert value == pytest.approx(log_length(np.linalg.inv(poses[s, i]) @ poses[s, j], 2.5), abs=1e-6)
+
+
+def test_pairs_by_blocks_are_all_pairs(spark):
+    df = spark.createDataFrame([(g, i, i * 1.5) for g, n in ((0, 23), (1, 1), (2, 8)) for i in range(n)], "g int, i int, x double")
+    for block in (4, 5, 256):
+        pairs = sorted((r.g, r.a_i, r.b_i, r.a_x, r.b_x) for r in ordered_pairs(df, ["g"], "i", ["x"], block=block).collect())
+        assert pairs == [(g, i, j, i * 1.5, j * 1.5) for g, n in ((0, 23), (1, 1), (2, 8)) for i in range(n) for j in range(i + 1, n)]
+        assert ordered_pairs(df, ["g"], "i", ["x"], loops=True, block=block).count() == 23**2 + 1 + 64
+
+
+def test_pair_errors_of_rigid_and_other_poses_match_numpy(spark):
+    rng, rows = np.random.default_rng(5), []
+    for s in range(2):  # the second scene's rotations carry a scale
+        for i in range(7):
+            q, p = (np.linalg.qr(rng.standard_normal((3, 3)))[0] for _ in range(2))
+            q, p = (m * np.sign(np.linalg.det(m)) * (1.0 if s == 0 else 1.0 + 1e-3 * i) for m in (q, p))
+            t = rng.standard_normal((2, 3)) if i != 3 else np.zeros((2, 3)) + (rows[-1][2][3::4] if s == 0 else 0)
+            rows.append((s, i, np.column_stack([q, t[0]]).ravel().tolist(), np.column_stack([p, t[1]]).ravel().tolist()))
+    df = spark.createDataFrame(rows, "s int, frame_idx int, gt array<double>, pred array<double>")
+    got = {(r.s, r.i, r.j): (r.r_err, r.t_err) for r in pose_pair_errors(df, ["s"]).collect()}
+    full = {(r[0], r[1]): [np.vstack([np.array(m).reshape(3, 4), [0, 0, 0, 1]]) for m in r[2:]] for r in rows}
+    assert len(got) == 42
+    for (s, i, j), (r_err, t_err) in got.items():
+        a, b = (np.linalg.inv(full[s, i][k]) @ full[s, j][k] for k in (0, 1))
+        if s == 0:
+            angle = math.degrees(math.acos(min(1, max(-1, (np.trace(a[:3, :3] @ b[:3, :3].T) - 1) / 2))))
+            assert r_err == pytest.approx(angle, abs=1e-4)
+        na, nb = np.linalg.norm(a[:3, 3]), np.linalg.norm(b[:3, 3])
+        cos = a[:3, 3] @ b[:3, 3] / ((na + 1e-15) * (nb + 1e-15)) if na > 1e-12 else 0.0
+        assert t_err == pytest.approx(math.degrees(math.acos(min(1, abs(cos)))), abs=1e-4)
+    assert got[0, 2, 3][1] == pytest.approx(90.0)  # no way between the two ground-truth positions
+
+
+def test_cone_visibility_counts_cosines_of_every_neighbour(spark):
+    # neighbours on the way to the camera in three quadrants, one behind in the fourth
+    rows = [(0, 0, 0, 2.0), (0, 1, 1, 1.0), (0, -1, -1, 9.0), (0, 1, -1, 1.0), (0, -1, 1, 1.0)]
+    df = spark.createDataFrame(rows, "frame int, u int, v int, depth double")
+    r = one(visible_by_cone(df, ["frame"], 1e6, 1e6, 0.0, 0.0, 1, 1.9).where("u = 0 and v = 0"))
+    assert r.cover == pytest.approx(2.0, abs=1e-3) and not r.visible
+    alone = one(visible_by_cone(df.limit(1), ["frame"], 1e6, 1e6, 0.0, 0.0, 1, 1.9))
+    assert alone.cover == -4.0 and alone.visible
+
+
+def test_metric_and_category_orders(spark):
+    names = ["AUC_30", "num_pairs", "AUC_3", "frames", "auc_15"]
+    got = order_metrics(spark.createDataFrame([(n,) for n in names], "name string"), "name").orderBy("place").collect()
+    assert [r.name for r in got] == ["AUC_3", "auc_15", "AUC_30", "frames", "num_pairs"]
 
 
 def test_odometry_and_navigation(spark):
     c = spark.createDataFrame([(1, 0, 1.0, 0.0), (1, 1, 2.0, 90.0), (1, 2, 0.0, 300.0)], "k int, i int, forward double, turn double")
-    r = one(odometry(c, ["k"], "i"))
-    assert (r.x, r.y, r.yaw, r.n) == (pytest.approx(1.0), pytest.approx(2.0), 30.0, 3)
+    got = [(r.i, r.x, r.y, r.yaw) for r in odometry(c, ["k"], "i").orderBy("i").collect()]
+    assert got == [(0, 1.0, 0.0, 0.0), (1, 1.0, 2.0, 90.0), (2, 1.0, 2.0, 30.0)]
     e = spark.createDataFrame([(1, i, x) for i, x in enumerate(["start", "goal", None, "start", "stop"])], "k int, i int, event string")
     assert [x.state for x in navigation_state(e, ["k"], "i").orderBy("i").collect()] == ["IDLE", "GOAL_SELECTED", "GOAL_SELECTED", "NAVIGATING", "STOP"]
+
+
+def test_line_cells_round_halves_away_from_the_start():
+    assert gr.line_cells((0, 0), (4, 2)) == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 2)]
+    assert gr.line_cells((4, 2), (0, 0)) == [(4, 2), (3, 1), (2, 1), (1, 0), (0, 0)]
+    assert gr.line_cells((1, 1), (0, -3)) == [(1, 1), (1, 0), (0, -1), (0, -2), (0, -3)] and gr.line_cells((2, 5), (2, 5)) == [(2, 5)]
+
+
+def test_snapshots_keep_the_latest_rows(spark, tmp_path):
+    schema = "k string, at long, x double"
+    for part in range(3):
+        spark.createDataFrame([("a", part, part * 1.0), (f"b{part}", part, 5.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    assert current(spark, f"{tmp_path}/out") is None
+    q = snapshots(events, f"{tmp_path}/out", f"{tmp_path}/c", ["k"], "at", 1)
+    until = time.time() + 60
+    while time.time() < until and ((now := current(spark, f"{tmp_path}/out")) is None or now.count() < 4):
+        time.sleep(1)
+    q.stop()
+    assert sorted(map(tuple, current(spark, f"{tmp_path}/out").collect())) == [("a", 2, 2.0), ("b0", 0, 5.0), ("b1", 1, 5.0), ("b2", 2, 5.0)]

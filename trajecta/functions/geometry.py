@@ -170,22 +170,38 @@ def quaternion_angle(p: Column, q: Column) -> Column:
     return F.degrees(F.acos(clamp(1 - 2 * F.greatest(1 - dot * dot, lit(1e-15)), -1, 1)))
 
 
-def trace_angle(a: Column, b: Column) -> Column:
-    """F6 without quaternions: their squared product is a quarter of one plus the trace of the relative rotation."""
-    trace = sum((r(a, i, j) * r(b, i, j) for i in range(3) for j in range(3)), lit(0))
+def angle_of_trace(trace: Column) -> Column:
+    """F6 for orthogonal rotations: the squared product of their quaternions is a quarter of one plus the trace of the relative rotation."""
     return F.degrees(F.acos(clamp(1 - 2 * F.greatest(1 - (1 + trace) / 4, lit(1e-15)), -1, 1)))
 
 
+def trace_angle(a: Column, b: Column) -> Column:
+    """F6 of two orthogonal rotations, by their trace."""
+    return angle_of_trace(sum((r(a, i, j) * r(b, i, j) for i in range(3) for j in range(3)), lit(0)))
+
+
+def is_rigid(m: Column, tolerance: float = 1e-9) -> Column:
+    """Whether the rotation of a pose is orthogonal with determinant one."""
+    off = [sum((r(m, i, k) * r(m, j, k) for k in range(3)), lit(-1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)]
+    return F.coalesce(F.greatest(*[F.abs(x) for x in off]) < tolerance, F.lit(False)) & (determinant(m) > 0)
+
+
 def direction_error(a: Column, b: Column) -> Column:
-    """degrees between two translations, a direction and its opposite counting the same; 1e6 rad where one is zero."""
+    """degrees between two translations, a direction and its opposite counting the same; 90 where one is zero, 1e6 rad where one is no number."""
     return let({"a": a, "b": b}, lambda s: direction_angle(s["a"], s["b"]))
 
 
 def direction_angle(a: Column, b: Column) -> Column:
     na, nb = (F.sqrt(r(m, 0, 3) ** 2 + r(m, 1, 3) ** 2 + r(m, 2, 3) ** 2) for m in (a, b))
-    dot = (r(a, 0, 3) * r(b, 0, 3) + r(a, 1, 3) * r(b, 1, 3) + r(a, 2, 3) * r(b, 2, 3)) / F.nullif(na * nb, lit(0))
-    angle = F.degrees(F.acos(F.sqrt(clamp(1 - F.greatest(1 - dot * dot, lit(1e-15)), 0, 1))))
-    return F.coalesce(F.least(angle, F.abs(180 - angle)), F.degrees(lit(1e6)))
+    return angle_of_products(r(a, 0, 3) * r(b, 0, 3) + r(a, 1, 3) * r(b, 1, 3) + r(a, 2, 3) * r(b, 2, 3), na, nb)
+
+
+def angle_of_products(dot: Column, na: Column, nb: Column) -> Column:
+    """F7 from the product of two vectors and their lengths."""
+    cos = dot / ((na + 1e-15) * (nb + 1e-15))
+    angle = F.degrees(F.acos(F.sqrt(clamp(1 - F.greatest(1 - cos * cos, lit(1e-15)), 0, 1))))
+    angle = F.when(F.isnan(cos) | cos.isNull(), F.degrees(lit(1e6))).otherwise(angle)
+    return F.least(angle, F.abs(180 - angle))
 
 
 def unproject(u: Column, v: Column, depth: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> tuple[Column, Column, Column]:
@@ -356,3 +372,15 @@ def induced_flow(u: Column, v: Column, depth: Column, m: Column, fx: Column, fy:
     x, y, z = transform_point(m, *unproject(u, v, depth, fx, fy, cx, cy))
     ahead = F.when(z > min_depth, z)
     return F.hypot(fx * x / ahead + cx - u, fy * y / ahead + cy - v)
+
+
+def scene_alignment(first_extrinsics: Column) -> Column:
+    """the transform that turns a scene to its first camera: inverse(E0), then y and z flipped, then half a turn about y."""
+    turn = pose(-1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 1, 0)  # flip(y, z) after the half turn
+    return compose(invert_affine(first_extrinsics), turn)
+
+
+def nearest_source(pixel: Column, size: Column | int, source_size: Column | int) -> Column:
+    """the source pixel of a pixel under a resize by the nearest neighbour."""
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.least(F.floor(pixel * as_col(source_size) / as_col(size)), as_col(source_size) - 1).cast("int")

@@ -53,9 +53,11 @@ def blank_border(depth: Column, u: Column, v: Column, width: Column, height: Col
 
 
 def voxel_mean(points: DataFrame, by: list[str], side: float, columns: list[str]) -> DataFrame:
-    """Mean of the columns in each cube of a side."""
-    cells = [F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in "xyz"]
-    return points.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
+    """Mean of the columns in each cube of a side; the grid starts half a side before the least coordinates of the group."""
+    low = points.groupBy(*by).agg(*[(F.min(c) - side / 2).alias(f"_low_{c}") for c in "xyz"])
+    placed = points.join(low, by) if by else points.crossJoin(low)  # one row
+    cells = [F.floor((F.col(c) - F.col(f"_low_{c}")) / side).cast("long").alias(f"c{c}") for c in "xyz"]
+    return placed.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
 def bounds_and_scale(points: DataFrame, by: list[str]) -> DataFrame:
@@ -108,7 +110,7 @@ def visible_by_count(depths: DataFrame, by: list[str], radius: int = 3, closer:
 
 
 def visible_by_cone(depths: DataFrame, by: list[str], fx: float, fy: float, cx: float, cy: float, radius: int = 3, threshold: float = 3.0) -> DataFrame:
-    """Per quadrant, the largest cosine between the ray back to the camera and the way to a closer neighbour; hidden if the four sum to the threshold.
+    """Per quadrant, the largest cosine between the ray back to the camera and the way to a neighbour of positive depth, -1 where there is none; hidden if the four sum to the threshold.
 
     An offset on an axis belongs to both quadrants beside it.
     """
@@ -119,10 +121,31 @@ def visible_by_cone(depths: DataFrame, by: list[str], fx: float, fy: float, cx:
     way = [b - a for a, b in zip(p, q, strict=True)]
     norm = lambda v: F.sqrt(v[0] ** 2 + v[1] ** 2 + v[2] ** 2)
     cos = -(way[0] * p[0] + way[1] * p[1] + way[2] * p[2]) / F.nullif(norm(way) * norm(p), F.lit(0.0))
-    cos = F.when(c("nd") < c("depth"), F.greatest(cos, F.lit(0.0)))
+    cos = F.when((c("nd") > 0) & (c("depth") > 0), cos)
     quadrants = [(c("du") >= 0) & (c("dv") >= 0), (c("du") >= 0) & (c("dv") <= 0), (c("du") <= 0) & (c("dv") >= 0), (c("du") <= 0) & (c("dv") <= 0)]
-    best = [F.coalesce(F.max(F.when(w, cos)), F.lit(0.0)) for w in quadrants]
-    return near.groupBy(*by, "u", "v", "depth").agg(reduce(lambda a, b: a + b, best).alias("cover")).withColumn("visible", c("cover") < threshold)
+    best = [F.greatest(F.coalesce(F.max(F.when(w, cos)), F.lit(-1.0)), F.lit(-1.0)) for w in quadrants]
+    out = near.groupBy(*by, "u", "v", "depth").agg(reduce(lambda a, b: a + b, best).alias("cover"))
+    return out.withColumn("visible", ~((c("depth") > 0) & (c("cover") >= threshold)))
+
+
+def camera_bounds(cameras: DataFrame, by: list[str]) -> DataFrame:
+    """Mean of the camera positions x, y, z, and the length of their extent: 1 for one camera, 0.1 at least."""
+    span = F.sqrt(reduce(lambda a, b: a + b, [(F.max(c) - F.min(c)) ** 2 for c in "xyz"]))
+    scale = F.when(F.count(F.lit(1)) > 1, F.greatest(span, F.lit(0.1))).otherwise(1.0)
+    return cameras.groupBy(*by).agg(*[F.avg(c).alias(f"centre_{c}") for c in "xyz"], scale.alias("scale"))
+
+
+def viewer_pixels(pixels: DataFrame, stride: int, sky: str = "sky") -> DataFrame:
+    """P10: every stride-th row and column, without sky; a missing mask is no sky."""
+    return pixels.where((F.col("u") % stride == 0) & (F.col("v") % stride == 0) & ~F.coalesce(sky, F.lit(False)))
+
+
+def base_point_size(pixels: DataFrame, cameras: DataFrame, by: list[str], default: float = 0.001) -> DataFrame:
+    """A tenth of mean depth over mean focal length, of each group's first frame with a positive finite depth and a camera(by, frame, fx, fy)."""
+    fine = pixels.where(is_finite(F.col("depth")) & (F.col("depth") > 0)).groupBy(*by, "frame").agg(F.avg("depth").alias("_depth")).join(cameras, [*by, "frame"])
+    first = fine.groupBy(*by).agg(F.min(F.struct("frame", (F.col("_depth") / ((F.col("fx") + F.col("fy")) / 2) * 0.1).alias("size"))).alias("m"))
+    out = pixels.select(*by).distinct().join(first, by, "left")
+    return out.select(*by, "m.frame", F.coalesce("m.size", F.lit(default)).alias("size"))
 
 
 def shrink(df: DataFrame, by: list[str], factor: int, value: str) -> DataFrame:

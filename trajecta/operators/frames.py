@@ -95,23 +95,36 @@ def window_anchor(rows: DataFrame, by: list[str]) -> DataFrame:
     return met.groupBy(*by, "window_id").agg(F.coalesce(F.max(F.when(both, F.col("frame_idx"))), F.min("frame_idx")).alias("anchor"), F.count_if(both).alias("n_keys"))
 
 
-def flow_keyframes(rows: DataFrame, by: list[str], scale_frames: int, threshold: float, max_gap: int) -> DataFrame:
-    """Flow since the last keyframe decides, or the gap; a fold over each sequence in frame order.
+def sample_between(df: DataFrame, by: list[str], index: str, n: int, start: int = 0, end: int | None = None) -> DataFrame:
+    """N frames at equal steps over [start, end), truncated; a frame may come twice, and end is the sequence's by default."""
+    upto = F.max(index).over(Window.partitionBy(*by)) + 1
+    upto = upto if end is None else F.least(upto, F.lit(end))
+    wanted = df.select(*by, upto.alias("_upto")).distinct().where(F.col("_upto") > start)
+    wanted = wanted.withColumn("sample_pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    place = start + F.floor(F.col("sample_pos") * (F.col("_upto") - 1 - start) / max(n - 1, 1))
+    return wanted.select(*by, place.cast("int").alias(index), "sample_pos").join(df, [*by, index])
 
-    The state of the fold is the gap and the flow gathered since the last keyframe, so it runs
-    inside one sorted array of a sequence as an SQL aggregate; no Python.
-    """
-    seq = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "flow"))).alias("_seq"))
-    empty = F.expr("cast(array() as array<struct<frame_idx:int,is_key:boolean>>)")
-    start = F.struct(F.lit(0).alias("gap"), F.lit(0.0).cast("double").alias("moved"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        moved, gap = acc["moved"] + x["flow"], acc["gap"] + 1
-        key = (x["frame_idx"] < scale_frames) | (moved > threshold) | (gap >= max_gap)
-        return F.struct(
-            F.when(key, F.lit(0)).otherwise(gap).alias("gap"), F.when(key, F.lit(0.0)).otherwise(moved).alias("moved"),
-            F.concat(acc["out"], F.array(F.struct(x["frame_idx"].cast("int").alias("frame_idx"), key.alias("is_key")))).alias("out"),
-        )
-
-    folded = seq.select(*by, F.aggregate("_seq", start, step, lambda acc: acc["out"]).alias("_o"))
-    return folded.select(*by, F.explode("_o").alias("_o")).select(*by, "_o.frame_idx", "_o.is_key")
+
+def listed_frames(files: DataFrame, by: list[str], name: str, extensions: tuple[str, ...], first_k: int | None = None, stride: int = 1) -> DataFrame:
+    """Files of the extensions in the order of their names, the first first_k of them, then every stride-th."""
+    kept = files.where(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*[e.lower().lstrip(".") for e in extensions]))
+    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(name)) - 1)
+    if first_k is not None:
+        numbered = numbered.where(F.col("_n") < first_k)
+    return numbered.where(F.col("_n") % stride == 0).withColumn("frame_idx", F.floor(F.col("_n") / stride).cast("int")).drop("_n")
+
+
+def video_interval(source_fps: Column, target_fps: float) -> Column:
+    """Keep every so many frames of a video; halves round to even."""
+    return F.greatest(F.bround(source_fps / target_fps, 0).cast("int"), F.lit(1))
+
+
+def latest_known(rows: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Of each column the last value that is not null, by the order."""
+    return rows.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def progress(rows: DataFrame, by: list[str], order: str, name: str = "progress") -> DataFrame:
+    """Place in the order as a share of the number of rows, 0 for the first."""
+    w = Window.partitionBy(*by)
+    return rows.withColumn(name, (F.row_number().over(w.orderBy(order)) - 1) / F.count(F.lit(1)).over(w))

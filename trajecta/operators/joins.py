@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.operators.lineage import cut
+
 
 def frame_map(poses: DataFrame, artifacts: DataFrame, keys: list[str]) -> DataFrame:
     """Ground-truth rows renumbered by each artifact's frame_index_map; without a map the numbers stay."""
@@ -45,13 +46,22 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, ri
     return near.select("_l.*", *[F.col(f"_p.{c}").alias(f"r_{c}") for c in right_cols])
 
 
-def ordered_pairs(rows: DataFrame, by: list[str], index: str, columns: list[str], loops: bool = False) -> DataFrame:
-    """J4 (i < j) and J5 (all i, j): pairs inside a group; columns come as a_ and b_."""
-    a = rows.select(*by, *[F.col(c).alias(f"a_{c}") for c in [index, *columns]])
-    b = rows.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(c).alias(f"b_{c}") for c in [index, *columns]])
-    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_{c}") for c in by])
-    cond = same if loops else same & (F.col(f"a_{index}") < F.col(f"b_{index}"))
-    return a.join(b, cond).drop(*[f"_{c}" for c in by])
+def ordered_pairs(rows: DataFrame, by: list[str], index: str, columns: list[str], loops: bool = False, block: int = 256) -> DataFrame:
+    """J4 (i < j) and J5 (all i, j): pairs inside a group; columns come as a_ and b_.
+
+    Frames go by blocks of `block` numbers. A row is sent once for each block that it meets, and
+    pairs come from an equality join on (group, block), so a group of n frames is spread over
+    n / block keys and no key holds more than block * n pairs.
+    """
+    blocked = rows.select(*by, F.floor(F.col(index) / block).cast("int").alias("_block"), index, *columns)
+    blocks = blocked.select(*by, "_block").distinct()
+    meets = blocks.join(blocks.select(*by, F.col("_block").alias("_to")), by)
+    if not loops:
+        meets = meets.where("_block <= _to")
+    a = blocked.join(meets, [*by, "_block"]).select(*by, "_to", *[F.col(c).alias(f"a_{c}") for c in [index, *columns]])
+    b = blocked.select(*by, F.col("_block").alias("_to"), *[F.col(c).alias(f"b_{c}") for c in [index, *columns]])
+    met = a.join(b, [*by, "_to"]).drop("_to")
+    return met if loops else met.where(F.col(f"a_{index}") < F.col(f"b_{index}"))
 
 
 def consecutive(rows: DataFrame, by: list[str], index: str, columns: list[str]) -> DataFrame:
@@ -67,11 +77,15 @@ def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size).cast("long")
 
 
-def _brute_block(source: DataFrame, target: DataFrame, by: list[str], sid: str, tid: str, salt: int) -> DataFrame:
-    """Nearest of each source row over target rows dealt to `salt` parts a group, part by part in numpy."""
+def _brute_block(source: DataFrame, target: DataFrame, by: list[str], sid: str, tid: str, part: int) -> DataFrame:
+    """Nearest of each source row over all target rows of its group, both dealt to parts of about `part` rows, part by part in numpy."""
+    n_parts = lambda df, name: df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias(name))
     # new names for the columns, as both sides may stem from one table
-    parts = target.select(*[F.col(c).alias(c) for c in target.columns]).withColumn("_part", F.pmod(F.xxhash64(tid), F.lit(salt)).cast("int"))
-    asked = source.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    spots = target.select(*[F.col(c).alias(c) for c in target.columns]).join(n_parts(source, "_ways"), by)
+    spots = spots.join(n_parts(target, "_parts"), by).withColumn("_part", F.pmod(F.xxhash64(tid), F.col("_parts")).cast("int"))
+    spots = spots.withColumn("_way", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))).drop("_ways", "_parts")
+    asked = source.join(n_parts(source, "_ways"), by).withColumn("_way", F.pmod(F.xxhash64(sid), F.col("_ways")).cast("int")).drop("_ways")
+    asked = asked.join(n_parts(target, "_parts"), by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = a[[*by, sid]].copy()
@@ -92,20 +106,21 @@ def _brute_block(source: DataFrame, target: DataFrame, by: list[str], sid: str,
         return out
 
     schema = ", ".join([*[f"`{c}` {source.schema[c].dataType.simpleString()}" for c in by], f"`{sid}` long, `{tid}` long, distance double"])
-    found = asked.groupBy(*by, "_part").cogroup(parts.groupBy(*by, "_part")).applyInPandas(nearest, schema)
+    found = asked.groupBy(*by, "_way", "_part").cogroup(spots.groupBy(*by, "_way", "_part")).applyInPandas(nearest, schema)
     return found.where("distance is not null and not isnan(distance)").groupBy(*by, sid).agg(F.min(F.struct("distance", tid)).alias("m")).select(*by, sid, f"m.{tid}", "m.distance")
 
 
 def nearest_point(
-    source: DataFrame, target: DataFrame, by: list[str], cell: float, rounds: int = 4, sid: str = "point_id", tid: str = "near_id", salt: int = 4
+    source: DataFrame, target: DataFrame, by: list[str], cell: float, rounds: int = 4, sid: str = "point_id", tid: str = "near_id", part: int = 20_000
 ) -> DataFrame:
     """Exact nearest target point (smallest id on ties) of every source point x, y, z of its group.
 
     Targets sit in cubes of side `cell`; a source point probes the 27 cubes around it by an
     equality join, and a neighbour within one side is final, for no closer point lies outside.
-    The others try again with sides doubled; what is left after `rounds` is compared with all
-    targets of its group, dealt to `salt` parts. Source points of a group without targets
-    are not in the result.
+    The others try again with sides doubled; the table of what is left is cut from its plan in
+    every round. What is left after `rounds` is compared with all targets of its group, both
+    dealt to parts of about `part` rows. Source points of a group without targets are not in
+    the result.
     """
     spots = target.select(*by, F.col(sid).alias(tid), "x", "y", "z")
     left, done = source.select(*by, sid, "x", "y", "z"), None
@@ -116,11 +131,14 @@ def nearest_point(
         cubes = spots.select("*", *[_cell(c, side).alias(f"_c{c}") for c in "xyz"])
         d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2)
         best = probe.join(cubes, [*by, "_cx", "_cy", "_cz"]).groupBy(*by, sid).agg(F.min(F.struct(d.alias("distance"), F.col(tid))).alias("m"))
-        found = best.where(F.col("m.distance") <= side).select(*by, sid, f"m.{tid}", "m.distance")
+        tried = cut(left.join(best, [*by, sid], "left"))
+        found = tried.where(F.col("m.distance") <= side).select(*by, sid, f"m.{tid}", "m.distance")
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(*by, sid), [*by, sid], "left_anti")
+        left = tried.where(F.col("m").isNull() | (F.col("m.distance") > side)).select(*by, sid, "x", "y", "z")
+        if left.isEmpty():
+            return done
         side *= 2
-    return done.unionByName(_brute_block(left, spots, by, sid, tid, salt))
+    return done.unionByName(_brute_block(left, spots, by, sid, tid, part))
 
 
 def within_radius(source: DataFrame, target: DataFrame, by: list[str], radius: float, sid: str = "point_id", tid: str = "near_id") -> DataFrame:

@@ -7,23 +7,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajecta.functions.geometry import compose_parts, direction_angle, invert_affine, trace_angle
+from trajecta.functions.geometry import angle_of_products, angle_of_trace, compose_parts, direction_error, invert_affine, is_rigid, quaternion, r, rotation_error
 from trajecta.operators.joins import ordered_pairs
 
 THRESHOLDS = (3, 5, 15, 30)
 
 
-def pose_pair_errors(poses: DataFrame, by: list[str]) -> DataFrame:
-    """(by, i, j, r_err, t_err) of all pairs i < j, poses gt and pred.
+def _rigid_pair_errors(poses: DataFrame, by: list[str]) -> DataFrame:
+    """Pair errors of frames whose rotations are orthogonal, from 15 numbers a frame.
 
-    Inverses are taken once a frame, before the join. What follows is staged in projections of
-    plain expressions, each intermediate a column, so that all of it runs in generated code.
+    With E = R_gt R_pred^T of a frame, the trace of the relative rotations' difference is the sum
+    of the products of E_i and E_j, and the product of the relative translations is
+    d_gt^T E_i d_pred, where d are differences of positions in the world.
     """
+    g, p = F.col("gt"), F.col("pred")
+    cells = {f"e{i}{j}": r(g, i, 0) * r(p, j, 0) + r(g, i, 1) * r(p, j, 1) + r(g, i, 2) * r(p, j, 2) for i in range(3) for j in range(3)}
+    spots = {f"{n}{i}": r(m, i, 3) for n, m in (("g", g), ("p", p)) for i in range(3)}
+    pairs = ordered_pairs(poses.select(*by, "frame_idx", *[c.alias(n) for n, c in (cells | spots).items()]), by, "frame_idx", [*cells, *spots])
+    trace = reduce(lambda x, y: x + y, [F.col(f"a_{n}") * F.col(f"b_{n}") for n in cells])
+    steps = {n: F.col(f"b_{n}") - F.col(f"a_{n}") for n in spots}
+    keys = [*by, F.col("a_frame_idx").alias("i"), F.col("b_frame_idx").alias("j")]
+    rel = pairs.select(*keys, trace.alias("_trace"), *[F.col(f"a_{n}").alias(n) for n in cells], *[c.alias(n) for n, c in steps.items()])
+    dot = reduce(lambda x, y: x + y, [F.col(f"g{i}") * (F.col(f"e{i}0") * F.col("p0") + F.col(f"e{i}1") * F.col("p1") + F.col(f"e{i}2") * F.col("p2")) for i in range(3)])
+    norms = [F.sqrt(F.col(f"{n}0") ** 2 + F.col(f"{n}1") ** 2 + F.col(f"{n}2") ** 2) for n in "gp"]
+    rel = rel.select(*by, "i", "j", "_trace", dot.alias("_dot"), norms[0].alias("_ng"), norms[1].alias("_np"))
+    return rel.select(*by, "i", "j", angle_of_trace(F.col("_trace")).alias("r_err"), angle_of_products(F.col("_dot"), F.col("_ng"), F.col("_np")).alias("t_err"))
+
+
+def _general_pair_errors(poses: DataFrame, by: list[str]) -> DataFrame:
+    """Pair errors by full inverses and quaternions."""
     inv = poses.select(*by, "frame_idx", "gt", "pred", invert_affine(F.col("gt")).alias("gi"), invert_affine(F.col("pred")).alias("pi"))
     pairs = ordered_pairs(inv, by, "frame_idx", ["gt", "pred", "gi", "pi"])
     keys = [*by, F.col("a_frame_idx").alias("i"), F.col("b_frame_idx").alias("j")]
     rel = pairs.select(*keys, compose_parts(F.col("a_gi"), F.col("b_gt")).alias("g"), compose_parts(F.col("a_pi"), F.col("b_pred")).alias("p"))
-    return rel.select(*by, "i", "j", trace_angle(F.col("g"), F.col("p")).alias("r_err"), direction_angle(F.col("g"), F.col("p")).alias("t_err"))
+    return rel.select(*by, "i", "j", rotation_error(F.col("g"), F.col("p")).alias("r_err"), direction_error(F.col("g"), F.col("p")).alias("t_err"))
+
+
+def pose_pair_errors(poses: DataFrame, by: list[str]) -> DataFrame:
+    """(by, i, j, r_err, t_err) of all pairs i < j, poses gt and pred.
+
+    Groups whose rotations are all orthogonal (to 1e-9) take a short form; the others go by
+    full inverses and quaternions.
+    """
+    rigid = poses.groupBy(*by).agg(F.bool_and(is_rigid(F.col("gt")) & is_rigid(F.col("pred"))).alias("_rigid"))
+    marked = poses.select(*by, "frame_idx", "gt", "pred").join(rigid, by)
+    return _rigid_pair_errors(marked.where("_rigid"), by).unionByName(_general_pair_errors(marked.where("not coalesce(_rigid, false)"), by))
 
 
 def auc(error: Column, threshold: int) -> Column:
@@ -55,19 +83,21 @@ def macro(metrics: DataFrame, by: list[str], names: list[str]) -> DataFrame:
 
 
 def auc_by_frames(pairs: DataFrame, by: list[str], threshold: int, step: int = 10) -> DataFrame:
-    """A5: the metrics on the first step, 2 step, ... frames. A pair counts from its later frame j on."""
+    """A5: the metrics on the first step, 2 step, ... frames, and on all of them. A pair counts from its later frame j on."""
     bin_ = F.ceil((F.col("j") + 1) / step) * step
     both = F.greatest("r_err", "t_err")
     share = F.when((both >= 0) & (both <= threshold), threshold - F.least(F.floor(both), F.lit(threshold - 1))).otherwise(0)
     grouped = pairs.groupBy(*by, bin_.cast("int").alias("frames")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(share).alias("area"),
+        F.count(F.lit(1)).alias("n"), F.sum(share).alias("area"), (F.max("j") + 1).cast("int").alias("_upto"),
         F.sum(F.when(F.col("r_err") < threshold, 1).otherwise(0)).alias("r"), F.sum(F.when(F.col("t_err") < threshold, 1).otherwise(0)).alias("t"),
     )
     w = Window.partitionBy(*by).orderBy("frames").rowsBetween(Window.unboundedPreceding, 0)
     n = F.sum("n").over(w)
+    all_frames = F.max("_upto").over(Window.partitionBy(*by))
     return grouped.select(
-        *by, "frames", (100.0 * F.sum("area").over(w) / (threshold * n)).alias("auc"), (100.0 * F.sum("r").over(w) / n).alias("racc"), (100.0 * F.sum("t").over(w) / n).alias("tacc")
-    )
+        *by, F.least("frames", all_frames).alias("frames"), (100.0 * F.sum("area").over(w) / (threshold * n)).alias("auc"),
+        (100.0 * F.sum("r").over(w) / n).alias("racc"), (100.0 * F.sum("t").over(w) / n).alias("tacc"),
+    )
 
 
 def valid_depth(df: DataFrame, low: float, high: float) -> DataFrame:
@@ -76,30 +106,40 @@ def valid_depth(df: DataFrame, low: float, high: float) -> DataFrame:
     return df.where(fine[0] & fine[1] & (F.col("gt") > low) & (F.col("gt") < high) & (F.col("pred") > 0))
 
 
-def align_depth(df: DataFrame, by: list[str], mode: str = "scale_only", min_pixels: int = 100) -> DataFrame:
-    """Per frame, pred times the ratio of medians, or the least-squares line; frames of too few pixels go."""
-    if mode == "none":
-        return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels).drop("_n"), by)
-    ratio = F.percentile("gt", F.lit(0.5)) / F.nullif(F.percentile("pred", F.lit(0.5)), F.lit(0.0))
+def align_depth(
+    df: DataFrame, by: list[str], mode: str = "scale_only", min_pixels: int = 100, pre_clip: tuple[float, float] | None = None, post_clip: tuple[float, float] | None = None
+) -> DataFrame:
+    """Per frame, pred times the ratio of medians, or the least-squares line; frames of too few pixels go.
+
+    pre_clip bounds the predictions that the fit sees, post_clip the aligned ones.
+    """
+    seen = "pred"
+    if pre_clip is not None:
+        df, seen = df.withColumn("_seen", F.least(F.greatest("pred", F.lit(float(pre_clip[0]))), F.lit(float(pre_clip[1])))), "_seen"
+    ratio = F.percentile("gt", F.lit(0.5)) / F.nullif(F.percentile(seen, F.lit(0.5)), F.lit(0.0))
     fit = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), ratio.alias("_ratio"), F.regr_slope("gt", "pred").alias("_slope"), F.regr_intercept("gt", "pred").alias("_shift")
+        F.count(F.lit(1)).alias("_n"), ratio.alias("_ratio"), F.regr_slope("gt", seen).alias("_slope"), F.regr_intercept("gt", seen).alias("_shift")
     ).where(F.col("_n") >= min_pixels)
     if mode == "lstsq":
         scale, shift = F.coalesce("_slope", "_ratio"), F.when(F.col("_slope").isNotNull(), F.col("_shift")).otherwise(F.lit(0.0))
     else:
-        scale, shift = F.col("_ratio"), F.lit(0.0)
-    return df.join(fit.select(*by, scale.alias("_s"), shift.alias("_t")), by).withColumn("pred", F.col("pred") * F.col("_s") + F.col("_t")).drop("_s", "_t")
+        scale, shift = F.col("_ratio") if mode == "scale_only" else F.lit(1.0), F.lit(0.0)
+    out = df.join(fit.select(*by, scale.alias("_s"), shift.alias("_t")), by).withColumn("pred", F.col("pred") * F.col("_s") + F.col("_t")).drop("_s", "_t", "_seen")
+    if post_clip is None:
+        return out
+    return out.withColumn("pred", F.least(F.greatest("pred", F.lit(float(post_clip[0]))), F.lit(float(post_clip[1]))))
 
 
 def depth_metrics(df: DataFrame, by: list[str]) -> DataFrame:
-    """Errors pooled over all pixels of all frames."""
-    gt, pred = F.col("gt"), F.greatest(F.col("pred"), F.lit(1e-5))
-    ratio = F.greatest(gt / pred, pred / gt)
+    """Errors pooled over all pixels of all frames; only the logarithms see clipped depths."""
+    gt, pred = F.col("gt"), F.col("pred")
+    ratio = F.greatest(gt / F.nullif(pred, F.lit(0.0)), pred / gt)
+    logs = [F.log(F.greatest(c, F.lit(1e-5))) for c in (pred, gt)]
     aggs = [
-        F.avg(F.abs(F.col("pred") - gt) / gt).alias("abs_rel"), F.avg((F.col("pred") - gt) ** 2 / gt).alias("sq_rel"), F.sqrt(F.avg((F.col("pred") - gt) ** 2)).alias("rmse"),
-        F.sqrt(F.avg((F.log(pred) - F.log(gt)) ** 2)).alias("log_rmse"), F.count(F.lit(1)).alias("n_pixels"),
+        F.avg(F.abs(pred - gt) / gt).alias("abs_rel"), F.avg((pred - gt) ** 2 / gt).alias("sq_rel"), F.sqrt(F.avg((pred - gt) ** 2)).alias("rmse"),
+        F.sqrt(F.avg((logs[0] - logs[1]) ** 2)).alias("log_rmse"), F.count(F.lit(1)).alias("n_pixels"),
     ]
-    aggs += [(100.0 * F.avg(F.when(ratio < 1.25**k, 1.0).otherwise(0.0))).alias(f"delta_{k}") for k in (1, 2, 3)]
+    aggs += [(100.0 * F.avg(F.when((ratio < 1.25**k) & (pred != 0), 1.0).otherwise(0.0))).alias(f"delta_{k}") for k in (1, 2, 3)]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
@@ -169,6 +209,64 @@ def lower_median(x: str) -> Column:
     return F.expr(f"percentile_disc(0.5) within group (order by {x})")
 
 
+def depth_ratio_scale(pairs: DataFrame, by: list[str], anchor: str = "anchor", target: str = "target") -> DataFrame:
+    """Per group, the lower median of anchor over target where both are finite and |target| is over the 32-bit epsilon, held between 1e-3 and 1e3; 1 where none is."""
+    a, t = F.col(anchor), F.col(target)
+    fine = a.isNotNull() & t.isNotNull() & ~F.isnan(a) & ~F.isnan(t) & (F.abs(a) < float("inf")) & (F.abs(t) < float("inf")) & (F.abs(t) > 1.1920928955078125e-07)
+    rated = pairs.select(*by, F.when(fine, a / t).alias("_ratio"))
+    scale = F.least(F.greatest(F.coalesce(lower_median("_ratio"), F.lit(1.0)), F.lit(1e-3)), F.lit(1e3))
+    return rated.groupBy(*by).agg(scale.alias("scale"), F.count("_ratio").alias("n"))
+
+
+def throughput(frames: DataFrame, by: list[str], order: str, ms: str, scale_frames: int = 0, first_ms: float = 0.0, half: int = 30) -> DataFrame:
+    """Frames a second over all frames, first phase included, and near a tenth, the middle and nine tenths of the streamed ones.
+
+    The first place lies ten frames in at least; each mean reaches `half` frames to both sides.
+    """
+    w = Window.partitionBy(*by)
+    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(order)) - 1
+    near = frames.select(*by, F.col(ms).alias("_ms"), at.alias("_at"), n.alias("_n"))
+    tenth = F.floor(F.col("_n") / 10)
+    places = {"lo": F.greatest(F.lit(10), tenth), "mid": F.floor(F.col("_n") / 2), "hi": F.col("_n") - F.greatest(F.lit(1), tenth)}
+    rate = lambda x: F.when(x > 0, 1000.0 / x).otherwise(0.0)
+    mean = (first_ms + F.sum("_ms")) / (scale_frames + F.count(F.lit(1)))
+    aggs = [(scale_frames + F.count(F.lit(1))).alias("total_frames"), rate(mean).alias("global_fps")]
+    aggs += [rate(F.avg(F.when(F.col("_at").between(p - half, p + half), F.col("_ms")))).alias(f"fps_{name}") for name, p in places.items()]
+    return near.groupBy(*by).agg(*aggs)
+
+
+def pose_distances(poses: DataFrame, by: list[str], beta: float = 2.5) -> DataFrame:
+    """(by, i, j, distance) of all pairs i < j of rigid poses: the length of the SE(3) logarithm of the relative pose, positions times beta.
+
+    The matrix is symmetric with a zero diagonal. From the quaternion and position of a frame:
+    the relative turn by t about an axis stretches what the step has across the axis by
+    t / 2 over sin(t / 2).
+    """
+    m = F.col("pose")
+    parts = poses.select(*by, "frame_idx", quaternion(m).alias("q"), *[(beta * r(m, i, 3)).alias(n) for i, n in enumerate(("tx", "ty", "tz"))])
+    cols = ["qx", "qy", "qz", "qw", "tx", "ty", "tz"]
+    pairs = ordered_pairs(parts.select(*by, "frame_idx", *[F.col(f"q.{n}").alias(f"q{n}") for n in "xyzw"], "tx", "ty", "tz"), by, "frame_idx", cols)
+    a, b = ({c: F.col(f"{s}_{c}") for c in cols} for s in "ab")
+    vec = [  # of q_b times the conjugate of q_a, the relative turn seen from the world
+        b["qw"] * -a["qx"] + b["qx"] * a["qw"] - b["qy"] * a["qz"] + b["qz"] * a["qy"],
+        b["qw"] * -a["qy"] + b["qy"] * a["qw"] - b["qz"] * a["qx"] + b["qx"] * a["qz"],
+        b["qw"] * -a["qz"] + b["qz"] * a["qw"] - b["qx"] * a["qy"] + b["qy"] * a["qx"],
+    ]
+    dot = reduce(lambda x, y: x + y, [a[c] * b[c] for c in cols[:4]])
+    steps = [b[c] - a[c] for c in cols[4:]]
+    keys = [*by, F.col("a_frame_idx").alias("i"), F.col("b_frame_idx").alias("j")]
+    rel = pairs.select(*keys, *[v.alias(f"_v{i}") for i, v in enumerate(vec)], F.abs(dot).alias("_w"), *[s.alias(f"_s{i}") for i, s in enumerate(steps)])
+    total = lambda x, y: reduce(lambda p, q: p + q, [F.col(f"{x}{i}") * F.col(f"{y}{i}") for i in range(3)])
+    rel = rel.select(*by, "i", "j", "_w", F.sqrt(total("_v", "_v")).alias("_half"), total("_v", "_s").alias("_along"), total("_s", "_s").alias("_square"))
+    turns = F.col("_half") > 1e-9
+    rel = rel.select(
+        *by, "i", "j", (2 * F.atan2(F.col("_half"), F.col("_w"))).alias("_angle"), F.when(turns, F.col("_half")).alias("_half"), "_square",
+        F.when(turns, (F.col("_along") / F.col("_half")) ** 2).otherwise(0.0).alias("_along"),
+    )
+    stretch = F.coalesce(F.col("_angle") / 2 / F.col("_half"), F.lit(1.0))
+    return rel.select(*by, "i", "j", F.sqrt(F.col("_angle") ** 2 + F.col("_along") + stretch**2 * F.greatest(F.col("_square") - F.col("_along"), F.lit(0.0))).alias("distance"))
+
+
 def upsert(table_path: str, rows: DataFrame, keys: list[str]) -> None:
     """K6: replace the partitions of rows' keys and keep the others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(table_path)

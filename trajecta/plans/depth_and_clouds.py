@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trajecta.functions.geometry import area_budget_size, confidence_of, cover_crop, fov_of, inverse_log, min_max, resize_intrinsics, square_pad, unproject, width_fit_height
 from trajecta.operators import clouds as cl
 from trajecta.operators.joins import first_known, nearest_point, within_radius
-from trajecta.operators.metrics import align_depth, cloud_metrics, depth_metrics, lower_median, pr_curve, valid_depth
+from trajecta.operators.metrics import align_depth, cloud_metrics, depth_metrics, depth_ratio_scale, pr_curve, valid_depth
 from trajecta.plans.bindings import PIXELS, POINTS, pixels, points, rounded, table
 from trajecta.plans.registry import register
 
@@ -24,9 +24,9 @@ _FIT = f"""WITH {_VALID}, ft AS (SELECT frame, count(*) AS n, quantile_cont(gt,
   FROM ok GROUP BY frame HAVING count(*) >= 100)"""
 _ERR = """round(avg(abs(p - gt) / gt), 6) AS abs_rel, round(avg((p - gt) ** 2 / gt), 4) AS sq_rel, round(sqrt(avg((p - gt) ** 2)), 4) AS rmse,
   round(sqrt(avg((ln(greatest(p, 1e-5)) - ln(gt)) ** 2)), 6) AS log_rmse, count(*) AS n_pixels,
-  round(100.0 * avg(CASE WHEN greatest(gt / greatest(p, 1e-5), greatest(p, 1e-5) / gt) < 1.25 THEN 1.0 ELSE 0.0 END), 6) AS delta_1,
-  round(100.0 * avg(CASE WHEN greatest(gt / greatest(p, 1e-5), greatest(p, 1e-5) / gt) < 1.5625 THEN 1.0 ELSE 0.0 END), 6) AS delta_2,
-  round(100.0 * avg(CASE WHEN greatest(gt / greatest(p, 1e-5), greatest(p, 1e-5) / gt) < 1.953125 THEN 1.0 ELSE 0.0 END), 6) AS delta_3"""
+  round(100.0 * avg(CASE WHEN greatest(gt / nullif(p, 0), p / gt) < 1.25 THEN 1.0 ELSE 0.0 END), 6) AS delta_1,
+  round(100.0 * avg(CASE WHEN greatest(gt / nullif(p, 0), p / gt) < 1.5625 THEN 1.0 ELSE 0.0 END), 6) AS delta_2,
+  round(100.0 * avg(CASE WHEN greatest(gt / nullif(p, 0), p / gt) < 1.953125 THEN 1.0 ELSE 0.0 END), 6) AS delta_3"""
 
 
 def _depth(mode):
@@ -50,12 +50,30 @@ def ranges(spark, d):
 register("a19_depth_range", ranges, f"WITH {PIXELS} SELECT frame, round(quantile_cont(gt, 0.01), 4) AS low, round(quantile_cont(gt, 0.99), 4) AS high FROM pix WHERE gt > 0 GROUP BY frame")
 
 
-def lower_medians(spark, d):
-    ratio = (F.col("gt") / F.col("pred")).alias("ratio")
-    return rounded(valid(spark, d).select("frame", ratio).groupBy("frame").agg(lower_median("ratio").alias("scale")))
+def clipped(spark, d):
+    """The fit sees predictions between bounds, and the aligned ones are held between others."""
+    out = depth_metrics(align_depth(valid(spark, d), ["frame"], "lstsq", pre_clip=(3000.0, 15000.0), post_clip=(1000.0, 18000.0)), [])
+    return out.select(*[F.round(c, 4 if c in ("sq_rel", "rmse") else 6).alias(c) if c != "n_pixels" else F.col(c) for c in out.columns])
 
 
-register("a23_window_scale", lower_medians, f"WITH {_VALID} SELECT frame, round(quantile_disc(gt / pred, 0.5), 6) AS scale FROM ok GROUP BY frame")
+register(
+    "a17_depth_metrics_clipped", clipped,
+    f"WITH {_VALID}, cl AS (SELECT *, least(greatest(pred, 3000), 15000) AS seen FROM ok), ft AS (SELECT frame, regr_slope(gt, seen) AS slope, regr_intercept(gt, seen) AS shift FROM cl GROUP BY frame HAVING count(*) >= 100), "
+    f"x AS (SELECT ok.*, least(greatest(pred * slope + shift, 1000), 18000) AS p FROM ok JOIN ft USING (frame)) SELECT {_ERR} FROM x",
+)
+
+
+def window_scales(spark, d):
+    """The lower median of the ratios, some of which have no target, held between bounds."""
+    p = pixels(spark, d).select("frame", F.col("gt").alias("anchor"), F.when(F.col("part") % 7 == 0, 0.0).when(F.col("part") % 11 == 0, float("inf")).otherwise(F.col("pred") * F.when(F.col("frame") % 9 == 0, 1e-6).otherwise(1.0)).alias("target"))
+    return rounded(depth_ratio_scale(p, ["frame"]))
+
+
+register(
+    "a23_window_scale", window_scales,
+    f"WITH {PIXELS}, r AS (SELECT frame, CASE WHEN part % 7 <> 0 AND part % 11 <> 0 THEN gt / (pred * CASE WHEN frame % 9 = 0 THEN 1e-6 ELSE 1 END) END AS ratio FROM pix) "
+    "SELECT frame, round(least(greatest(coalesce(quantile_disc(ratio, 0.5), 1), 1e-3), 1e3), 6) AS scale, count(ratio) AS n FROM r GROUP BY frame",
+)
 
 
 def confident(spark, d):
@@ -124,12 +142,20 @@ register(
 
 
 def cones(spark, d):
-    """Rows only; the quadrant rule is tested by hand."""
+    """A31."""
     z = zbuffer(spark, d).select("frame", "u", "v", (F.col("depth") / 1000).alias("depth"))
-    return cl.visible_by_cone(z, ["frame"], 10.0, 10.0, 8.0, 4.0, 1, 2.0).groupBy("frame").agg(F.count_if("visible").alias("n_visible"))
+    seen = cl.visible_by_cone(z, ["frame"], 10.0, 10.0, 8.0, 4.0, 1, 0.5)
+    return rounded(seen.groupBy("frame").agg(F.count_if("visible").alias("n_visible"), F.count_if(F.col("cover") < -1).alias("n_open"), F.avg("cover").alias("cover")), 5)
 
 
-register("a31_visibility_by_cone", cones)
+register(
+    "a31_visibility_by_cone", cones,
+    f"WITH {_Z}, z AS (SELECT frame, u, v, round(depth, 4) / 1000 AS depth, (u - 8) * (round(depth, 4) / 1000) / 10 AS x, (v - 4) * (round(depth, 4) / 1000) / 10 AS y FROM zb), "
+    "n AS (SELECT a.frame, a.u, a.v, b.u - a.u AS du, b.v - a.v AS dv, -((b.x - a.x) * a.x + (b.y - a.y) * a.y + (b.depth - a.depth) * a.depth) / (sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.depth - a.depth) ** 2) * sqrt(a.x ** 2 + a.y ** 2 + a.depth ** 2)) AS c "
+    "FROM z a LEFT JOIN z b ON a.frame = b.frame AND abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 AND (a.u <> b.u OR a.v <> b.v)), "
+    "q AS (SELECT frame, u, v, " + " + ".join(f"greatest(coalesce(max(c) FILTER (du {x} 0 AND dv {y} 0), -1), -1)" for x in ("<=", ">=") for y in ("<=", ">=")) + " AS cover FROM n GROUP BY 1, 2, 3) "
+    "SELECT frame, count(*) FILTER (cover < 0.5) AS n_visible, count(*) FILTER (cover < -1) AS n_open, round(avg(cover), 5) + 0.0 AS cover FROM q GROUP BY frame",
+)
 
 
 def shrunk(spark, d):
@@ -145,15 +171,16 @@ register(
 
 
 def union_visible(spark, d):
-    """Points that win a pixel of any frame, with their part."""
-    z = zbuffer(spark, d).select((F.col("point_id") % 97).alias("bucket")).distinct()
-    return pixels(spark, d).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("p"), "part").withColumn("bucket", F.col("p") % 97).join(z, "bucket", "left_semi").groupBy("bucket").agg(F.countDistinct("part").alias("n_parts"))
+    """Points that win a pixel of any frame, counted by part."""
+    seen = zbuffer(spark, d).select("point_id").distinct()
+    rows = pixels(spark, d).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"), "part")
+    return rows.join(seen, "point_id", "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("n_points"))
 
 
 register(
     "a33_u6_j17_visible_union", union_visible,
-    f"WITH {PIXELS}, k AS (SELECT l_orderkey * 8 + l_linenumber AS p, row_number() OVER (PARTITION BY frame, part % 16, l_linenumber ORDER BY gt, l_orderkey * 8 + l_linenumber) AS k FROM pix), s AS (SELECT DISTINCT p % 97 AS bucket FROM k WHERE k = 1) "
-    "SELECT bucket, count(DISTINCT part) AS n_parts FROM pix JOIN s ON (l_orderkey * 8 + l_linenumber) % 97 = bucket GROUP BY bucket",
+    f"WITH {PIXELS}, k AS (SELECT l_orderkey * 8 + l_linenumber AS p, row_number() OVER (PARTITION BY frame, part % 16, l_linenumber ORDER BY gt, l_orderkey * 8 + l_linenumber) AS k FROM pix), s AS (SELECT DISTINCT p FROM k WHERE k = 1) "
+    "SELECT part, count(*) AS n_points FROM pix JOIN s ON l_orderkey * 8 + l_linenumber = p GROUP BY part",
 )
 
 
@@ -210,7 +237,8 @@ def voxels(spark, d):
     return rounded(cl.voxel_mean(points(spark, d), [], 0.1, ["x", "y", "z"]))
 
 
-register("a11_voxel_means", voxels, f"WITH {POINTS} SELECT CAST(floor(x / 0.1) AS BIGINT) AS cx, CAST(floor(y / 0.1) AS BIGINT) AS cy, CAST(floor(z / 0.1) AS BIGINT) AS cz, count(*) AS n, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM pts GROUP BY 1, 2, 3")
+_LOW = ", ".join(f"min({c}) - 0.05 AS low_{c}" for c in "xyz")
+register("a11_voxel_means", voxels, f"WITH {POINTS}, m AS (SELECT {_LOW} FROM pts) SELECT CAST(floor((x - low_x) / 0.1) AS BIGINT) AS cx, CAST(floor((y - low_y) / 0.1) AS BIGINT) AS cy, CAST(floor((z - low_z) / 0.1) AS BIGINT) AS cz, count(*) AS n, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM pts, m GROUP BY 1, 2, 3")
 
 
 def bounds(spark, d):

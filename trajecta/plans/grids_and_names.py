@@ -10,6 +10,7 @@ from trajecta.functions.geometry import enhance_colour, pixel_to_world, plane_of
 from trajecta.operators import grids as gr
 from trajecta.operators.clouds import random_cap
 from trajecta.plans.bindings import POINTS, points, rounded, table
+from trajecta.operators.lineage import cut
 from trajecta.plans.registry import register
 from trajecta.sources import catalog as ct
 
@@ -75,48 +76,53 @@ register("a25_g7_p17_occupancy_grid", occupied, f"WITH {_OCC} SELECT px, py, val
 
 
 def block_grid(spark, d):
-    """A map of 8 by 8 cells with walls that the parts' sizes give."""
-    p = table(spark, d, "part").where("p_partkey between 1 and 64").select(((F.col("p_partkey") - 1) % 8).cast("int").alias("px"), F.floor((F.col("p_partkey") - 1) / 8).cast("int").alias("py"), "p_size")
+    """All parts as maps of 8 by 8 cells, with walls that the parts' sizes give."""
+    k = F.col("p_partkey") - 1
+    p = table(spark, d, "part").select(F.floor(k / 64).cast("int").alias("map_id"), (k % 8).cast("int").alias("px"), F.floor(k % 64 / 8).cast("int").alias("py"), "p_size")
     wall = (F.col("p_size") % 4 == 0) & (F.col("px") + F.col("py") > 0) & (F.col("px") + F.col("py") < 14)
-    return p.select("px", "py", F.when(wall, gr.OCCUPIED).otherwise(gr.FREE).alias("value"))
+    return p.select("map_id", "px", "py", F.when(wall, gr.OCCUPIED).otherwise(gr.FREE).alias("value"))
 
 
-_GRID = """gr AS (SELECT CAST((p_partkey - 1) % 8 AS INTEGER) AS px, CAST((p_partkey - 1) // 8 AS INTEGER) AS py, p_size FROM part WHERE p_partkey BETWEEN 1 AND 64),
-  fc AS (SELECT px, py FROM gr WHERE NOT (p_size % 4 = 0 AND px + py > 0 AND px + py < 14)),
-  mv AS (SELECT a.px AS ax, a.py AS ay, b.px AS bx, b.py AS "by", CASE WHEN a.px = b.px OR a.py = b.py THEN 1.0 ELSE sqrt(2) END AS cost FROM fc a JOIN fc b ON abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 AND (a.px <> b.px OR a.py <> b.py)
-    WHERE a.px = b.px OR a.py = b.py OR ((a.px, b.py) IN (SELECT (px, py) FROM fc) AND (b.px, a.py) IN (SELECT (px, py) FROM fc)))"""
+_GRID = """gr AS (SELECT CAST((p_partkey - 1) // 64 AS INTEGER) AS map_id, CAST((p_partkey - 1) % 8 AS INTEGER) AS px, CAST((p_partkey - 1) % 64 // 8 AS INTEGER) AS py, p_size FROM part),
+  fc AS (SELECT map_id, px, py FROM gr WHERE NOT (p_size % 4 = 0 AND px + py > 0 AND px + py < 14)),
+  mv AS (SELECT a.map_id, a.px AS ax, a.py AS ay, b.px AS bx, b.py AS "by", CASE WHEN a.px = b.px OR a.py = b.py THEN 1.0 ELSE sqrt(2) END AS cost FROM fc a JOIN fc b ON a.map_id = b.map_id AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 AND (a.px <> b.px OR a.py <> b.py)
+    WHERE a.px = b.px OR a.py = b.py OR ((a.map_id, a.px, b.py) IN (SELECT (map_id, px, py) FROM fc) AND (a.map_id, b.px, a.py) IN (SELECT (map_id, px, py) FROM fc)))"""
+# Best costs by number of moves; a path over 64 cells has at most 63.
+_COSTS = f"""WITH RECURSIVE {_GRID}, rc(map_id, px, py, cost, n) AS (SELECT DISTINCT map_id, 0, 0, CAST(0 AS DOUBLE), 0 FROM mv WHERE ax = 0 AND ay = 0 UNION ALL
+  SELECT map_id, px, py, min(cost), n FROM (SELECT mv.map_id, bx AS px, "by" AS py, rc.cost + mv.cost AS cost, n + 1 AS n FROM rc JOIN mv ON rc.map_id = mv.map_id AND rc.px = ax AND rc.py = ay WHERE n < 63) GROUP BY map_id, px, py, n)"""
 
 
 def free_cells(spark, d):
-    return block_grid(spark, d).where(f"value > 100 and value <> {gr.UNKNOWN}").select("px", "py")
+    return block_grid(spark, d).where(f"value > 100 and value <> {gr.UNKNOWN}").select("map_id", "px", "py")
 
 
 def moves(spark, d):
-    return rounded(gr.edges(free_cells(spark, d), []))
+    return rounded(gr.edges(free_cells(spark, d), ["map_id"]))
 
 
-register("g2_p16_grid_moves", moves, f"WITH {_GRID} SELECT ax, ay, bx, \"by\", round(cost, 6) AS cost FROM mv")
+register("g2_p16_grid_moves", moves, f"WITH {_GRID} SELECT map_id, ax, ay, bx, \"by\", round(cost, 6) AS cost FROM mv")
 
 
 def costs(spark, d):
-    return rounded(gr.shortest_costs(gr.edges(free_cells(spark, d), []).cache(), (0, 0), 20), 4)
+    return rounded(gr.shortest_costs(cut(gr.edges(free_cells(spark, d), ["map_id"])), (0, 0), ["map_id"]), 4)
 
 
-register(
-    "g1_shortest_costs", costs,
-    f"WITH RECURSIVE {_GRID}, rc(px, py, cost, n) AS (SELECT 0, 0, CAST(0 AS DOUBLE), 0 UNION ALL "
-    "SELECT px, py, min(cost), n FROM (SELECT bx AS px, \"by\" AS py, rc.cost + mv.cost AS cost, n + 1 AS n FROM rc JOIN mv ON rc.px = ax AND rc.py = ay WHERE n < 20) GROUP BY px, py, n) "
-    "SELECT px, py, round(min(cost), 4) AS cost FROM rc GROUP BY px, py",
-)
+register("g1_shortest_costs", costs, f"{_COSTS} SELECT map_id, px, py, round(min(cost), 4) AS cost FROM rc GROUP BY map_id, px, py")
 
 
 def planned(spark, d):
-    """One path over the map; rows only, its cost is checked against the costs above in the tests."""
-    asked = spark.createDataFrame([(0, 1, 0, 0, 7, 7), (0, 2, 7, 7, 0, 0)], "map_id int, request_id long, sx int, sy int, gx int, gy int")
-    return gr.plan_paths(asked, free_cells(spark, d).withColumn("map_id", F.lit(0)), ["map_id"], METRES).drop("waypoints")
+    """A path from corner to corner of every map and back; the number of cells follows from the cost."""
+    maps = free_cells(spark, d).select("map_id").distinct()
+    ends = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("sx", "sy", "gx", "gy"), e, strict=True)]) for e in ((0, 0, 7, 7), (7, 7, 0, 0))])
+    asked = maps.select("map_id", F.posexplode(ends).alias("k", "e")).select("map_id", (F.col("map_id") * 2 + F.col("k")).cast("long").alias("request_id"), "e.*")
+    return rounded(gr.plan_paths(asked, free_cells(spark, d), ["map_id"], METRES).drop("waypoints"), 4)
 
 
-register("g3_g6_planned_paths", planned)
+register(
+    "g3_g6_planned_paths", planned,
+    f"{_COSTS}, b AS (SELECT map_id, min(cost) AS cost, arg_min(n, cost) AS n FROM rc WHERE px = 7 AND py = 7 GROUP BY 1), m AS (SELECT DISTINCT map_id FROM fc) "
+    f"SELECT CAST(m.map_id * 2 + k AS BIGINT) AS request_id, CASE WHEN n IS NULL THEN 'no path' ELSE 'ok' END AS status, round(cost, 4) AS cost, round(cost * {METRES}, 4) AS path_length_m, CAST(n + 1 AS BIGINT) AS n_cells FROM m LEFT JOIN b USING (map_id), (VALUES (0), (1)) t(k)",
+)
 
 
 def catalogue(spark, d):

@@ -21,7 +21,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from trajecta.plans import depth_and_clouds, grids_and_names, trajectories  # noqa: F401
+    from trajecta.plans import depth_and_clouds, grids_and_names, motion, trajectories  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -11,8 +11,8 @@ from trajecta.functions.geometry import (
 from trajecta.operators import frames as fr
 from trajecta.operators.alignment import trajectory_errors
 from trajecta.operators.grids import path_length
-from trajecta.operators.joins import asof_nearest, consecutive, frame_map, ordered_pairs
-from trajecta.operators.metrics import THRESHOLDS, auc_by_frames, macro, pair_metrics, pose_pair_errors, rank_metrics, long_metrics, mean_of_documents, umeyama_statistics
+from trajecta.operators.joins import asof_nearest, consecutive, frame_map
+from trajecta.operators.metrics import THRESHOLDS, auc_by_frames, macro, pair_metrics, pose_distances, pose_pair_errors, rank_metrics, long_metrics, mean_of_documents, umeyama_statistics
 from trajecta.plans.bindings import EVENTS, FRAMES, events, frames, poses, rounded, table
 from trajecta.plans.registry import register
 from trajecta.streaming.frames import bounded_replay, live_state, navigation_state, odometry
@@ -34,11 +34,10 @@ PAIRS_SQL = (
     cos(a.yaw) * (b.x - a.x) + sin(a.yaw) * (b.y - a.y) AS gx, -sin(a.yaw) * (b.x - a.x) + cos(a.yaw) * (b.y - a.y) AS gy,
     cos(a.pyaw) * (b.px - a.px) + sin(a.pyaw) * (b.py - a.py) AS qx, -sin(a.pyaw) * (b.px - a.px) + cos(a.pyaw) * (b.py - a.py) AS qy
   FROM fr a JOIN fr b ON a.scene = b.scene AND a.frame_idx < b.frame_idx
-), dt AS (SELECT *, cos(dy / 2) * cos(dy / 2) AS cc, (gx * qx + gy * qy) / nullif(sqrt(gx * gx + gy * gy) * sqrt(qx * qx + qy * qy), 0) AS dot FROM pr
+), dt AS (SELECT *, cos(dy / 2) * cos(dy / 2) AS cc, (gx * qx + gy * qy) / ((sqrt(gx * gx + gy * gy) + 1e-15) * (sqrt(qx * qx + qy * qy) + 1e-15)) AS dot FROM pr
 ), er AS (
   SELECT scene, i, j, degrees(acos(least(greatest(1 - 2 * greatest(1 - cc, 1e-15), -1), 1))) AS r_err,
-    coalesce(least(degrees(acos(sqrt(least(greatest(1 - greatest(1 - dot * dot, 1e-15), 0), 1)))),
-      abs(180 - degrees(acos(sqrt(least(greatest(1 - greatest(1 - dot * dot, 1e-15), 0), 1)))))), degrees(1e6)) AS t_err
+    degrees(acos(sqrt(least(greatest(1 - greatest(1 - dot * dot, 1e-15), 0), 1)))) AS t_err
   FROM dt)
 """
 )
@@ -86,25 +85,29 @@ def auc_frames(spark, d):
 
 register(
     "a5_w4_auc_by_frames", auc_frames,
-    PAIRS_SQL + """, b AS (SELECT scene, CAST(ceil((j + 1) / 10.0) * 10 AS INTEGER) AS frames, count(*) AS n,
+    PAIRS_SQL + """, b AS (SELECT scene, CAST(ceil((j + 1) / 10.0) * 10 AS INTEGER) AS frames, count(*) AS n, max(j) + 1 AS upto,
     sum(CASE WHEN greatest(r_err, t_err) <= 30 THEN 30 - least(floor(greatest(r_err, t_err)), 29) ELSE 0 END) AS area,
     sum(CASE WHEN r_err < 30 THEN 1 ELSE 0 END) AS r, sum(CASE WHEN t_err < 30 THEN 1 ELSE 0 END) AS t FROM er GROUP BY 1, 2)
-  SELECT scene, frames, round(100.0 * sum(area) OVER w / (30 * sum(n) OVER w), 6) AS auc, round(100.0 * sum(r) OVER w / sum(n) OVER w, 6) AS racc,
+  SELECT scene, CAST(least(frames, max(upto) OVER (PARTITION BY scene)) AS INTEGER) AS frames, round(100.0 * sum(area) OVER w / (30 * sum(n) OVER w), 6) AS auc, round(100.0 * sum(r) OVER w / sum(n) OVER w, 6) AS racc,
     round(100.0 * sum(t) OVER w / sum(n) OVER w, 6) AS tacc FROM b WINDOW w AS (PARTITION BY scene ORDER BY frames)""",
 )
 
 
 def distance_matrix(spark, d):
-    """J5 / A22 over planar poses: mean over all ordered pairs, loops included, of yaw and position differences."""
-    p = ordered_pairs(frames(spark, d), ["scene"], "frame_idx", ["yaw", "x", "y"], loops=True)
-    dist = F.sqrt((2.5 * (F.col("a_x") - F.col("b_x"))) ** 2 + (2.5 * (F.col("a_y") - F.col("b_y"))) ** 2 + (F.col("a_yaw") - F.col("b_yaw")) ** 2)
-    return rounded(p.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.avg(dist).alias("mean_distance"), F.max(dist).alias("max_distance")))
+    """Mean and largest entry of each scene's matrix of pose distances, from its upper half; the diagonal is zero."""
+    p = poses(spark, d).select("scene", "frame_idx", F.col("gt").alias("pose"))
+    upper = pose_distances(p, ["scene"]).groupBy("scene").agg(F.sum("distance").alias("total"), F.max("distance").alias("most"))
+    n = p.groupBy("scene").agg(F.count(F.lit(1)).alias("n")).join(upper, "scene", "left")
+    mean = 2 * F.coalesce("total", F.lit(0.0)) / (F.col("n") * F.col("n"))
+    return rounded(n.select("scene", (F.col("n") * F.col("n")).alias("n"), mean.alias("mean_distance"), F.coalesce("most", F.lit(0.0)).alias("max_distance")), 5)
 
 
+# A planar turn by t stretches the step by t / 2 over sin(t / 2).
 register(
     "a22_j5_pose_distance_matrix", distance_matrix,
-    f"WITH {FRAMES}, p AS (SELECT a.scene, sqrt((2.5 * (a.x - b.x)) ** 2 + (2.5 * (a.y - b.y)) ** 2 + (a.yaw - b.yaw) ** 2) AS dist FROM fr a JOIN fr b ON a.scene = b.scene) "
-    "SELECT scene, count(*) AS n, round(avg(dist), 6) AS mean_distance, round(max(dist), 6) AS max_distance FROM p GROUP BY scene",
+    f"WITH {FRAMES}, h AS (SELECT a.scene, abs(sin((b.yaw - a.yaw) / 2)) AS half, abs(cos((b.yaw - a.yaw) / 2)) AS w, 6.25 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS sq FROM fr a JOIN fr b ON a.scene = b.scene), "
+    "p AS (SELECT scene, sqrt((2 * atan2(half, w)) ** 2 + CASE WHEN half > 1e-9 THEN (atan2(half, w) / half) ** 2 ELSE 1 END * sq) AS dist FROM h) "
+    "SELECT scene, count(*) AS n, round(avg(dist), 5) AS mean_distance, round(max(dist), 5) AS max_distance FROM p GROUP BY scene",
 )
 
 
@@ -243,15 +246,6 @@ register(
 )
 
 
-def flow_keys(spark, d):
-    """A fold; rows only, compared with a loop in the tests."""
-    f = frames(spark, d).select("scene", "frame_idx", (F.abs(F.col("x")) / 100).alias("flow"))
-    return fr.flow_keyframes(f, ["scene"], 4, 1.5, 6)
-
-
-register("w9_flow_keyframes", flow_keys)
-
-
 def smoothed(spark, d):
     f = fr.moving_average(frames(spark, d).select("scene", "frame_idx", "x"), ["scene"], "frame_idx", "x", 3, "mean3")
     f = fr.moving_average(f, ["scene"], "frame_idx", "x", 30, "mean30")
@@ -367,15 +361,16 @@ register("t1_t4_t5_keyframe_stream_replay", speculative)
 
 
 def drive(spark, d):
+    """The pose after every command, rounded as it is stored."""
     e = frames(spark, d).select("scene", "frame_idx", (F.col("event_id") % 5 * 0.25).alias("forward"), (F.col("event_id") % 9 * 10.0).alias("turn"))
-    return rounded(odometry(e, ["scene"], "frame_idx"), 4)
+    return odometry(e, ["scene"], "frame_idx")
 
 
 register(
     "t6_f24_odometry", drive,
-    f"WITH {FRAMES}, s AS (SELECT scene, frame_idx, event_id % 5 * 0.25 AS f, sum(event_id % 9 * 10.0) OVER (PARTITION BY scene ORDER BY frame_idx) % 360 AS yaw FROM fr), "
-    "l AS (SELECT *, last_value(yaw) OVER (PARTITION BY scene ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fin FROM s) "
-    "SELECT scene, round(sum(f * cos(radians(CAST(yaw AS DOUBLE)))), 4) + 0.0 AS x, round(sum(f * sin(radians(CAST(yaw AS DOUBLE)))), 4) + 0.0 AS y, CAST(any_value(fin) AS DOUBLE) AS yaw, CAST(count(*) AS INTEGER) AS n FROM l GROUP BY scene",
+    f"WITH {FRAMES}, s AS (SELECT scene, frame_idx, event_id % 5 * 0.25 AS f, sum(event_id % 9 * 10.0) OVER (PARTITION BY scene ORDER BY frame_idx) % 360 AS yaw FROM fr) "
+    "SELECT scene, frame_idx, round(sum(f * cos(radians(CAST(yaw AS DOUBLE)))) OVER w, 4) + 0.0 AS x, round(sum(f * sin(radians(CAST(yaw AS DOUBLE)))) OVER w, 4) + 0.0 AS y, round(CAST(yaw AS DOUBLE), 2) AS yaw "
+    "FROM s WINDOW w AS (PARTITION BY scene ORDER BY frame_idx)",
 )
 
 
