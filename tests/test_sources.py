@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajecta.sources import rasters, text
+from trajecta.sources.artifacts import Artifact, cached, write_memory_table
+from trajecta.sources.plugins import Dataset, Method, Registry, run_evaluators
 
 
 def put(path, content):
@@ -63,7 +65,6 @@ def test_ply_ascii_binary_and_sink(spark, tmp_path):
     (tmp_path / "short.ply").write_bytes(head + b"1234")
     with pytest.raises(Exception, match="ends early"):
         rasters.read_ply(spark, str(tmp_path / "short.ply")).collect()
-    spark.dataSource.register(rasters.PlySink)
     rasters.read_ply(spark, str(tmp_path / "a.ply")).select("x", "y", "z", "r", "g", "b").coalesce(1).write.format("ply").mode("append").save(str(tmp_path / "sink"))
     assert rasters.read_ply(spark, str(tmp_path / "sink")).agg(F.sum("r")).first()[0] == pytest.approx(1.0)
 
@@ -74,3 +75,88 @@ def test_grid_round_trip(spark, tmp_path):
     rasters.write_grid(cells, meta, str(tmp_path / "g"))
     got = {(r.px, r.py): r.value for r in rasters.read_grid(spark, str(tmp_path / "g")).collect()}
     assert got == {(0, 0): 0, (1, 0): 205, (2, 0): 205, (0, 1): 205, (1, 1): 205, (2, 1): 254}
+
+
+def test_ply_ranges_limits_and_commits(spark, tmp_path):
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 1000\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n"
+    (tmp_path / "a.ply").write_bytes(head + b"".join(struct.pack("<3f3B", i, 2 * i, 3 * i, i % 256, 0, 255) for i in range(1000)))
+    df = rasters.read_ply(spark, str(tmp_path / "a.ply"), rows=130)
+    assert df.rdd.getNumPartitions() == 8
+    assert [(r.point_id, r.y) for r in df.orderBy("point_id").collect()] == [(i, 2.0 * i) for i in range(1000)]
+    assert sorted(r.point_id for r in rasters.read_ply(spark, str(tmp_path / "a.ply"), max_points=140, rows=130).collect()) == list(range(140))
+    out = str(tmp_path / "out")
+    for mode in ("append", "append", "overwrite"):
+        df.repartition(3).write.format("ply").mode(mode).save(out)
+    assert rasters.read_ply(spark, out).count() == 1000 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    bad = df.withColumn("x", F.when(F.col("point_id") == 999, F.raise_error(F.lit("no")).cast("double")).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="no"):
+        bad.write.format("ply").mode("append").save(out)
+    assert rasters.read_ply(spark, out).count() == 1000 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+
+
+def test_artifacts(spark, tmp_path):
+    a = Artifact(spark, f"{tmp_path}/scene")
+    pixels = spark.createDataFrame([(f, x, y, 3, 2, float(10 * f + 3 * y + x)) for f in (4, 9) for x in range(3) for y in range(2)], "frame_idx int, px int, py int, src_width int, src_height int, depth double")
+    bad = pixels.withColumn("depth", F.when(F.col("frame_idx") == 9, F.raise_error(F.lit("broken frame")).cast("double")).otherwise(F.col("depth")))
+    with pytest.raises(Exception, match="broken frame"):
+        a.save_frames(bad, ["depth"], 6, 3)
+    assert not a.is_complete() and a.metadata() is None
+    a.save_frames(pixels, ["depth"], 6, 3)
+    assert a.is_complete() and a.metadata()["width"] == 6
+    got = {(r.frame, r.frame_idx, r.px, r.py): r.depth for r in a.frames().collect()}
+    assert got == {(k, f, x, y): 10.0 * f + 3 * (y * 2 // 3) + x // 2 for k, f in ((0, 4), (1, 9)) for x in range(6) for y in range(3)}
+    a.clear_incomplete()
+    assert a.is_complete()
+    a.save_eval("pose", {"b": 1, "a": 2.5})
+    assert a.load_eval("pose") == {"a": 2.5, "b": 1} and a.load_eval("depth") is None
+    matrix = [[2.0, 0, 0, 1], [0, 2, 0, 0.5], [0, 0, 2, 0], [0, 0, 0, 1]]
+    a.save_transform(matrix)
+    assert a.load_transform() == matrix
+    (tmp_path / "scene" / ".complete.json").write_text("{ not json")
+    (tmp_path / "scene" / "..complete.json.crc").unlink(missing_ok=True)
+    assert a.metadata() is None
+    a.mark_incomplete()
+    a.clear_incomplete()
+    assert not (tmp_path / "scene").exists()
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert [cached(spark, f"{tmp_path}/cache", {"k": k}, make).count() for k in (1, 1, 2)] == [3, 3, 3] and len(calls) == 2
+    write_memory_table(spark.createDataFrame([(20, "b", 1.5, 2.0), (10, "a", 1.0, 1.0)], "n_frames int, mode string, peak_mb double, seconds double"), f"{tmp_path}/csv")
+    assert [r.n_frames for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()] == ["10", "20"]
+
+
+def test_plugins(spark, tmp_path):
+    reg = Registry()
+    scenes = lambda s: s.createDataFrame([("d", "a"), ("d", "b")], "dataset string, scene string")
+    frames = lambda s, sc: sc.crossJoin(s.range(3).select(F.col("id").cast("int").alias("frame_idx")))
+    reg.add(Dataset("d", scenes, frames, evaluate_cloud=lambda p, g: p.limit(1)))
+    reg.add(Dataset("e", scenes, frames, save=lambda df, path: df.write.json(path), load=lambda s, path: s.read.json(path)))
+    first = lambda rows: rows.assign(n=rows.frame_idx * 2)[["scene", "n"]]
+    reg.add(Method("m", first, "scene string, n int", ("n",)))
+    reg.add(Method("bad", lambda rows: first(rows).assign(n=None), "scene string, n int", ("n",)))
+    assert sorted(map(tuple, reg.process(spark, "d", "m").collect())) == [(s, n) for s in "ab" for n in (0, 2, 4)]
+    with pytest.raises(Exception, match="gives no n"):
+        reg.process(spark, "d", "bad").collect()
+    with pytest.raises(ValueError):
+        reg.add(Method("m", first, ""))
+    with pytest.raises(KeyError, match="there are"):
+        reg.dataset("x")
+    for name in "de":
+        reg.save(name, scenes(spark), f"{tmp_path}/{name}")
+        assert reg.load(spark, name, f"{tmp_path}/{name}").count() == 2
+    two = spark.range(2)
+    assert reg.evaluate_cloud("d", two, two, lambda p, g: p).count() == 1 and reg.evaluate_cloud("e", two, two, lambda p, g: p).count() == 2
+    found, failed = run_evaluators({"ok": lambda: two, "odd": lambda: two.select(F.raise_error(F.lit("boom"))), "old": lambda: two}, done={"old"})
+    assert list(found) == ["ok"] and list(failed) == ["odd"] and "boom" in failed["odd"]
+
+
+def test_sequence_texts(spark, tmp_path):
+    poses = put(tmp_path / "p.txt", "1 0 0 4 0 1 0 5 0 0 1 6\n" * 4)
+    k = put(tmp_path / "c.txt", "P2: 7 0 6 0 0 8 5 0 0 0 1 0\n")
+    rows = text.kitti_sequence(spark, poses, k)
+    assert rows.count() == 4 and rows.first().fx == 7.0
+    other = rows.where("frame_idx < 3")
+    assert sorted(r.frame_idx for r in text.shortest(rows, [other], ["file"]).collect()) == [0, 1, 2]
+    odd = rows.withColumn("m", F.when(F.col("frame_idx") == 1, F.array(*[F.lit(float("nan"))] * 12)).otherwise(F.col("m")))
+    text.write_trajectory(odd, str(tmp_path / "o"))
+    assert spark.read.text(str(tmp_path / "o")).count() == 3

@@ -11,10 +11,15 @@ from trajecta.functions.geometry import is_finite, project, transform_point, unp
 
 
 def valid_grid_points(df: DataFrame) -> DataFrame:
-    """Points that are not the origin, or depths over 1e-4, of frames with pose and intrinsics."""
+    """Points that are not the origin, of frames with pose and intrinsics."""
     return df.where(((F.col("x") != 0) | (F.col("y") != 0) | (F.col("z") != 0)) & F.col("has_camera"))
 
 
+def valid_grid_depths(df: DataFrame) -> DataFrame:
+    """Finite depths over 1e-4, of frames with pose and intrinsics."""
+    return df.where(is_finite(F.col("depth")) & (F.col("depth") > 1e-4) & F.col("has_camera"))
+
+
 def confident(df: DataFrame, by: list[str], percent: float, value: str = "confidence") -> DataFrame:
     """P4 (by = []) and P5 (by frame): rows at or over the percentile of their group."""
     cut = df.groupBy(*by).agg(F.percentile(value, F.lit(percent / 100)).alias("_cut"))

@@ -1,15 +1,21 @@
-"""PLY clouds and PGM grids (S6-S9, K3, K8): parsed in Arrow batches from binary files, written by a data source."""
+"""PLY clouds by a data source (S6, S7, K3) and PGM grids."""
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # Fixed values of the PLY format: scalar names and their numpy kinds.
 PLY_TYPES = {
@@ -42,70 +48,163 @@ def parse_ply(data: bytes) -> tuple[int, str, np.dtype, int]:
     return n, form, np.dtype(fields), body
 
 
-def read_ply(spark: SparkSession, path: str, max_points: int | None = None, chunk: int = 200_000) -> DataFrame:
-    """Points of all PLY files; colours of bytes are scaled to 0..1, missing attributes are null. A short file is an error."""
+class PlyReader(DataSourceReader):
+    """Binary clouds in ranges of records, of which a task reads only its bytes; text clouds one file a task, line by line. At most max_points of a file are read."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, data in zip(batch["path"], batch["content"], strict=True):
-                n, form, kind, body = parse_ply(data)
-                n = n if max_points is None else min(n, max_points)
+    def __init__(self, path: str, max_points: int | None, rows: int) -> None:
+        self.path, self.max_points, self.rows = path, max_points, rows
+
+    def partitions(self) -> list[InputPartition]:
+        fs, place = _file_system(self.path)
+        info = fs.get_file_info(place)
+        found = [info] if info.is_file else [f for f in fs.get_file_info(FileSelector(place, recursive=True)) if f.is_file and f.path.endswith(".ply")]
+        out = []
+        for f in sorted(found, key=lambda f: f.path):
+            with fs.open_input_file(f.path) as file:
+                n, form, kind, body = parse_ply(_head(file))
+            if form != "ascii" and f.size - body < n * kind.itemsize:
+                raise ValueError(f"{f.path} ends early")
+            n = n if self.max_points is None else min(n, self.max_points)
+            step = n if form == "ascii" else self.rows
+            out += [InputPartition((f.path, a, min(step, n - a))) for a in range(0, n, max(step, 1))]
+        return out or [InputPartition(("", 0, 0))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        place, start, n = partition.value
+        fs, _ = _file_system(self.path)
+        at = start
+        while at < start + n:
+            with fs.open_input_file(place) as file:
+                _, form, kind, body = parse_ply(_head(file))
                 if form == "ascii":
-                    rows = [tuple(line.split()[: len(kind)]) for line in data[body:].decode("ascii").splitlines()[:n]]
-                    if len(rows) < n:
-                        raise ValueError(f"{file} ends early")
-                    points = np.array([tuple(map(float, r)) for r in rows], dtype=[(k, "f8") for k in kind.names])
-                    scale = {k for k in kind.names if kind[k].kind == "u"}
-                else:
-                    if len(data) - body < n * kind.itemsize:
-                        raise ValueError(f"{file} ends early")
-                    points, scale = np.frombuffer(data, dtype=kind, count=n, offset=body), {k for k in kind.names if kind[k] == np.uint8}
-                for at in range(0, n, chunk):
-                    part = points[at : at + chunk]
-                    out = {"file": file, "point_id": np.arange(at, at + len(part)), **{c: part[c].astype(float) for c in "xyz"}}
-                    for to, names in (("r", ("red", "r")), ("g", ("green", "g")), ("b", ("blue", "b")), ("distance", ("distance",))):
-                        have = next((c for c in names if c in part.dtype.names), None)
-                        out[to] = np.full(len(part), np.nan) if have is None else part[have].astype(float) / (255 if have in scale else 1)
-                    yield pd.DataFrame(out)
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = raw.mapInPandas(parse, POINT_SCHEMA)
-    return rows.select("file", "point_id", "x", "y", "z", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("r", "g", "b", "distance")])
-
-
-class PlyWriter(DataSourceWriter):
-    """One little-endian PLY file a task, at a path that executors share; a failed task's file is replaced by its retry."""
-
-    def __init__(self, path: str, columns: list[str]) -> None:
-        self.path, self.columns = path, columns
-
-    def write(self, iterator) -> WriterCommitMessage:
-        from pathlib import Path
+                    yield from self._lines(fs, place, kind, n)
+                    return
+                size = min(200_000, start + n - at)
+                file.seek(body + at * kind.itemsize)
+                points = np.frombuffer(file.read(size * kind.itemsize), dtype=kind)
+            yield _point_batch(place, at, points, {k for k in kind.names if kind[k] == np.uint8})
+            at += size
+
+    def _lines(self, fs, place: str, kind: np.dtype, n: int) -> Iterator[pa.RecordBatch]:
+        plain = np.dtype([(k, "f8") for k in kind.names])
+        with fs.open_input_stream(place) as raw:
+            lines = io.TextIOWrapper(io.BufferedReader(raw), encoding="ascii")
+            while lines.readline().strip() != "end_header":
+                pass
+            for at in range(0, n, 100_000):
+                own = [tuple(map(float, line.split()[: len(kind)])) for line in itertools.islice(lines, min(100_000, n - at))]
+                if len(own) < min(100_000, n - at):
+                    raise ValueError(f"{place} ends early")
+                yield _point_batch(place, at, np.array(own, dtype=plain), {k for k in kind.names if kind[k].kind == "u"})
+
+
+def _file_system(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
+def _head(file) -> bytes:
+    data = b""
+    while b"end_header" not in data or b"\n" not in data[data.index(b"end_header") :]:
+        more = file.read(4096)
+        if not more or len(data) > 1 << 20:
+            raise ValueError("no PLY head")
+        data += more
+    return data
+
+
+def _point_batch(place: str, at: int, points: np.ndarray, bytes_: set[str]) -> pa.RecordBatch:
+    """Points as a batch: colours of bytes in 0..1, missing attributes null."""
+    columns = [pa.array([place] * len(points)), pa.array(np.arange(at, at + len(points)))] + [pa.array(points[c].astype(float)) for c in "xyz"]
+    for names in (("red", "r"), ("green", "g"), ("blue", "b"), ("distance",)):
+        have = next((c for c in names if c in points.dtype.names), None)
+        columns.append(pa.nulls(len(points), pa.float64()) if have is None else pa.array(points[have].astype(float) / (255 if have in bytes_ else 1)))
+    return pa.RecordBatch.from_arrays(columns, names=["file", "point_id", "x", "y", "z", "r", "g", "b", "distance"])
+
 
+class PlyWriter(DataSourceArrowWriter):
+    """One little-endian PLY file a task, written aside and moved in place when all tasks are done; a failed job leaves nothing."""
+
+    def __init__(self, path: str, columns: list[str], overwrite: bool) -> None:
+        self.path, self.columns, self.overwrite, self.job = path, columns, overwrite, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        colour = "r" in self.columns
-        kind = [(c, "<f4") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if colour else [])
-        rows = []
-        for row in iterator:
-            byte = [int(min(max((row[c] or 0) * 255, 0), 255)) for c in "rgb"] if colour else []
-            rows.append((row["x"], row["y"], row["z"], *byte))
-        head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(rows)}\n" + "".join(f"property {'float' if t == '<f4' else 'uchar'} {n}\n" for n, t in kind) + "end_header\n"
-        folder = Path(self.path)
-        folder.mkdir(parents=True, exist_ok=True)
-        (folder / f"part-{TaskContext.get().partitionId():05d}.ply").write_bytes(head.encode() + np.array(rows, dtype=kind).tobytes())
-        return WriterCommitMessage()
+        colour = {"r", "g", "b"} <= set(self.columns)
+        kind = np.dtype([(c, "<f4") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if colour else []))
+        body, n = [], 0
+        for batch in iterator:
+            points = np.zeros(batch.num_rows, dtype=kind)
+            for c in "xyz":
+                points[c] = batch.column(c).to_numpy(zero_copy_only=False)
+            for c, to in (("r", "red"), ("g", "green"), ("b", "blue")) if colour else ():
+                points[to] = np.clip(np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) * 255, 0, 255).astype(np.uint8)
+            body.append(points.tobytes())
+            n += len(points)
+        head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n" + "".join(f"property {'float' if kind[c] == '<f4' else 'uchar'} {c}\n" for c in kind.names) + "end_header\n"
+        context = TaskContext.get()
+        name = f"part-{context.partitionId():05d}-{self.job}.ply"
+        fs, place = _file_system(self.path)
+        aside = f"{place}/_aside-{self.job}/{name}.{context.attemptNumber()}"
+        fs.create_dir(aside.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(aside) as out:
+            out.write(head.encode())
+            for part in body:
+                out.write(part)
+        return PlyWritten(aside, name)
+
+    def commit(self, messages: list) -> None:
+        fs, place = _file_system(self.path)
+        if self.overwrite:
+            for f in fs.get_file_info(FileSelector(place)):
+                if f.is_file and f.path.endswith(".ply"):
+                    fs.delete_file(f.path)
+        for m in messages:
+            if m is not None:
+                fs.move(m.aside, f"{place}/{m.name}")
+        self._sweep(fs, place)
+
+    def abort(self, messages: list) -> None:
+        self._sweep(*_file_system(self.path))
+
+    def _sweep(self, fs: FileSystem, place: str) -> None:
+        aside = f"{place}/_aside-{self.job}"
+        if fs.get_file_info(aside).type == FileType.Directory:
+            fs.delete_dir(aside)
+
+
+@dataclass
+class PlyWritten(WriterCommitMessage):
+    aside: str
+    name: str
 
 
 class PlySink(DataSource):
-    """K3: df.write.format("ply").save(folder)."""
+    """Spark.read.format("ply").load(path) and df.write.format("ply").save(folder), in any store that pyarrow's file systems reach.
+
+    Options: maxPoints (of each file) and rowsPerPartition.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "ply"
 
+    def schema(self) -> str:
+        return POINT_SCHEMA
+
+    def reader(self, schema) -> PlyReader:
+        most = self.options.get("maxPoints")
+        return PlyReader(self.options["path"], None if most is None else int(most), int(self.options.get("rowsPerPartition", 1_000_000)))
+
     def writer(self, schema, overwrite: bool) -> PlyWriter:
-        return PlyWriter(self.options["path"], schema.fieldNames())
+        return PlyWriter(self.options["path"], schema.fieldNames(), overwrite)
+
+
+def read_ply(spark: SparkSession, path: str, max_points: int | None = None, rows: int = 1_000_000) -> DataFrame:
+    """Points of all PLY files; colours of bytes are scaled to 0..1, missing attributes are null. A short file is an error."""
+    spark.dataSource.register(PlySink)
+    reader = spark.read.format("ply").option("rowsPerPartition", rows)
+    return (reader if max_points is None else reader.option("maxPoints", max_points)).load(path)
 
 
 def parse_pgm(data: bytes) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.functions.geometry import flip_axes, invert_rigid, rotation_of
+from trajecta.functions.geometry import finite_pose, flip_axes, invert_rigid, rotation_of
 
 
 def lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
@@ -73,6 +73,21 @@ def kitti_calibration(spark: SparkSession, path: str, camera: str = "P2") -> Dat
     return v.select("file", *[F.col("v")[i].alias(n) for n, i in (("fx", 0), ("fy", 5), ("cx", 2), ("cy", 6))])
 
 
+def kitti_sequence(spark: SparkSession, poses: str, calibration: str, camera: str = "P2") -> DataFrame:
+    """Poses of one sequence with the camera of its calibration; only frames that both have, and one camera serves all."""
+    one = kitti_calibration(spark, calibration, camera).select("fx", "fy", "cx", "cy").limit(1)
+    return kitti_poses(spark, poses).crossJoin(F.broadcast(one))  # one row
+
+
+def shortest(frames: DataFrame, others: list[DataFrame], by: list[str]) -> DataFrame:
+    """Frames up to the least number that every table has: rows with frame_idx under the smallest count of each group."""
+    out = frames
+    for n, other in enumerate([frames, *others]):
+        out = out.join(other.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_n{n}")), by)
+    counts = [F.col(f"_n{n}") for n in range(len(others) + 1)]
+    return out.where(F.col("frame_idx") < (F.least(*counts) if len(counts) > 1 else counts[0])).select(*frames.columns)
+
+
 def _stacked(spark: SparkSession, path: str, height: int, first: int) -> DataFrame:
     """Matrices of four lines in records of `height` lines, from line `first` of a record on: (file, frame_idx, m)."""
     rows = lines(spark, path).select("file", F.floor(F.col("line_no") / height).cast("int").alias("frame_idx"), (F.col("line_no") % height - first).alias("row"), "line")
@@ -124,10 +139,10 @@ def colmap_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_trajectory(poses: DataFrame, path: str) -> None:
-    """K1: rows in frame order with ten decimals; missing poses are left out."""
+    """K1: rows in frame order with ten decimals; missing poses and poses with a number that is not finite are left out."""
     entries = [F.format_string("%.10f", F.col("m")[i]) for i in range(12)]
     line = F.concat_ws(" ", F.col("frame_idx").cast("string"), *entries)
-    _write_lines(poses.where("m is not null"), line, path)
+    _write_lines(poses.where(finite_pose(F.col("m"))), line, path)
 
 
 def write_intrinsics(rows: DataFrame, path: str) -> None:
