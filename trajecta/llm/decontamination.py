@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import read_table
+from trajecta.llm.common import materialize, read_table
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -85,6 +85,7 @@ class Matcher:
             self.search.make_automaton()
         self.any = bool(at)
         self.seen: dict[tuple[int, str], tuple[int, int] | None] = {}
+        self.seen_chars = 0
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end in the normalised text) of every item within its budget; the nearest spot of each."""
@@ -113,8 +114,10 @@ class Matcher:
                 else:
                     key = (k, window)
                     if key not in self.seen:
-                        if len(self.seen) > 20_000:
+                        self.seen_chars += len(window)
+                        if self.seen_chars > 16_000_000:
                             self.seen.clear()
+                            self.seen_chars = len(window)
                         self.seen[key] = myers(item, window, budget)
                     hit = self.seen[key]
                 if hit and (best is None or hit[0] < best[0]):
@@ -127,7 +130,7 @@ class Matcher:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, min_piece: int = 12, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, min_piece: int = 12, block_items: int = 20_000, block_chars: int = 16_000_000
 ) -> DataFrame:
     """Rows (doc_id, item_id, distance, end): items of benchmark(item_id, text) within the edit budget of a part of docs(doc_id, text).
 
@@ -135,13 +138,15 @@ def find_contamination(
     min(error_rate * m, m / min_piece - 1) edits from some substring; cut into budget + 1 pieces,
     one piece must occur unchanged, so an automaton over all pieces finds every candidate, and
     Myers distance over the window around it decides. Items are taken in blocks of about
-    block_items, each of bounded size for the driver and the tasks, with one scan of the
-    documents a block. Null or empty texts and items match nothing; repeated rows give
+    block_items items and block_chars characters at most, with one scan of the documents a
+    block; of several blocks each is written before the next is read, so the driver and the
+    tasks hold one block however large the benchmark is. Null or empty texts and items match nothing; repeated rows give
     repeated results; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    n_blocks = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    n_blocks = max(1, -(-size["n"] // block_items), -(-(size["chars"] or 0) // block_chars))
     schema = "doc_id long, item_id long, distance int, end long"
     out = None
     for k in range(n_blocks):
@@ -160,6 +165,9 @@ def find_contamination(
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = docs.select("doc_id", "text").mapInPandas(scan, schema)
+        if n_blocks > 1:
+            part = materialize(part, "contamination")
+            rows.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
