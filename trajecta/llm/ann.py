@@ -91,12 +91,17 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.cumsum(vectors * query, axis=1)[:, -1] if len(vectors) else np.zeros(0)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, exact scores), ties to smaller ids; scores are approximate and -inf where no candidate."""
+def best_of(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int, longest: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (ids, exact scores), ties to smaller ids; scores are approximate and -inf where no candidate.
+
+    Scores within rounding of the k-th, as the lengths of the query and of the longest vector
+    give it, are taken exactly before the k are cut.
+    """
     live = np.flatnonzero(scores > -np.inf)
     if len(live) > k:
         kth = np.partition(scores[live], len(live) - k)[len(live) - k]
-        live = live[scores[live] >= kth - 1e-9]
+        reach = float(np.linalg.norm(vectors, axis=1).max()) if longest is None else longest
+        live = live[scores[live] >= kth - 1e-12 * (len(query) + 1) * float(np.linalg.norm(query)) * reach]
     s = exact(query, vectors[live])
     order = np.lexsort((ids[live], -s))[:k]
     return ids[live][order], s[order]
@@ -241,6 +246,7 @@ def nearest(
         if len(left) and len(right):
             left = left.sort_values(["leaf", "vec_id"])
             ids, leaf, x = left["vec_id"].to_numpy(), left["leaf"].to_numpy(), _matrix(left["v"])
+            longest = float(np.linalg.norm(x, axis=1).max())
             names = np.unique(leaf)
             place = np.searchsorted(names, leaf)
             for at in range(0, len(right), 64):
@@ -255,7 +261,7 @@ def nearest(
                 scores[~seen[:, place]] = -np.inf
                 scores[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
                 for i, name in enumerate(part["query_id"]):
-                    top, s = best_of(scores[i], ids, x, q[i], k)
+                    top, s = best_of(scores[i], ids, x, q[i], k, longest)
                     if len(top):
                         out.append((name, top, s))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
