@@ -58,6 +58,14 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     per_char: np.ndarray | None = None
+    tolerance: float = 8.0
+
+    def deviations(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each text, and how many calibrated deviations its cross-entropy lies over the language's mean."""
+        best = h.argmin(axis=1)
+        low = h[np.arange(len(h)), best]
+        own = np.sqrt(self.spread[best] ** 2 + self.per_char[best] / np.maximum(n, 1)) + 0.01
+        return best, (low - self.mean[best]) / own
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """Natural-log probability [positions, langs] of every code after the first ORDER - 1."""
@@ -177,13 +185,19 @@ def entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
     return h, n, var
 
 
-def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
-    """Mean and spread of each language's cross-entropy over texts that were not fitted."""
-    size = len(model.langs)
+def calibrate(model: Model, texts: dict[str, list[str]], seed: int = 3) -> Model:
+    """Mean and spread of each language's cross-entropy over texts that were not fitted, and the deviation at which texts are rejected.
+
+    The same texts with their letters shuffled stand for what is in no language. The limit lies
+    half way between the most deviant clean text and the shuffled text that one in a hundred
+    falls under, but at 1.25 times the former at least, so clean texts are never given up for
+    foreign ones.
+    """
+    size, rng = len(model.langs), np.random.default_rng(seed)
     model.mean, model.spread, model.per_char = np.zeros(size), np.zeros(size), np.ones(size)
+    clean = {lang: [c for t in texts.get(lang, []) if (c := letters_only(t))] for lang in model.langs}
     for j, lang in enumerate(model.langs):
-        clean = [letters_only(t) for t in texts.get(lang, [])]
-        h, n, var = entropies(model, [t for t in clean if t])
+        h, n, var = entropies(model, clean[lang])
         if len(h):
             weight = n / n.sum()
             model.mean[j] = float((h[:, j] * weight).sum())
@@ -191,32 +205,43 @@ def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
             model.spread[j] = float(np.sqrt(np.maximum((h[:, j] - model.mean[j]) ** 2 - model.per_char[j] / n, 0).mean()))
         else:
             model.mean[j], model.spread[j], model.per_char[j] = np.inf, 0, 1
+    every = [t for own in clean.values() for t in own if len(t) > 40]
+    if every:
+        h, n, _ = entropies(model, every)
+        most = max(float(model.deviations(h, n)[1].max()), 1.0)
+        h, n, _ = entropies(model, ["".join(rng.permutation(list(t))) for t in every])
+        foreign = float(np.quantile(model.deviations(h, n)[1], 0.01))
+        model.tolerance = max(1.25 * most, (most + foreign) / 2)
     return model
 
 
 def sample_texts(labelled: DataFrame, per_lang: int, max_chars: int) -> dict[str, list[str]]:
-    """A bounded sample of texts of every language: at most per_lang texts of at most max_chars characters.
+    """A bounded sample of whole texts of every language: at most per_lang, until they hold max_chars characters together.
 
-    Texts are drawn whole, by a hash of the text, first by a rate that follows from each language's
-    count and then by rank, so no window holds a whole language.
+    Rows are drawn by a hash of the row (with doc_id where it is there, so a text comes as often
+    as its copies do), first by a rate that follows from each language's count and then by rank,
+    so no window holds a whole language.
     """
-    fit = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.length("text").between(1, max_chars)).select("text", "lang")
+    row = ["doc_id", "text"] if "doc_id" in labelled.columns else ["text"]
+    fit = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    fit = fit.select("text", "lang", F.xxhash64(*row).alias("hash"))
     counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return {}
-    turn = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
     rate = F.lit(0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1 << 20, int((1 << 20) * 2 * per_lang / n) + 1))).otherwise(rate)
-    drawn = fit.withColumn("turn", turn).where(F.col("turn") < rate)
-    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))).where(F.col("k") <= per_lang)
+    drawn = fit.withColumn("turn", F.pmod("hash", F.lit(1 << 20))).where(F.col("turn") < rate)
+    w = Window.partitionBy("lang").orderBy("turn", "text")
+    drawn = drawn.withColumn("k", F.row_number().over(w)).withColumn("before", F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    drawn = drawn.where((F.col("k") <= per_lang) & (F.coalesce("before", F.lit(0)) < max_chars))
     out: dict[str, list[str]] = {}
     for r in drawn.select("lang", "text").orderBy("lang", "k").collect():
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
-def train(labelled: DataFrame, per_lang: int = 500, max_chars: int = 6000) -> Model | None:
+def train(labelled: DataFrame, per_lang: int = 500, max_chars: int = 1_000_000) -> Model | None:
     """Fit on four fifths of a bounded sample of labelled(text, lang) and calibrate on the rest; None without labels."""
     drawn = sample_texts(labelled, per_lang, max_chars)
     fit = {k: [c for t in (v if len(v) < 5 else [t for i, t in enumerate(v) if i % 5]) if (c := letters_only(t))] for k, v in drawn.items()}
@@ -226,15 +251,15 @@ def train(labelled: DataFrame, per_lang: int = 500, max_chars: int = 6000) -> Mo
     return calibrate(fit_models(fit), {k: [t for i, t in enumerate(v) if len(v) < 5 or i % 5 == 0] for k, v in drawn.items()})
 
 
-def identify(docs: DataFrame, model: Model | None, tolerance: float = 8.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, tolerance: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, lang_pred, score, cross_entropy, rejected.
 
     lang_pred is the language of the lowest length-normalised cross-entropy (the first by name
     on ties), `und` where the text is null or has no letter or nothing was learned. score is
     the share of the best language in exp(-cross-entropy * 20), 0 for `und`. rejected marks
     `und` and texts whose cross-entropy lies over `tolerance` calibrated deviations above the
-    language's mean; a deviation combines the spread between texts and the sampling error of a
-    text of that length. Columns in `carry` are passed through. Null doc_ids, repeated rows and very long texts are scored row by
+    language's mean (by default the limit that calibrate() found); a deviation combines the
+    spread between texts and the sampling error of a text of that length. Columns in `carry` are passed through. Null doc_ids, repeated rows and very long texts are scored row by
     row; other columns are not read; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
@@ -248,13 +273,12 @@ def identify(docs: DataFrame, model: Model | None, tolerance: float = 8.0, carry
             own = np.array([i for i, t in enumerate(texts) if t], dtype=np.int64)
             if m is not None and len(own):
                 h, size, _ = entropies(m, [texts[i] for i in own])
-                best = h.argmin(axis=1)
+                best, over = m.deviations(h, size)
                 low = h[np.arange(len(own)), best]
                 lang[own] = np.array(m.langs, dtype=object)[best]
                 score[own] = 1 / np.exp(-20 * (h - low[:, None])).sum(axis=1)
                 best_h[own] = low
-                limit = m.mean[best] + tolerance * np.sqrt(m.spread[best] ** 2 + m.per_char[best] / np.maximum(size, 1)) + 0.05
-                rejected[own] = low > limit
+                rejected[own] = over > (m.tolerance if tolerance is None else tolerance)
             out = {"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": lang, "score": score, "cross_entropy": best_h, "rejected": rejected}
             yield pd.DataFrame(out | {c: batch[c] for c in carry})
 

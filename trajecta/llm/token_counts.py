@@ -111,15 +111,22 @@ class CountTree:
         self.put(first, region, len(enc.encode_many([region])[0]))
 
     def _last(self) -> tuple[int, int]:
-        leaf = self._near(self.width, -1)
+        leaf = self._outermost(1, 1)
         return leaf, len(self.leaves[leaf])
 
+    def _outermost(self, node: int, side: int) -> int:
+        """The first (side 0) or last (side 1) leaf with text under a node that has any."""
+        while node < self.width:
+            node = 2 * node + side if self.chars[2 * node + side] else 2 * node + 1 - side
+        return node - self.width
+
     def _near(self, leaf: int, step: int) -> int | None:
-        leaf += step
-        while 0 <= leaf < self.width:
-            if self.leaves[leaf]:
-                return leaf
-            leaf += step
+        """The next leaf with text to the left (-1) or right (1), by the sums on the way up."""
+        node = leaf + self.width
+        while node > 1:
+            if (node % 2 == 0) == (step > 0) and self.chars[node ^ 1]:
+                return self._outermost(node ^ 1, 0 if step > 0 else 1)
+            node //= 2
         return None
 
 
@@ -163,7 +170,8 @@ def apply_edits(trees: DataFrame, tokenizer_path: str, keep_state: bool = False)
 
     Returns doc_id, n_tokens before and n_tokens_after, n_chars_after, encoded_chars (characters
     encoded again), n_segments; with keep_state also the new text and segments. An edit's
-    start counts characters of the text as the edits before it left it. Null or missing edits
+    start counts characters of the text as the edits before it left it. The edits of one document
+    are one list and must fit a row. Null or missing edits
     change nothing; null doc_ids and repeated rows are edited row by row; an empty table gives
     no rows.
     """

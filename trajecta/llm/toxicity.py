@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.llm.common import id_fold, read_table
@@ -29,71 +30,54 @@ class Classifier:
     bias: float
 
     def score(self, text: str | None) -> float:
-        """Probability-like score of one whole text."""
-        z = self.bias
-        if text:
-            words = set(_WORD.findall(text.lower()))
-            get = self.weights.get
-            z += sum(get(w, 0.0) for w in words) + sum(get(s, 0.0) for s in {w[:PREFIX] + "*" for w in words if len(w) > PREFIX})
+        """Probability-like score of one whole text; the sum does not depend on the order of its words."""
+        z = math.fsum([self.bias, *map(self.weights.__getitem__, features_of(text) & self.weights.keys())])
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
+def risk_and_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative PU risk of the logistic loss, and the descent direction by each positive and each unlabelled score.
+
+    risk = prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]). While the second
+    part is negative, its reversed gradient is the direction.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gu, gp = sigmoid(zu) / len(zu), -prior * sigmoid(zp) / len(zp)
+    risk = prior * np.logaddexp(0, -zp).mean() + max(0.0, rest)
+    return float(risk), (gp - prior * sigmoid(-zp) / len(zp) if rest >= 0 else -gp), (gu if rest >= 0 else -gu)
+
+
 def nn_pu_fit(
-    positive: list[set[str]], unlabelled: list[set[str]], prior: float, max_features: int = 4000, min_positive: int = 4, min_purity: float = 0.6,
-    steps: int = 600, rate: float = 0.05, l2: float = 1e-4, seed: int = 0,
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], words: list[str], prior: float, max_features: int = 4000, min_positive: int = 4,
+    min_purity: float = 0.6, steps: int = 600, rate: float = 0.05, l2: float = 1e-4,
 ) -> Classifier:
-    """A linear logistic classifier under the non-negative PU risk.
+    """A linear logistic classifier under the non-negative PU risk, from the places in `words` of each text's features.
 
-    risk = prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]). While the second
-    part is negative its gradient is reversed, so the classifier stops fitting unlabelled
-    positives as negatives. Features are the words and stems that positives hold significantly
-    oftener than unlabelled texts do, and whose holders are toxic by a share of min_purity at
-    least, as the prior and the two rates tell.
+    Features are the words and stems that positives hold significantly oftener than unlabelled
+    texts do, and whose holders are toxic by a share of min_purity at least, as the prior and
+    the two rates tell.
     """
-    up: dict[str, int] = {}
-    uu: dict[str, int] = {}
-    for counts, texts in ((up, positive), (uu, unlabelled)):
-        for t in texts:
-            for w in t:
-                counts[w] = counts.get(w, 0) + 1
     n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
-    gain = {}
-    for w, c in up.items():
-        if c >= min_positive:
-            rate_p, rate_u = c / n_p, uu.get(w, 0) / n_u
-            purity = prior * rate_p / max(rate_u, prior * rate_p)  # share of toxic texts among those that hold it
-            noise = np.sqrt(max(rate_u, 1 / n_u) / n_p)
-            if purity >= min_purity and rate_p - rate_u > 5 * noise:
-                gain[w] = rate_p * purity
-    chosen = sorted(gain, key=lambda w: (-gain[w], w))[:max_features]
-    index = {w: i for i, w in enumerate(chosen)}
-    if not index:
+    flat = [np.concatenate([np.zeros(0, dtype=np.int32), *texts]) for texts in (positive, unlabelled)]
+    held = [np.repeat(np.arange(len(texts)), [len(t) for t in texts]) for texts in (positive, unlabelled)]
+    count_p, count_u = (np.bincount(f, minlength=len(words)) for f in flat)
+    rate_p, rate_u = count_p / n_p, count_u / n_u
+    purity = prior * rate_p / np.maximum(np.maximum(rate_u, prior * rate_p), 1e-300)  # share of toxic texts among those that hold it
+    noise = np.sqrt(np.maximum(rate_u, 1 / n_u) / n_p)
+    fit = np.flatnonzero((count_p >= min_positive) & (purity >= min_purity) & (rate_p - rate_u > 5 * noise))
+    chosen = sorted(fit.tolist(), key=lambda w: (-rate_p[w] * purity[w], words[w]))[:max_features]
+    if not chosen:
         return Classifier({}, -3.0)
-
-    def rows(texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        r, c = [], []
-        for i, t in enumerate(texts):
-            hit = [index[w] for w in t if w in index]
-            r += [i] * len(hit)
-            c += hit
-        return np.array(r, dtype=np.int64), np.array(c, dtype=np.int64)
-
-    pr, pc = rows(positive)
-    ur, uc = rows(unlabelled)
-    w, b = np.zeros(len(index)), -1.0
+    place = np.full(len(words), -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
+    (pr, pc), (ur, uc) = ((h[place[f] >= 0], place[f][place[f] >= 0]) for f, h in zip(flat, held, strict=True))
+    w, b = np.zeros(len(chosen)), -1.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
         zp = np.bincount(pr, w[pc], minlength=n_p) + b
         zu = np.bincount(ur, w[uc], minlength=n_u) + b
-        loss_u = np.logaddexp(0, zu).mean()
-        loss_p = np.logaddexp(0, zp).mean()
-        gp_pos = -prior * sigmoid(-zp) / n_p
-        gu, gp_neg = sigmoid(zu) / n_u, -prior * sigmoid(zp) / n_p
-        if loss_u - prior * loss_p >= 0:
-            gp, gu = gp_pos + gp_neg, gu
-        else:
-            gp, gu = -gp_neg, -gu
+        _, gp, gu = risk_and_gradient(zp, zu, prior)
         grad = np.bincount(pc, gp[pr], minlength=len(w)) + np.bincount(uc, gu[ur], minlength=len(w)) + l2 * w
         gb = gp.sum() + gu.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -101,31 +85,41 @@ def nn_pu_fit(
         scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= scale * m / (np.sqrt(v) + 1e-8)
         b -= scale * mb / (np.sqrt(vb) + 1e-8)
-    return Classifier({x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-6}, float(b))
+    return Classifier({words[x]: float(w[i]) for i, x in enumerate(chosen) if abs(w[i]) > 1e-6}, float(b))
 
 
 def draw(rows: DataFrame, n: int, count: int, max_chars: int) -> list[str]:
-    """At most n whole texts of at most max_chars characters, by a hash of the text."""
+    """At most n whole texts of rows(doc_id, text), by a hash of the row, until they hold max_chars characters together."""
     rate = min(1 << 20, int((1 << 20) * 1.5 * n / max(count, 1)) + 1)
-    drawn = rows.where(F.length("text").between(1, max_chars) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate)).select("text")
-    return [r["text"] for r in drawn.orderBy(F.xxhash64("text", F.lit(1))).limit(n).collect()]
+    turn = F.xxhash64("doc_id", "text", F.lit(1))
+    drawn = rows.where((F.length("text") > 0) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < rate)).select("text", turn.alias("turn")).orderBy("turn").limit(n)
+    before = F.sum(F.length("text")).over(Window.orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1))  # n rows
+    drawn = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_chars)
+    return [r["text"] for r in drawn.orderBy("turn", "text").select("text").collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000, max_chars: int = 6000) -> Classifier:
+def train(
+    docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000, positive_chars: int = 6_000_000, unlabelled_chars: int = 18_000_000
+) -> Classifier:
     """Fit on texts confirmed toxic in labels(doc_id, toxic) and on unlabelled texts of docs(doc_id, text).
 
-    Both samples are bounded, drawn whole by a hash of the text. The class prior is the toxic
-    share of the labelled rows, 0.1 where there are none.
+    Both samples are bounded in texts and characters and drawn by a hash of the row, so a text
+    comes as often as its copies do; texts are whole and of any length. The class prior is the
+    toxic share of the labelled rows, 0.1 where there are none.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     said = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     n, p = said["n"] or 0, said["p"] or 0
     prior = min(max(p / n, 0.01), 0.6) if n else 0.1
     toxic = docs.select("doc_id", "text").join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    total = docs.count()
-    positive = [features_of(t) for t in draw(toxic, max_positive, p, max_chars)]
-    unlabelled = [features_of(t) for t in draw(docs.select("text"), max_unlabelled, total, max_chars)]
-    return nn_pu_fit(positive, unlabelled, prior)
+    places: dict[str, int] = {}
+
+    def numbered(texts: list[str]) -> list[np.ndarray]:
+        return [np.array([places.setdefault(w, len(places)) for w in sorted(features_of(t))], dtype=np.int32) for t in texts]
+
+    positive = numbered(draw(toxic, max_positive, p, positive_chars))
+    unlabelled = numbered(draw(docs.select("doc_id", "text"), max_unlabelled, docs.count(), unlabelled_chars))
+    return nn_pu_fit(positive, unlabelled, list(places), prior)
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
