@@ -1,5 +1,6 @@
 """The parts that need no Spark, against plain versions."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -52,7 +53,7 @@ def test_repair_round_trip_and_random_access():
         docs.append(np.full(300, 5, dtype=np.uint32))
         ids, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
         alphabet, rules, lengths, seq, symbols = repair_compress(ids, sizes, min_count=2)
-        reader = ShardReader(alphabet.astype("<u4").tobytes(), rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u2").tobytes())
+        reader = ShardReader(2, alphabet.astype("<u4").tobytes(), rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u2").tobytes())
         assert (reader.all() == ids).all() and len(seq) == symbols.sum() and (n_docs < 40 or len(seq) < len(ids))
         at = 0
         for d, n in zip(docs, symbols, strict=True):  # a document is a range of symbols
@@ -64,6 +65,30 @@ def test_repair_round_trip_and_random_access():
             assert (reader.tokens(a, b) == ids[a:b]).all()
 
 
+def test_repair_leaves_no_pair_that_recurs_without_overlap():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 6, int(n)).astype(np.uint32) for n in rng.integers(1, 500, 30)] + [np.full(2**11, 3, dtype=np.uint32)] * 2
+    ids, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    alphabet, rules, lengths, seq, symbols = repair_compress(ids, sizes, min_count=4)
+    cuts = np.split(seq, np.cumsum(symbols)[:-1])
+    seen = Counter()
+    for part in cuts:
+        last = {}
+        for i, p in enumerate(zip(part.tolist(), part.tolist()[1:], strict=False)):
+            if last.get(p, -2) != i - 1:  # a run counts every other place
+                seen[p] += 1
+                last[p] = i
+    assert max(seen.values(), default=0) < 4 and len({tuple(r) for r in rules.tolist()}) == len(rules)
+    assert (lengths >= 2).all() and lengths.max() >= 64
+
+
+def test_repair_of_many_distinct_ids_takes_four_bytes():
+    ids = np.concatenate([np.arange(70_000), np.tile([69_999, 5], 30)]).astype(np.uint32)
+    alphabet, rules, lengths, seq, _ = repair_compress(ids, np.array([len(ids)]), min_count=8)
+    reader = ShardReader(4, alphabet.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes())
+    assert len(rules) and (reader.all() == ids).all()
+
+
 def place(counts, capacity):
     bins, by_size = {}, {}
     for size, rank, first, offset in plan_bins(counts, capacity):
@@ -153,11 +178,24 @@ def test_count_tree_matches_encoding_the_edited_text(plain):
 
 
 def test_shingles_and_signature():
-    h = near_dedup.WordHashes()
-    words = near_dedup.words_of("A b c\tD  e")
-    assert words == ["a", "b c", "d", "e"]
-    assert len(near_dedup.shingle_set(h.of(words))) == 1 and len(near_dedup.shingle_set(h.of(words + ["f"]))) == 2
-    assert len(near_dedup.shingle_set(h.of(["a"]))) == 1 and len(near_dedup.shingle_set(h.of([]))) == 0
+    h = lambda text: near_dedup.word_hashes(text.encode())[0]
+    words = "a b\u00a0\u00e9c d e f\x1cg".split(" ")
+    odd = "A\tb\u00a0\u00e9C\r\n D  e\x0bf\x1cG "
+    for stretch in (3, 5, 1 << 20):
+        found, starts = near_dedup.word_hashes(odd.encode(), stretch)
+        assert found.tolist() == [int(h(w)[0]) for w in words] and [odd.encode()[i : i + 1].lower() for i in starts] == [w[:1].encode() for w in words]
+    assert len(set(found.tolist())) == 5 and h("\u00c9")[0] != h("\u00e9")[0] and len(h("")) == len(h(" \n")) == 0
+    pool = {"".join(t) for n in (1, 2, 3, 4) for t in itertools.product("abcdefgh\u00e9", repeat=n)}
+    assert len(set(h(" ".join(pool)).tolist())) == len(pool)
+    assert len(near_dedup.shingle_set(h("a b c d"))) == 1 and len(near_dedup.shingle_set(h("a b c d f"))) == 2
+    assert len(near_dedup.shingle_set(h("a"))) == 1 and len(near_dedup.shingle_set(h(""))) == 0
+    rnd = random.Random(1)
+    texts = [[rnd.choice("xyz") for _ in range(n)] for n in (0, 1, 3, 4, 5, 90, 0, 2, 300, 4)]
+    flat, sizes = near_dedup.shingle_sets_of(h(" ".join(w for t in texts for w in t)), np.array([len(t) for t in texts]))
+    plain = [{tuple(t[i : i + 4]) for i in range(max(len(t) - 3, 1))} if t else set() for t in texts]
+    assert sizes.tolist() == [len(p) for p in plain]
+    for part, t in zip(np.split(flat, np.cumsum(sizes)[:-1]), texts, strict=True):
+        assert part.tolist() == near_dedup.shingle_set(h(" ".join(t))).tolist()
     rng = np.random.default_rng(0)
     perms = near_dedup.permutations(288)
     for share in (0.5, 0.8, 0.95):
@@ -165,8 +203,20 @@ def test_shingles_and_signature():
         n = int(2000 * share / (1 + share) * 1.5)
         a, b = np.sort(pool[:1500]), np.sort(np.concatenate([pool[:n], pool[1500 : 3000 - n]]))
         jac = n / (3000 - n)
-        same = (near_dedup.min_max_signature(a, perms) == near_dedup.min_max_signature(b, perms)).mean()
-        assert abs(same - jac) < 0.09
+        found = near_dedup.min_max_signatures(np.concatenate([a, b]), np.array([1500, 1500]), perms)
+        assert abs((found[:, 0] == found[:, 1]).mean() - jac) < 0.09
+
+
+@pytest.mark.parametrize("shared,size", [(4, 5), (8, 10), (80, 100)])
+def test_bands_miss_a_pair_at_the_threshold_as_seldom_as_said(shared, size):
+    """Of 2000 pairs at similarity 0.8, small sets included, each of 72 bands agrees at about 0.8**8."""
+    rng, bands, rows = np.random.default_rng(size), near_dedup.BANDS, near_dedup.ROWS
+    pools = rng.integers(0, 2**63, (2000, size), dtype=np.uint64) * np.uint64(2)
+    flat = np.concatenate([np.concatenate([np.sort(p[:-1] if shared == size - 1 else p[: (size + shared) // 2]), np.sort(p if shared == size - 1 else np.concatenate([p[:shared], p[(size + shared) // 2 :]]))]) for p in pools])
+    n = np.tile([size - 1, size] if shared == size - 1 else [(size + shared) // 2] * 2, 2000)
+    keys = near_dedup.band_keys(near_dedup.min_max_signatures(flat, n, near_dedup.permutations(bands * rows // 2)), bands, rows)
+    same = keys[:, ::2] == keys[:, 1::2]
+    assert abs(same.mean() - 0.8**rows) < 0.02 and same.any(axis=0).all()
 
 
 def test_spanning_links_join_what_brute_force_joins():
@@ -209,3 +259,61 @@ def test_best_of_breaks_ties_by_id():
     x = np.ones((6, 2))
     ids, _ = best_of(np.full(6, 2.0), np.array([9, 3, 7, 1, 8, 2]), x, np.ones(2), 3)
     assert ids.tolist() == [1, 2, 3]
+
+
+def test_language_models_are_interpolated_kneser_ney():
+    """Every probability against a plain recursion over dictionaries of counts."""
+    from trajecta.llm.language_id import codes_of, fit_models, letters_only
+
+    order, discount = 3, 0.75
+    texts = {"a": ["abba cab bac abcab", "cab a bab"], "b": ["dda bad dab", "add a dad bad"]}
+    clean = {k: [letters_only(t) for t in v] for k, v in texts.items()}
+    model = fit_models(clean, order, discount)
+    joined = {k: "".join("".join(map(chr, codes_of(t).tolist())) for t in v) for k, v in clean.items()}
+    vocabulary = len({c for t in joined.values() for c in t[1:]}) + 1
+    for j, lang in enumerate(model.langs):
+        text = joined[lang]
+        counts = {order: Counter(text[i : i + order] for i in range(len(text) - order + 1))}
+        for k in range(1, order):  # lower orders: distinct characters before a gram
+            counts[k] = Counter(g[1:] for g in {text[i : i + k + 1] for i in range(len(text) - k)})
+
+        def p(gram, counts=counts):
+            k, context = len(gram), gram[:-1]
+            lower = p(gram[1:]) if k > 1 else 1 / vocabulary
+            own = {g: n for g, n in counts[k].items() if g[:-1] == context}
+            total = sum(own.values())
+            return (max(own.get(gram, 0) - discount, 0) + discount * len(own) * lower) / total if total else lower
+
+        for probe in ("cab", "abb", "bac", "dda", "dad", " ba", "b a"):
+            got = model.score(np.array([ord(c) for c in probe], dtype=np.uint64))[0, j]
+            assert got == pytest.approx(np.log(p(probe)), abs=1e-4), (lang, probe)
+
+
+def test_pu_risk_and_its_gradient():
+    from trajecta.llm.toxicity import risk_and_gradient
+
+    rng = np.random.default_rng(2)
+    for shift in (0.5, 2.0):
+        zp, zu, prior = rng.standard_normal(7) + 1, rng.standard_normal(11) + shift, 0.3
+        risk, gp, gu = risk_and_gradient(zp, zu, prior)
+        plus, minus = (lambda z: np.log1p(np.exp(-z)).mean()), (lambda z: np.log1p(np.exp(z)).mean())
+        assert minus(zu) > prior * minus(zp)
+        assert risk == pytest.approx(prior * plus(zp) + minus(zu) - prior * minus(zp))
+        for z, g in ((zp, gp), (zu, gu)):
+            for i in range(len(z)):
+                z[i] += 1e-6
+                assert (risk_and_gradient(zp, zu, prior)[0] - risk) / 1e-6 == pytest.approx(g[i], abs=1e-4)
+                z[i] -= 1e-6
+    zp, zu = np.full(5, 3.0), np.full(9, -6.0)  # unlabelled rows fitted too well: only the reversed part moves
+    risk, gp, gu = risk_and_gradient(zp, zu, 0.5)
+    assert risk == pytest.approx(0.5 * np.log1p(np.exp(-3.0))) and (gp > 0).all() and (gu < 0).all()
+
+
+def test_classifier_scores_do_not_depend_on_the_order_of_words():
+    from trajecta.llm.toxicity import Classifier
+
+    rng = random.Random(4)
+    words = ["".join(p) for p in itertools.product("abcde", repeat=4)]
+    model = Classifier({w: rng.uniform(-1, 1) for w in words}, -0.5)
+    scores = {model.score(" ".join(rng.sample(words, len(words)))) for _ in range(5)}
+    assert len(scores) == 1

@@ -69,7 +69,7 @@ def key(x):
 
 def test_near_duplicates_match_brute_force(docs, rows):
     got = near_duplicates(docs).collect()
-    sets = [near_dedup.shingle_set(near_dedup.WordHashes().of(near_dedup.words_of(t))) for _, t in rows]
+    sets = [near_dedup.shingle_set(near_dedup.word_hashes((t or "").encode())[0]) for _, t in rows]
     live = [k for k, (i, _) in enumerate(rows) if i is not None and len(sets[k])]
     parent = {rows[k][0]: rows[k][0] for k in live}
 
@@ -144,7 +144,7 @@ def test_token_shards_round_trip(spark, docs, rows, empty):
         assert (i is None and r.doc_id != r.doc_id) or r.doc_id == i
         start += len(ids)
     shard = spark.read.schema(SHARD_SCHEMA).parquet(path).first()
-    reader = ShardReader(shard.alphabet, shard.rules, shard.rule_lengths, shard.sequence)
+    reader = ShardReader(shard.symbol_bytes, shard.alphabet, shard.rules, shard.rule_lengths, shard.sequence)
     assert (reader.tokens(3, 50) == reader.all()[3:50]).all()
     write_token_shards(empty, other := shared_path(spark, "t"), PATH)
     assert read_token_shards(spark, other).count() == 0
@@ -211,8 +211,8 @@ def test_decontamination_in_blocks(spark, docs, empty):
     item = "glass bread storm water early night paper chair open door hill green walk cloud bright seven"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "nowhere to be found in any of these texts at all")], "item_id long, text string")
     rows = [(1, f"Before: {item.upper()}, after."), (2, item.replace("paper", "papyr").replace("hill", "hil")), (3, item[:40]), (4, None), (5, ""), (None, item)]
-    for block in (1, 100):
-        got = {(r.doc_id, r.item_id, r.distance) for r in find_contamination(table(spark, rows), bench, block_items=block).collect()}
+    for block in ({"block_items": 1}, {"block_items": 100}, {"block_chars": 60}):
+        got = {(r.doc_id, r.item_id, r.distance) for r in find_contamination(table(spark, rows), bench, **block).collect()}
         assert {(d, i) for d, i, _ in got} == {(1, 1), (2, 1), (None, 1)} and (1, 1, 0) in got
     assert find_contamination(empty, bench).count() == 0 and find_contamination(docs, bench.limit(0)).count() == 0
 
@@ -341,3 +341,12 @@ def test_decontaminate_stage_goes_by_rows(spark, tmp_path):
     rows = [(None, "so " + item), (None, "a clean text"), (5, item + " end"), (5, "another clean text"), (6, None)]
     got = corpus_pipeline.decontaminate(spark, table(spark, rows), str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "a clean text"), (5, "another clean text"), (6, "")]
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path, empty):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[1:]:  # the first gives nothing already
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -16,86 +16,149 @@ from trajecta.llm.tokens import encoder, ragged_take, text_batches
 #: One row is one shard. Symbols below `base` are ranks in `alphabet`; symbol base + r is rule r.
 SHARD_SCHEMA = (
     "part int, seq int, n_docs int, n_tokens long, doc_ids array<bigint>, doc_tokens array<int>, doc_symbols array<int>, "
-    "alphabet binary, rules binary, rule_lengths binary, sequence binary"
+    "symbol_bytes int, alphabet binary, rules binary, rule_lengths binary, sequence binary"
 )
-_MAX_SYMBOLS = 65_535
+#: Symbols of two bytes; a shard of more distinct ids than that takes four bytes a symbol.
+_SHORT_SYMBOLS = 65_536
+
+
+def _frequent_pairs(keys: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys that occur min_count times, their counts, and for each key its place among them or -1."""
+    order = np.sort(keys)
+    cuts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.concatenate([cuts, [len(order)]]))
+    often = counts >= min_count
+    names, counts = order[cuts[often]], counts[often]
+    if not len(names):
+        return names, counts, np.full(len(keys), -1, dtype=np.int32)
+    fold = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    table = np.full(1 << 20, -1, dtype=np.int32)
+    table[fold(names)] = np.arange(len(names), dtype=np.int32)
+    place = table[fold(keys)]
+    look = np.flatnonzero(place >= 0)
+    other = look[names[place[look]] != keys[look]]  # keys of another name's slot
+    at = np.searchsorted(names, keys[other])
+    at[at == len(names)] = 0
+    place[other] = np.where(names[at] == keys[other], at, -1)
+    return names, counts, place
+
+
+def _outranking(at: np.ndarray, own: np.ndarray, prio: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The places among `at` whose pair ranks before the pairs at both overlapping places; prio is all-high but during the call."""
+    prio[at] = own
+    best = at[(own < prio[after[at]]) & (own < prio[before[at]])]
+    prio[at] = np.iinfo(np.uint64).max
+    return best
 
 
 def repair_compress(
-    ids: np.ndarray, doc_sizes: np.ndarray, max_rounds: int = 6, min_count: int = 8, min_gain: float = 0.01
+    ids: np.ndarray, doc_sizes: np.ndarray, min_count: int = 8
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard: (alphabet, rules[n, 2], rule lengths, sequence, symbols of each document).
 
-    A round counts all adjacent pairs, takes frequent ones greedily by count so that no symbol
-    is the left of one and the right of another (then no two occurrences overlap, but for
-    runs, which are cut alternately by never pairing a symbol with itself), and replaces every
-    occurrence by a new symbol. Pairs never cross the end of a document, so each document is a
-    range of the sequence. Rounds stop when a round would shorten the sequence by less than
-    min_gain or the symbols no longer fit 16 bits.
+    A round ranks all pairs that occur min_count times, the most frequent first. Pairs that
+    outrank what they overlap in min_count places get a rule each, and all their occurrences
+    are replaced but those that a replaced one overlaps; so the best pair loses none, and runs
+    of one symbol go by twos. Only pairs beside replaced ones change: the counts of old ones go
+    down, and the others hold a new symbol and are counted alone. Rounds stop when no pair
+    occurs min_count times without overlap or, where the ids of the shard fit two bytes, when
+    rules have used up the symbols of two bytes. Pairs never cross the end of a document, so
+    each document is a range of the sequence.
     """
-    present = np.zeros(int(ids.max()) + 1, dtype=bool)
-    present[ids] = True
-    alphabet = np.flatnonzero(present)
-    rank = np.zeros(len(present), dtype=np.uint32)
-    rank[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-    seq = rank[ids]
-    last = np.zeros(len(seq), dtype=bool)
-    ends = np.cumsum(doc_sizes)
-    last[ends[doc_sizes > 0] - 1] = True
-    left_of, right_of = [], []
-    lengths = np.ones(len(alphabet), dtype=np.int64)
-    for _ in range(max_rounds):
-        if len(seq) < 2 or len(lengths) >= _MAX_SYMBOLS:
-            break
-        keys = (seq[:-1] << np.uint32(16) | seq[1:])[~last[:-1]]
-        keys.sort()
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        counts = np.diff(np.concatenate([cuts, [len(keys)]]))
-        often = counts >= min_count
-        pairs, counts = keys[cuts[often]], counts[often]
-        order = np.lexsort((pairs, -counts))
-        pairs, counts = pairs[order], counts[order]
-        role = np.zeros(len(lengths), dtype=np.int8)
-        partner = np.full(len(lengths), -1, dtype=np.int64)
-        number = np.zeros(len(lengths), dtype=np.uint32)
-        room, chosen, gain = _MAX_SYMBOLS - len(lengths), [], 0
-        for pair, n in zip(pairs.tolist(), counts.tolist(), strict=True):
-            a, b = pair >> 16, pair & 65_535
-            if a == b or role[a] or role[b] == 1:
-                continue
-            role[a], role[b] = 1, 2
-            partner[a], number[a] = b, len(lengths) + len(chosen)
-            chosen.append((a, b))
-            gain += n
-            if len(chosen) >= room:
-                break
-        if gain < min_gain * len(seq):
-            break
-        hit = np.zeros(len(seq), dtype=bool)
-        hit[:-1] = (partner[seq[:-1]] == seq[1:]) & ~last[:-1]
-        at = np.flatnonzero(hit)
-        seq[at] = number[seq[at]]
-        last[at] |= last[at + 1]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        left, right = np.array(chosen, dtype=np.int64).T
-        left_of.append(left)
-        right_of.append(right)
-        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-    rules = np.stack([np.concatenate(left_of), np.concatenate(right_of)], axis=1) if left_of else np.zeros((0, 2), dtype=np.int64)
+    if int(ids.max()) < 1 << 24:
+        present = np.zeros(int(ids.max()) + 1, dtype=bool)
+        present[ids] = True
+        alphabet = np.flatnonzero(present)
+        seq = (np.cumsum(present) - 1).astype(np.uint64)[ids]
+    else:
+        alphabet, seq = np.unique(ids, return_inverse=True)
+        seq = seq.astype(np.uint64)
+    limit = _SHORT_SYMBOLS if len(alphabet) <= _SHORT_SYMBOLS else 1 << 32
+    n, half, low = len(seq), np.uint64(32), np.uint64(0xFFFFFFFF)
+    last, gone, busy = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), np.zeros(n + 1, dtype=bool)
+    last[np.cumsum(doc_sizes)[doc_sizes > 0] - 1] = True
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    pair = np.full(n + 1, -1, dtype=np.int32)  # the frequent pair that starts at each place; one place more stands for "none"
+    prio = np.full(n + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+    turn = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B1)) & low  # decides between overlapping equal pairs
+    inner = ~last[:-1]
+    names, counts, place = _frequent_pairs((seq[:-1] << half | seq[1:])[inner], min_count)
+    live = np.flatnonzero(inner).astype(np.int32)
+    pair[live] = place
+    live = live[place >= 0]
+    left_of, right_of, n_symbols = [], [], len(alphabet)
+    while len(live) and n_symbols < limit:
+        rank = np.empty(len(counts), dtype=np.uint64)
+        rank[np.lexsort((names, -counts))] = np.arange(len(counts), dtype=np.uint64)
+        first = _outranking(live, rank[pair[live]] << half | turn[live], prio, before, after)
+        good = np.flatnonzero(np.bincount(pair[first], minlength=len(counts)) >= min_count)
+        good = good[np.argsort(rank[good])][: limit - n_symbols]
+        number = np.zeros(len(counts), dtype=np.uint64)
+        number[good] = np.arange(n_symbols, n_symbols + len(good), dtype=np.uint64)
+        fresh, more = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        if len(good):
+            n_symbols += len(good)
+            left_of.append(names[good] >> half)
+            right_of.append(names[good] & low)
+            open_at, chosen = live[number[pair[live]] > 0], []
+            first = first[number[pair[first]] > 0]
+            while len(first):
+                chosen.append(first)
+                for x in (first, after[first], before[first]):
+                    busy[x] = True
+                open_at = open_at[~busy[open_at]]
+                first = _outranking(open_at, rank[pair[open_at]] << half | turn[open_at], prio, before, after)
+            first = np.concatenate(chosen)
+            second, ahead = after[first], before[first]
+            for x in (first, second, ahead):
+                busy[x] = False
+            busy[first] = busy[second] = True  # ends of pairs that this round undoes
+            third = after[second]
+            ahead = ahead[(ahead >= 0) & ~busy[ahead]]
+            lost = np.concatenate([first, second, ahead])
+            busy[first] = busy[second] = False
+            seen = pair[lost]
+            counts = counts - np.bincount(seen[seen >= 0], minlength=len(counts))
+            seq[first] = number[pair[first]]
+            pair[lost] = -1
+            gone[second], last[first], after[first] = True, last[second], third
+            inside = third < n
+            before[third[inside]] = first[inside]
+            fresh = np.concatenate([first, ahead])  # first keeps its place where two replaced pairs meet
+            fresh = fresh[~last[fresh]]
+            live = live[pair[live] >= 0]
+            more, more_counts, place = _frequent_pairs(seq[fresh] << half | seq[after[fresh]], min_count)
+            fresh, place = fresh[place >= 0], place[place >= 0]
+            pair[fresh] = place + len(names)
+            live, names, counts = np.concatenate([live, fresh]), np.concatenate([names, more]), np.concatenate([counts, more_counts])
+        else:
+            counts[rank == 0] = 0  # the best pair has enough places only with overlap
+        keep = counts >= min_count
+        stays = keep[pair[live]]
+        pair[live[~stays]] = -1
+        live = live[stays]
+        pair[live] = (np.cumsum(keep) - 1)[pair[live]]
+        names, counts = names[keep], counts[keep]
+    rules = np.stack([np.concatenate(left_of), np.concatenate(right_of)], axis=1).astype(np.int64) if left_of else np.zeros((0, 2), dtype=np.int64)
+    lengths = np.ones(n_symbols, dtype=np.int64)
+    at = len(alphabet)
+    for left, right in zip(left_of, right_of, strict=True):
+        lengths[at : at + len(left)] = lengths[left.astype(np.int64)] + lengths[right.astype(np.int64)]
+        at += len(left)
+    seq, last = seq[~gone], last[~gone]
     doc_symbols = np.zeros(len(doc_sizes), dtype=np.int64)
     doc_symbols[doc_sizes > 0] = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
-    return alphabet.astype(np.uint32), rules.astype(np.uint16), lengths[len(alphabet) :], seq.astype(np.uint16), doc_symbols
+    return alphabet.astype(np.uint32), rules, lengths[len(alphabet) :], seq.astype(np.int64), doc_symbols
 
 
 class ShardReader:
     """Random access to one shard: any range of its tokens is decoded from the symbols that cover it."""
 
-    def __init__(self, alphabet: bytes, rules: bytes, rule_lengths: bytes, sequence: bytes) -> None:
+    def __init__(self, symbol_bytes: int, alphabet: bytes, rules: bytes, rule_lengths: bytes, sequence: bytes) -> None:
+        kind = f"<u{symbol_bytes}"
         self.alphabet = np.frombuffer(alphabet, dtype="<u4")
-        self.rules = np.frombuffer(rules, dtype="<u2").reshape(-1, 2).astype(np.int64)
-        self.sequence = np.frombuffer(sequence, dtype="<u2").astype(np.int64)
+        self.rules = np.frombuffer(rules, dtype=kind).reshape(-1, 2).astype(np.int64)
+        self.sequence = np.frombuffer(sequence, dtype=kind).astype(np.int64)
         self.lengths = np.concatenate([np.ones(len(self.alphabet), dtype=np.int64), np.frombuffer(rule_lengths, dtype="<u4").astype(np.int64)])
         self.ends = np.cumsum(self.lengths[self.sequence])
 
@@ -161,7 +224,7 @@ def write_token_shards(
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        enc, end = encoder(tokenizer_path), np.array([end_id], dtype=np.uint32)
+        enc, end = encoder(tokenizer_path, cache_pieces=900_000), np.array([end_id], dtype=np.uint32)
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         held = 0
@@ -169,11 +232,14 @@ def write_token_shards(
         def shard() -> pd.DataFrame:
             sizes = np.array([len(x) for x in ids], dtype=np.int64)
             alphabet, rules, lengths, sequence, symbols = repair_compress(np.concatenate(ids), sizes)
+            symbol_bytes = 2 if len(alphabet) + len(rules) <= _SHORT_SYMBOLS else 4
+            kind = f"<u{symbol_bytes}"
             return pd.DataFrame(
                 {
                     "part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [int(sizes.sum())], "doc_ids": [names],
-                    "doc_tokens": [sizes.tolist()], "doc_symbols": [symbols.tolist()], "alphabet": [alphabet.astype("<u4").tobytes()],
-                    "rules": [rules.astype("<u2").tobytes()], "rule_lengths": [lengths.astype("<u4").tobytes()], "sequence": [sequence.astype("<u2").tobytes()],
+                    "doc_tokens": [sizes.tolist()], "doc_symbols": [symbols.tolist()], "symbol_bytes": [symbol_bytes],
+                    "alphabet": [alphabet.astype("<u4").tobytes()], "rules": [rules.astype(kind).tobytes()],
+                    "rule_lengths": [lengths.astype("<u4").tobytes()], "sequence": [sequence.astype(kind).tobytes()],
                 }
             )
 
@@ -211,7 +277,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = ShardReader(row.alphabet, row.rules, row.rule_lengths, row.sequence).all().astype("<u4")
+                ids = ShardReader(row.symbol_bytes, row.alphabet, row.rules, row.rule_lengths, row.sequence).all().astype("<u4")
                 sizes = np.asarray(row.doc_tokens, dtype=np.int64)
                 ends = np.cumsum(sizes)
                 view = memoryview(ids.tobytes())
@@ -222,7 +288,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     schema = "doc_id long, part int, seq int, start_in_shard long, n_tokens long, ids_crc32 long"
-    shards = shards.select("part", "seq", "doc_ids", "doc_tokens", "alphabet", "rules", "rule_lengths", "sequence")
+    shards = shards.select("part", "seq", "doc_ids", "doc_tokens", "symbol_bytes", "alphabet", "rules", "rule_lengths", "sequence")
     return (
         shards.mapInPandas(decode, schema)
         .join(starts, ["part", "seq"])
