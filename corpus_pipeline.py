@@ -3,6 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but
 the last return the columns of documents. Learned stages learn from the labelled rows among
 their own input and drop only what their operator rejects.
+
+In every stage an empty table gives an empty table, texts of any length are read whole, and
+columns beside those of documents are not carried on.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import materialize, read_table
+from trajecta.llm.common import discard, materialize, read_table
 from trajecta.llm.decontamination import find_contamination
 from trajecta.llm.language_id import identify
 from trajecta.llm.language_id import train as train_languages
@@ -23,13 +26,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: texts without letters and texts that no language's model accepts go."""
+    """Operator 3: texts without letters, null ones too, and texts that no language's model accepts go; without any labelled row all go.
+
+    Rows are judged one by one: a null doc_id decides nothing, and repeated rows stay repeated.
+    """
     found = identify(docs, train_languages(docs), carry=tuple(COLUMNS[1:]))
     return found.where("not rejected").select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents predicted toxic go."""
+    """Operator 8: documents predicted toxic go; null and empty texts stay.
+
+    Rows are judged one by one: a null doc_id decides nothing, and repeated rows stay repeated.
+    """
     scored = score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")), carry=tuple(COLUMNS[1:]))
     return scored.where("predicted = 0").select(*COLUMNS)
 
@@ -40,10 +49,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat this doc_id are one document: the first by text stays. Texts without words
     and rows without a doc_id are in no group and stay.
     """
-    found = materialize(near_duplicates(docs, percent=80, width=5), "near")
-    gone = found.where("not kept").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    found = near_duplicates(docs, percent=80, width=5)
+    gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
     repeated = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    discard(found)
+    stay = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return stay
     once = stay.join(repeated, "doc_id", "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     many = stay.join(repeated, "doc_id", "left_semi").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
@@ -51,7 +64,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold a benchmark item go, row by row: null and repeated doc_ids decide nothing."""
+    """Operator 5: documents that hold a benchmark item go, row by row: null and repeated doc_ids decide nothing, null texts hold nothing."""
     keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS), "keyed")
     found = find_contamination(keyed.select(F.col("row_id").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     gone = materialize(found.select(F.col("doc_id").alias("row_id")).distinct(), "contaminated")
@@ -59,7 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: what is left, in sequences of at most 2048 tokens."""
+    """Operator 7: what is left, in sequences of at most 2048 tokens; null texts are empty documents, repeated rows documents of their own."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
