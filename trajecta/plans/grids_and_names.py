@@ -77,13 +77,13 @@ register("a25_g7_p17_occupancy_grid", occupied, f"WITH {_OCC} SELECT px, py, val
 
 def block_grid(spark, d):
     """All parts as maps of 8 by 8 cells, with walls that the parts' sizes give."""
-    k = F.col("p_partkey") - 1
+    k = F.col("p_partkey")
     p = table(spark, d, "part").select(F.floor(k / 64).cast("int").alias("map_id"), (k % 8).cast("int").alias("px"), F.floor(k % 64 / 8).cast("int").alias("py"), "p_size")
     wall = (F.col("p_size") % 4 == 0) & (F.col("px") + F.col("py") > 0) & (F.col("px") + F.col("py") < 14)
     return p.select("map_id", "px", "py", F.when(wall, gr.OCCUPIED).otherwise(gr.FREE).alias("value"))
 
 
-_GRID = """gr AS (SELECT CAST((p_partkey - 1) // 64 AS INTEGER) AS map_id, CAST((p_partkey - 1) % 8 AS INTEGER) AS px, CAST((p_partkey - 1) % 64 // 8 AS INTEGER) AS py, p_size FROM part),
+_GRID = """gr AS (SELECT CAST(p_partkey // 64 AS INTEGER) AS map_id, CAST(p_partkey % 8 AS INTEGER) AS px, CAST(p_partkey % 64 // 8 AS INTEGER) AS py, p_size FROM part),
   fc AS (SELECT map_id, px, py FROM gr WHERE NOT (p_size % 4 = 0 AND px + py > 0 AND px + py < 14)),
   mv AS (SELECT a.map_id, a.px AS ax, a.py AS ay, b.px AS bx, b.py AS "by", CASE WHEN a.px = b.px OR a.py = b.py THEN 1.0 ELSE sqrt(2) END AS cost FROM fc a JOIN fc b ON a.map_id = b.map_id AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 AND (a.px <> b.px OR a.py <> b.py)
     WHERE a.px = b.px OR a.py = b.py OR ((a.map_id, a.px, b.py) IN (SELECT (map_id, px, py) FROM fc) AND (a.map_id, b.px, a.py) IN (SELECT (map_id, px, py) FROM fc)))"""
