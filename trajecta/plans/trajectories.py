@@ -352,12 +352,22 @@ register(
 
 
 def speculative(spark, d):
-    """The batch replay of the stream; the stream itself is compared with it in the tests."""
+    """The batch replay of the stream; the stream itself is compared with it in the tests."""
     f = frames(spark, d).select(F.col("scene").cast("string").alias("seq"), F.col("frame_idx").cast("long").alias("frame_idx"), (F.abs(F.col("x")) / 100).alias("flow"))
     return bounded_replay(f, 4, 10, 1.0, 6)
 
 
-register("t1_t4_t5_keyframe_stream_replay", speculative)
+register(
+    "t1_t4_t5_keyframe_stream_replay", speculative,
+    f"""WITH RECURSIVE {FRAMES}, f AS (SELECT scene, frame_idx, abs(x) / 100 AS flow, count(*) OVER (PARTITION BY scene) AS n FROM fr), k AS (
+  SELECT scene, frame_idx, n, 0 AS gap, CAST(0 AS DOUBLE) AS moved, 1 AS kept, true AS is_key FROM f WHERE frame_idx = 0
+  UNION ALL
+  SELECT scene, frame_idx, n, CASE WHEN is_key THEN 0 ELSE gap END, CASE WHEN is_key THEN 0 ELSE moved END, kept + CASE WHEN is_key THEN 1 ELSE 0 END, is_key
+  FROM (SELECT *, frame_idx <= 4 OR moved > 1 OR gap >= 6 AS is_key
+    FROM (SELECT f.scene, f.frame_idx, f.n, k.gap + 1 AS gap, k.moved + f.flow AS moved, k.kept FROM k JOIN f ON f.scene = k.scene AND f.frame_idx = k.frame_idx + 1))
+) SELECT CAST(scene AS VARCHAR) AS seq, CAST(frame_idx AS BIGINT) AS frame_idx, CASE WHEN frame_idx < 4 THEN 'first' ELSE 'stream' END AS phase, is_key, CAST(least(n, 4) AS INTEGER) AS n_pinned,
+  CASE WHEN frame_idx < 4 THEN 0 ELSE CAST(least(kept - 4, 10) AS INTEGER) END AS n_window, CASE WHEN frame_idx < 4 THEN 0 ELSE CAST(greatest(kept - 14, 0) AS BIGINT) END AS n_evicted, CAST(frame_idx + 1 AS BIGINT) AS total FROM k""",
+)
 
 
 def drive(spark, d):
