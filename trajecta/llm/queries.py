@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import fill_in_middle, licenses, near_dedup
+from trajecta.llm import fill_in_middle, licenses, merkle, near_dedup
 from trajecta.llm.ann import op10_ann
 from trajecta.llm.decontamination import op5_decontamination
 from trajecta.llm.fill_in_middle import op11_fill_in_middle
 from trajecta.llm.language_id import op3_language_id
 from trajecta.llm.licenses import op1_license_scans
+from trajecta.llm.merkle import op13_merkle_manifest
 from trajecta.llm.near_dedup import op6_minhash_near_dedup
 from trajecta.llm.packing import op7_best_fit_packing
 from trajecta.llm.sharding import op4_sharding
@@ -24,10 +25,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scans, op2_token_binary, op3_language_id, op4_sharding, op5_decontamination,
         op6_minhash_near_dedup, op7_best_fit_packing, op8_toxicity, op9_token_counts, op10_ann,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": licenses.oracle(), "op6_minhash_near_dedup": near_dedup.ORACLE_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL}
+    return {
+        "op1_license_scans": licenses.oracle(), "op6_minhash_near_dedup": near_dedup.ORACLE_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
+    }
