@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import fill_in_middle, licenses, merkle, near_dedup
+from trajecta.llm import fill_in_middle, licenses, merkle, near_dedup, warc
 from trajecta.llm.ann import op10_ann
 from trajecta.llm.decontamination import op5_decontamination
 from trajecta.llm.fill_in_middle import op11_fill_in_middle
@@ -19,13 +19,14 @@ from trajecta.llm.sharding import op4_sharding
 from trajecta.llm.token_binary import op2_token_binary
 from trajecta.llm.token_counts import op9_token_counts
 from trajecta.llm.toxicity import op8_toxicity
+from trajecta.llm.warc import op12_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scans, op2_token_binary, op3_language_id, op4_sharding, op5_decontamination,
         op6_minhash_near_dedup, op7_best_fit_packing, op8_toxicity, op9_token_counts, op10_ann,
-        op11_fill_in_middle, op13_merkle_manifest,
+        op11_fill_in_middle, op12_warc, op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
@@ -33,5 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scans": licenses.oracle(), "op6_minhash_near_dedup": near_dedup.ORACLE_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
-        "op13_merkle_manifest": merkle.ORACLE_SQL,
+        "op12_warc": warc.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL,
     }
