@@ -15,6 +15,7 @@ from trajecta.operators.ranks import order_categories
 from trajecta.operators.windows import chain_alignments
 from trajecta.plans.bindings import FRAMES, PIXELS, events, frames, pixels, poses, rounded, table
 from trajecta.plans.registry import register
+from trajecta.streaming.keyframes import Retention, keyframe_replay
 
 CAMERA = (40.0, 36.0, 16.0, 12.0)  # fx, fy, cx, cy of an image of 32 by 24 pixels
 _GRID = [(u, v) for v in (0, 8, 16) for u in (0, 8, 16, 24)]
@@ -83,16 +84,48 @@ def flow_keys(spark, d):
     return rounded(fl.flow_keyframes(_sampled(spark, d), ["scene"], CAMERA, 4, 30.0, 6), 3)
 
 
-register(
-    "w9_t4_flow_keyframes", flow_keys,
-    f"""WITH RECURSIVE {FRAMES}, {_SMALL}, k AS (
+_KEYFRAMES = f"""{FRAMES}, {_SMALL}, k AS (
   SELECT scene, frame_idx, 0 AS kind, CAST(0 AS DOUBLE) AS flow, yaw AS kyaw, x AS kx, y AS ky, frame_idx AS last, 0 AS keys FROM sm WHERE frame_idx = 0
   UNION ALL
   SELECT scene, frame_idx, kind, flow, CASE WHEN kind = 2 THEN kyaw ELSE yaw END, CASE WHEN kind = 2 THEN kx ELSE x END, CASE WHEN kind = 2 THEN ky ELSE y END, CASE WHEN kind = 2 THEN last ELSE frame_idx END, keys + CASE WHEN kind = 1 THEN 1 ELSE 0 END
   FROM (SELECT *, CASE WHEN frame_idx < 4 THEN 0 WHEN keys = 0 OR flow > 30 OR frame_idx - last >= 6 THEN 1 ELSE 2 END AS kind
     FROM (SELECT *, CASE WHEN frame_idx < 4 THEN 0 ELSE {_SQL_FLOW} END AS flow
-      FROM (SELECT sm.scene, sm.frame_idx, sm.yaw, sm.x, sm.y, sm.e, k.kyaw, k.kx, k.ky, k.last, k.keys FROM k JOIN sm ON sm.scene = k.scene AND sm.frame_idx = k.frame_idx + 1)))
-) SELECT scene, frame_idx, kind, round(flow, 3) AS flow FROM k""",
+      FROM (SELECT sm.scene, sm.frame_idx, sm.yaw, sm.x, sm.y, sm.e, k.kyaw, k.kx, k.ky, k.last, k.keys FROM k JOIN sm ON sm.scene = k.scene AND sm.frame_idx = k.frame_idx + 1))))"""
+register("w9_t4_flow_keyframes", flow_keys, f"WITH RECURSIVE {_KEYFRAMES} SELECT scene, frame_idx, kind, round(flow, 3) AS flow FROM k")
+
+
+def cached_frames(spark, d):
+    """The replay of the frame cache: what is read, kept and evicted at every frame; summaries of evicted frames stay."""
+    rows = _sampled(spark, d).withColumn("summary", F.array(F.col("frame_idx").cast("double")))
+    out = keyframe_replay(rows, CAMERA, Retention(4, 5, "evicted"), 30.0, 6, by="scene")
+    return rounded(out.withColumn("evicted", F.get("evicted", F.lit(0))), 3)
+
+
+register(
+    "t2_t3_t4_frame_cache", cached_frames,
+    f"""WITH RECURSIVE {_KEYFRAMES}, n AS (SELECT scene, count(*) AS n FROM sm GROUP BY scene),
+  c AS (SELECT scene, frame_idx, kind, flow, CAST(sum(CASE WHEN kind < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY scene ORDER BY frame_idx) AS BIGINT) AS done FROM k),
+  e AS (SELECT scene, frame_idx, lag(frame_idx, 5) OVER (PARTITION BY scene ORDER BY frame_idx) AS old FROM k WHERE kind < 2)
+  SELECT c.scene, c.frame_idx, kind, round(flow, 3) AS flow, CAST(CASE WHEN kind = 0 THEN least(4, n) ELSE least(done - kind % 2, 4) + least(greatest(done - kind % 2 - 4, 0), 5) + 1 END AS INTEGER) AS n_read,
+    CAST(least(4, CASE WHEN kind = 0 THEN n ELSE done END) AS INTEGER) AS n_pinned, CAST(CASE WHEN kind = 0 THEN 0 ELSE least(greatest(done - 4, 0), 5) END AS INTEGER) AS n_window,
+    CASE WHEN kind = 0 THEN 0 ELSE greatest(done - 9, 0) END AS n_summaries, CASE WHEN kind = 1 AND done > 9 THEN old END AS evicted, c.frame_idx + 1 AS total
+  FROM c JOIN n ON n.scene = c.scene LEFT JOIN e ON e.scene = c.scene AND e.frame_idx = c.frame_idx""",
+)
+
+
+def filling_cache(spark, d):
+    """T3 without pinned frames, every frame a keyframe: the cache fills up to 3 + 6 and falls back to 6."""
+    rows = _sampled(spark, d).withColumn("summary", F.array(F.col("frame_idx").cast("double"), F.lit(1.0)))
+    out = keyframe_replay(rows, CAMERA, Retention(3, 6, "evicted", True, False), -1.0, 1, by="scene")
+    return out.select("scene", "frame_idx", "kind", "n_window", "n_summaries", F.size("evicted").alias("n_evicted"), F.array_max("evicted").alias("last_evicted"))
+
+
+# After n frames: n up to 9, then 6 and on, falling back every fourth frame; of four that leave, the first three leave nothing.
+register(
+    "t3_window_only_cache", filling_cache,
+    f"""WITH {FRAMES}, s AS (SELECT scene, frame_idx, frame_idx + 1 AS n, count(*) OVER (PARTITION BY scene) AS whole FROM fr)
+  SELECT scene, frame_idx, CASE WHEN n <= 3 THEN 0 ELSE 1 END AS kind, CAST(CASE WHEN n <= 3 THEN least(whole, 3) WHEN n < 10 THEN n ELSE 6 + (n - 10) % 4 END AS INTEGER) AS n_window,
+    CASE WHEN n < 10 THEN 0 ELSE (n - 10) // 4 + 1 END AS n_summaries, CASE WHEN n >= 10 AND (n - 10) % 4 = 0 THEN 4 ELSE 0 END AS n_evicted, CASE WHEN n >= 10 AND (n - 10) % 4 = 0 THEN n - 7 END AS last_evicted FROM s""",
 )
 
 

@@ -65,8 +65,9 @@ def bounded_stream(
 ) -> DataFrame:
     """Streaming frames keyed by sequence; a new sequence (T11) starts with empty state.
 
-    `flow` is each frame's motion against the frame before it. First frames that wait for others
-    leave after idle_ms without a new frame of their sequence.
+    `flow` is each frame's motion against the frame before it. After idle_ms without a new frame
+    a sequence has ended: first frames that wait for others leave, and its state goes. Decisions
+    by poses, and a cache of frames, are in keyframe_stream.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,11 +75,11 @@ def bounded_stream(
         now.waiting = list(now.waiting)
         if state.hasTimedOut:
             out = now.flush()
+            state.remove()
         else:
             frames = sorted((int(f), float(x)) for b in batches for f, x in zip(b["frame_idx"], b["flow"], strict=True))
             out = [r for f, x in frames for r in now.take(f, x, pinned, window, threshold, max_gap)]
-        state.update((now.position, now.gap, now.moved, now.kept, now.waiting))
-        if now.waiting:
+            state.update((now.position, now.gap, now.moved, now.kept, now.waiting))
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *r) for r in out], columns=_COLUMNS)
 
