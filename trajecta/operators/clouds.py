@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions.geometry import is_finite, project, transform_point, unproject
+from trajecta.operators.quantiles import Quantile, quantiles
 
 
 def valid_grid_points(df: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def valid_grid_depths(df: DataFrame) -> DataFrame:
 
 def confident(df: DataFrame, by: list[str], percent: float, value: str = "confidence") -> DataFrame:
     """P4 (by = []) and P5 (by frame): rows at or over the percentile of their group."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.lit(percent / 100)).alias("_cut"))
+    cut = quantiles(df, by, {"_cut": Quantile(value, percent / 100)})
     joined = df.join(F.broadcast(cut) if not by else cut, by) if by else df.crossJoin(F.broadcast(cut))  # one row
     return joined.where(F.col(value) >= F.col("_cut")).drop("_cut")
 
@@ -67,15 +68,15 @@ def voxel_mean(points: DataFrame, by: list[str], side: float, columns: list[str]
 
 def bounds_and_scale(points: DataFrame, by: list[str]) -> DataFrame:
     """5th and 95th percentile of each axis and the length of their difference, 0.1 at least."""
-    p = points.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"p_{c}") for c in "xyz"])
-    span = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"p_{c}")[1] - F.col(f"p_{c}")[0]) ** 2 for c in "xyz"]))
-    return p.select(*by, *[F.col(f"p_{c}")[k].alias(f"{n}_{c}") for c in "xyz" for k, n in ((0, "low"), (1, "high"))], F.greatest(span, F.lit(0.1)).alias("scale"))
+    p = quantiles(points, by, {f"{n}_{c}": Quantile(c, share) for c in "xyz" for share, n in ((0.05, "low"), (0.95, "high"))})
+    span = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"high_{c}") - F.col(f"low_{c}")) ** 2 for c in "xyz"]))
+    return p.withColumn("scale", F.greatest(span, F.lit(0.1)))
 
 
 def depth_range(df: DataFrame, by: list[str]) -> DataFrame:
     """1st and 99th percentile of the positive finite depths."""
     fine = df.where(is_finite(F.col("depth")) & (F.col("depth") > 0))
-    return fine.groupBy(*by).agg(F.percentile("depth", F.lit(0.01)).alias("low"), F.percentile("depth", F.lit(0.99)).alias("high"))
+    return quantiles(fine, by, {"low": Quantile("depth", 0.01), "high": Quantile("depth", 0.99)})
 
 
 def to_points(pixels: DataFrame) -> DataFrame:

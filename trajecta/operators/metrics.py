@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajecta.functions.geometry import angle_of_products, angle_of_trace, compose_parts, direction_error, invert_affine, is_rigid, quaternion, r, rotation_error
 from trajecta.operators.joins import ordered_pairs
+from trajecta.operators.quantiles import Quantile, quantiles, same_groups
 
 THRESHOLDS = (3, 5, 15, 30)
 
@@ -116,14 +117,16 @@ def align_depth(
     seen = "pred"
     if pre_clip is not None:
         df, seen = df.withColumn("_seen", F.least(F.greatest("pred", F.lit(float(pre_clip[0]))), F.lit(float(pre_clip[1])))), "_seen"
-    ratio = F.percentile("gt", F.lit(0.5)) / F.nullif(F.percentile(seen, F.lit(0.5)), F.lit(0.0))
-    fit = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), ratio.alias("_ratio"), F.regr_slope("gt", seen).alias("_slope"), F.regr_intercept("gt", seen).alias("_shift")
-    ).where(F.col("_n") >= min_pixels)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.regr_slope("gt", seen).alias("_slope"), F.regr_intercept("gt", seen).alias("_shift")).where(F.col("_n") >= min_pixels)
+    if mode in ("scale_only", "lstsq"):
+        medians = quantiles(df, by, {"_gt": Quantile("gt", 0.5), "_pred": Quantile(seen, 0.5)})
+        counts = counts.join(medians, by)
+        ratio = F.col("_gt") / F.nullif("_pred", F.lit(0.0))
+    fit = counts
     if mode == "lstsq":
-        scale, shift = F.coalesce("_slope", "_ratio"), F.when(F.col("_slope").isNotNull(), F.col("_shift")).otherwise(F.lit(0.0))
+        scale, shift = F.coalesce(F.col("_slope"), ratio), F.when(F.col("_slope").isNotNull(), F.col("_shift")).otherwise(F.lit(0.0))
     else:
-        scale, shift = F.col("_ratio") if mode == "scale_only" else F.lit(1.0), F.lit(0.0)
+        scale, shift = ratio if mode == "scale_only" else F.lit(1.0), F.lit(0.0)
     out = df.join(fit.select(*by, scale.alias("_s"), shift.alias("_t")), by).withColumn("pred", F.col("pred") * F.col("_s") + F.col("_t")).drop("_s", "_t", "_seen")
     if post_clip is None:
         return out
@@ -214,8 +217,10 @@ def depth_ratio_scale(pairs: DataFrame, by: list[str], anchor: str = "anchor", t
     a, t = F.col(anchor), F.col(target)
     fine = a.isNotNull() & t.isNotNull() & ~F.isnan(a) & ~F.isnan(t) & (F.abs(a) < float("inf")) & (F.abs(t) < float("inf")) & (F.abs(t) > 1.1920928955078125e-07)
     rated = pairs.select(*by, F.when(fine, a / t).alias("_ratio"))
-    scale = F.least(F.greatest(F.coalesce(lower_median("_ratio"), F.lit(1.0)), F.lit(1e-3)), F.lit(1e3))
-    return rated.groupBy(*by).agg(scale.alias("scale"), F.count("_ratio").alias("n"))
+    scale = F.least(F.greatest(F.coalesce("scale", F.lit(1.0)), F.lit(1e-3)), F.lit(1e3))
+    medians = quantiles(rated, by, {"scale": Quantile("_ratio", 0.5, lower=True)}).withColumn("scale", scale)
+    counts = rated.groupBy(*by).agg(F.count("_ratio").alias("n"))
+    return same_groups(medians, counts, by)
 
 
 def throughput(frames: DataFrame, by: list[str], order: str, ms: str, scale_frames: int = 0, first_ms: float = 0.0, half: int = 30) -> DataFrame:
