@@ -9,8 +9,9 @@ from trajecta.functions import text as tx
 from trajecta.functions.geometry import enhance_colour, pixel_to_world, plane_of
 from trajecta.operators import grids as gr
 from trajecta.operators.clouds import random_cap
-from trajecta.plans.bindings import POINTS, points, rounded, table
 from trajecta.operators.lineage import cut
+from trajecta.operators.tiles import plan_tiled_paths
+from trajecta.plans.bindings import POINTS, points, rounded, table
 from trajecta.plans.registry import register
 from trajecta.sources import catalog as ct
 
@@ -125,6 +126,40 @@ register(
 )
 
 
+_GOALS = ((7, 7), (7, 3), (2, 6))
+
+
+def tiled(spark, d):
+    """G1, G3-G6, J19 by tiles of 4 by 4 cells: paths from the first corner of every map with their turns."""
+    maps = free_cells(spark, d).select("map_id").distinct()
+    ends = F.array(*[F.struct(F.lit(x).alias("gx"), F.lit(y).alias("gy")) for x, y in _GOALS])
+    asked = maps.select("map_id", F.posexplode(ends).alias("k", "e")).select("map_id", (F.col("map_id") * 3 + F.col("k")).cast("long").alias("request_id"), F.lit(0).alias("sx"), F.lit(0).alias("sy"), "e.*")
+    out = plan_tiled_paths(asked, free_cells(spark, d), ["map_id"], METRES, side=4)
+    text = F.array_join(F.transform("waypoints", lambda w: F.concat_ws(",", w["px"].cast("string"), w["py"].cast("string"))), " ")
+    return rounded(out.withColumn("waypoints", text), 4)
+
+
+# Ways back by the first step in order; sight(i, j) of all pairs of a path's cells; turns from one kept cell to the next.
+register(
+    "g1_g6_j19_tiled_paths", tiled,
+    f"""{_COSTS}, c AS (SELECT map_id, px, py, min(cost) AS cost FROM rc GROUP BY 1, 2, 3),
+  pred AS (SELECT mv.map_id, bx, "by" AS by_, arg_min({{'x': ax, 'y': ay}}, (ax - bx, ay - "by")) AS a FROM mv JOIN c f ON f.map_id = mv.map_id AND f.px = ax AND f.py = ay JOIN c t ON t.map_id = mv.map_id AND t.px = bx AND t.py = "by"
+    WHERE abs(f.cost + mv.cost - t.cost) < 1e-9 GROUP BY 1, 2, 3),
+  req AS (SELECT DISTINCT map_id, k, gx, gy, map_id * 3 + k AS request_id FROM fc, (VALUES {", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(_GOALS))}) g(k, gx, gy)),
+  way AS (SELECT request_id, req.map_id, gx AS px, gy AS py, 0 AS back FROM req JOIN c ON c.map_id = req.map_id AND c.px = gx AND c.py = gy
+    UNION ALL SELECT request_id, way.map_id, a.x, a.y, back + 1 FROM way JOIN pred ON pred.map_id = way.map_id AND bx = px AND by_ = py WHERE px <> 0 OR py <> 0),
+  path AS (SELECT *, max(back) OVER (PARTITION BY request_id) - back AS pos, max(back) OVER (PARTITION BY request_id) AS last FROM way),
+  seg AS (SELECT a.request_id, a.map_id, a.pos AS i, b.pos AS j, a.px AS ax, a.py AS ay, b.px AS bx, b.py AS by_, greatest(abs(b.px - a.px), abs(b.py - a.py)) AS n FROM path a JOIN path b ON a.request_id = b.request_id AND b.pos >= a.pos + 2),
+  line AS (SELECT request_id, map_id, i, j, ax + sign(bx - ax) * ((2 * s * abs(bx - ax) + n) // (2 * n)) AS px, ay + sign(by_ - ay) * ((2 * s * abs(by_ - ay) + n) // (2 * n)) AS py FROM (SELECT *, unnest(range(n + 1)) AS s FROM seg)),
+  hid AS (SELECT request_id, i, min(j) AS j FROM line LEFT JOIN fc ON fc.map_id = line.map_id AND fc.px = line.px AND fc.py = line.py WHERE fc.px IS NULL GROUP BY 1, 2),
+  turn AS (SELECT request_id, pos, last FROM path WHERE pos = 0 UNION ALL SELECT turn.request_id, coalesce(hid.j - 1, last), last FROM turn LEFT JOIN hid ON hid.request_id = turn.request_id AND hid.i = turn.pos WHERE turn.pos < last),
+  w AS (SELECT request_id, string_agg(px || ',' || py, ' ' ORDER BY pos) AS waypoints FROM turn JOIN path USING (request_id, pos) GROUP BY 1)
+SELECT CAST(req.request_id AS BIGINT) AS request_id, req.map_id, CASE WHEN (req.map_id, 0, 0) NOT IN (SELECT (map_id, px, py) FROM fc) OR (req.map_id, gx, gy) NOT IN (SELECT (map_id, px, py) FROM fc) THEN 'blocked' WHEN c.cost IS NULL THEN 'no path' ELSE 'ok' END AS status,
+  round(c.cost, 4) AS cost, round(c.cost * {METRES}, 4) AS path_length_m, CAST(l.last + 1 AS BIGINT) AS n_cells, waypoints
+FROM req LEFT JOIN c ON c.map_id = req.map_id AND c.px = gx AND c.py = gy LEFT JOIN (SELECT DISTINCT request_id, last FROM path) l ON l.request_id = req.request_id LEFT JOIN w ON w.request_id = req.request_id""",
+)
+
+
 def catalogue(spark, d):
     """Documents as artifacts: dataset = language, scene = source, method = shape of the id; complete where labelled."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
