@@ -12,12 +12,13 @@ from trajecta.functions import geometry as g
 from trajecta.functions import text as tx
 from trajecta.operators import frames as fr
 from trajecta.operators import grids as gr
-from trajecta.operators.alignment import align, align_robust, icp, orthogonalize, trajectory_errors
+from trajecta.operators.alignment import align, icp, orthogonalize, trajectory_errors
 from trajecta.operators import flow as fl
 from trajecta.operators.clouds import visible_by_cone, visible_by_count, z_buffer
 from trajecta.operators.joins import asof_nearest, nearest_point, ordered_pairs
 from trajecta.operators.metrics import align_depth, auc, accuracy_under, cloud_metrics, depth_metrics, lower_median, pose_distances, pose_pair_errors, rank_metrics
 from trajecta.operators.ranks import order_metrics
+from trajecta.operators.robust import align_robust
 from trajecta.streaming.frames import EVENT_SCHEMA, bounded_replay, bounded_stream, current, navigation_state, odometry, snapshots
 
 

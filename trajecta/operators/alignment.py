@@ -1,9 +1,8 @@
-"""Similarity alignment from sums, robust and iterative variants, absolute and relative errors."""
+"""Similarity alignment from sums, iterative registration, absolute and relative errors."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,35 +73,6 @@ def trajectory_errors(poses: DataFrame, by: list[str], aligned: bool = True) ->
     return ate.join(rpe, by, "left")
 
 
-def align_robust(pairs: DataFrame, by: list[str], threshold: float, iterations: int = 200, seed: int = 0) -> DataFrame:
-    """Best of random three-point fits by inliers under the threshold, then a fit of the inliers.
-
-    A group's pairs meet in one task: the groups are scenes' sampled correspondences.
-    """
-    cols = ["sx", "sy", "sz", "tx", "ty", "tz"]
-
-    def fit(s: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        return solve(len(s), s.sum(0), t.sum(0), float((s**2).sum()), t.T @ s)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(cols)
-        s, t = rows[cols[:3]].to_numpy(float), rows[cols[3:]].to_numpy(float)
-        rng, best = np.random.default_rng(seed), np.zeros(len(s), dtype=bool)
-        for _ in range(iterations if len(s) >= 3 else 0):
-            pick = rng.choice(len(s), 3, replace=False)
-            scale, rot, shift = fit(s[pick], t[pick])
-            good = np.linalg.norm(scale * s @ rot.T + shift - t, axis=1) < threshold
-            best = good if good.sum() > best.sum() else best
-        out = rows[by].iloc[:1].copy()
-        scale, rot, shift = fit(s[best], t[best]) if best.sum() >= 3 else (np.nan, np.full((3, 3), np.nan), np.full(3, np.nan))
-        out["scale"], out["n_inliers"] = scale, int(best.sum())
-        out["align"] = [np.concatenate([rot, shift[:, None]], axis=1).ravel().tolist()]
-        return out
-
-    kinds = "".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}, " for c in by)
-    return pairs.groupBy(*by).applyInPandas(run, f"{kinds}scale double, n_inliers long, align array<double>")
-
-
 def icp(source: DataFrame, target: DataFrame, radius: float, rounds: int = 20, tolerance: float = 1e-6) -> tuple[list[float], float, float]:
     """A10: rigid registration of one pair of clouds (point_id, x, y, z): (pose, fitness, rmse).
 

@@ -75,11 +75,11 @@ def same_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "in
     return left.join(named, on, how).drop(*[f"_k_{k}" for k in by])
 
 
-def _meet(rows: DataFrame, bounds: DataFrame, keys: list[str], n_bounds: int, how: str = "inner") -> DataFrame:
-    """rows with the bounds of their group; nulls are a group like others."""
+def meet_groups(rows: DataFrame, bounds: DataFrame, keys: list[str], n_bounds: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of bounds, a table of n_bounds rows by group; nulls are a group like others, and a large group is spread over tasks."""
     salted = how == "inner" and n_bounds > BROADCAST_ROWS
     if salted:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v", F.rand(7)), F.lit(SALTS)).cast("int"))
+        rows = rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
         bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     elif n_bounds <= BROADCAST_ROWS:
         bounds = F.broadcast(bounds)
@@ -97,12 +97,12 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, Quantile], exact_r
     if not n_large:
         return df.groupBy(*by).agg(*plain)
     rows = df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("_x")).select(*by, "_x.*").where("_v is not null")
-    rows = _meet(rows, large.select(*by), by, n_large) if by else rows
+    rows = meet_groups(rows, large.select(*by), by, n_large) if by else rows
     found = _select(rows, [*by, "_c"], {name: (columns.index(q.column), q) for name, q in wanted.items()}, exact_rows, buckets)
     if not by:
         return found
     found = same_groups(large.select(*by), found, by, "left")
-    small = _meet(df, large.select(*by), by, n_large, "left_anti")
+    small = meet_groups(df, large.select(*by), by, n_large, "left_anti")
     return small.groupBy(*by).agg(*plain).unionByName(found)
 
 
@@ -119,7 +119,7 @@ def _select(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[int, Quant
         n_open = goals.where(open_).count()
         if not n_open:
             break
-        met = _meet(rows, goals.where(open_), keys, n_open).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        met = meet_groups(rows, goals.where(open_), keys, n_open).where(F.col("_v").between(F.col("_low"), F.col("_high")))
         bucket = _bucket(F.col("_v"), F.col("_low"), F.col("_high"), buckets)
         dealt = met.groupBy(*carried, "_below", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_inside"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         before = Window.partitionBy(*carried).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,7 +127,7 @@ def _select(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[int, Quant
         chosen = placed.where((F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_inside"))).select(*goals.columns)
         goals = cut(goals.where(~open_).unionByName(chosen))
     n_goals = goals.count()
-    last = _meet(rows, goals.where("_low < _high"), keys, n_goals).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    last = meet_groups(rows, goals.where("_low < _high"), keys, n_goals).where(F.col("_v").between(F.col("_low"), F.col("_high")))
     last = last.groupBy(*carried, "_below").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
     last = last.select(*by, "_n", "_name", "_which", F.element_at("_all", (F.col("_rank") - F.col("_below") + 1).cast("int")).alias("_value"))
     values = goals.where("not _low < _high").select(*by, "_n", "_name", "_which", F.col("_low").alias("_value")).unionByName(last)

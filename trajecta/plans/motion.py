@@ -12,6 +12,7 @@ from trajecta.operators import frames as fr
 from trajecta.operators.joins import consecutive
 from trajecta.operators.metrics import throughput
 from trajecta.operators.ranks import order_categories
+from trajecta.operators.robust import align_robust
 from trajecta.operators.windows import chain_alignments
 from trajecta.plans.bindings import FRAMES, PIXELS, events, frames, pixels, poses, rounded, table
 from trajecta.plans.registry import register
@@ -179,6 +180,26 @@ register(
 )
 
 
+def robust(spark, d):
+    """Events of a user as pairs of points under one similarity, but for every fourth, which lies anywhere."""
+    e = events(spark, d)
+    src = (F.col("value") / 10, F.col("k") / 10.0, F.col("event_id") % 97 / 10.0)
+    x, y, z = src
+    c, s = F.cos(F.lit(0.5)), F.sin(F.lit(0.5))
+    to = (1.5 * (c * x - s * y) + 1, 1.5 * (s * x + c * y) + 2, 1.5 * z + 3)
+    off = [(F.col("event_id") * a % b).cast("double") for a, b in ((37, 101), (53, 89), (7, 13))]
+    good = F.col("event_id") % 4 != 0
+    p = e.select(F.col("user_id").alias("scene"), *[v.cast("double").alias(f"s{n}") for n, v in zip("xyz", src, strict=True)], *[F.when(good, v).otherwise(o).alias(f"t{n}") for n, v, o in zip("xyz", to, off, strict=True)])
+    m = F.col("align")
+    return rounded(align_robust(p, ["scene"], 1e-4).select("scene", "scale", "n_inliers", m[0].alias("r00"), m[4].alias("r10"), m[3].alias("x"), m[7].alias("y"), m[11].alias("z")), 5)
+
+
+register(
+    "a9_robust_alignment", robust,
+    "SELECT user_id AS scene, CAST(1.5 AS DOUBLE) AS scale, count(*) FILTER (event_id % 4 <> 0) AS n_inliers, round(cos(0.5), 5) AS r00, round(sin(0.5), 5) AS r10, CAST(1 AS DOUBLE) AS x, CAST(2 AS DOUBLE) AS y, CAST(3 AS DOUBLE) AS z FROM events GROUP BY user_id",
+)
+
+
 def aligned_scene(spark, d):
     """points of a scene seen from its first camera."""
     first = poses(spark, d).where("frame_idx = 0").select("scene", scene_alignment(F.col("gt")).alias("m"))
