@@ -1,10 +1,16 @@
-"""Small files on whatever file system Spark reaches, by Hadoop's interface; no local paths."""
+"""Small files on whatever file system Spark reaches, by Hadoop's interface, and file systems for readers in Python."""
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import SparkSession
 
 
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """pyarrow's file system of a path or URI, for data sources, whose readers run in Python."""
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
 def _at(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -12,11 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from trajecta.sources.files import file_system
+
 # Fixed values of the PLY format: scalar names and their numpy kinds.
 PLY_TYPES = {
     "char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8",
@@ -55,7 +57,7 @@ class PlyReader(DataSourceReader):
         self.path, self.max_points, self.rows = path, max_points, rows
 
     def partitions(self) -> list[InputPartition]:
-        fs, place = _file_system(self.path)
+        fs, place = file_system(self.path)
         info = fs.get_file_info(place)
         found = [info] if info.is_file else [f for f in fs.get_file_info(FileSelector(place, recursive=True)) if f.is_file and f.path.endswith(".ply")]
         out = []
@@ -71,7 +73,7 @@ class PlyReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         place, start, n = partition.value
-        fs, _ = _file_system(self.path)
+        fs, _ = file_system(self.path)
         at = start
         while at < start + n:
             with fs.open_input_file(place) as file:
@@ -98,10 +100,6 @@ class PlyReader(DataSourceReader):
                 yield _point_batch(place, at, np.array(own, dtype=plain), {k for k in kind.names if kind[k].kind == "u"})
 
 
-def _file_system(path: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
-
-
 def _head(file) -> bytes:
     data = b""
     while b"end_header" not in data or b"\n" not in data[data.index(b"end_header") :]:
@@ -144,7 +142,7 @@ class PlyWriter(DataSourceArrowWriter):
         head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n" + "".join(f"property {'float' if kind[c] == '<f4' else 'uchar'} {c}\n" for c in kind.names) + "end_header\n"
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}-{self.job}.ply"
-        fs, place = _file_system(self.path)
+        fs, place = file_system(self.path)
         aside = f"{place}/_aside-{self.job}/{name}.{context.attemptNumber()}"
         fs.create_dir(aside.rsplit("/", 1)[0], recursive=True)
         with fs.open_output_stream(aside) as out:
@@ -154,7 +152,7 @@ class PlyWriter(DataSourceArrowWriter):
         return PlyWritten(aside, name)
 
     def commit(self, messages: list) -> None:
-        fs, place = _file_system(self.path)
+        fs, place = file_system(self.path)
         if self.overwrite:
             for f in fs.get_file_info(FileSelector(place)):
                 if f.is_file and f.path.endswith(".ply"):
@@ -165,7 +163,7 @@ class PlyWriter(DataSourceArrowWriter):
         self._sweep(fs, place)
 
     def abort(self, messages: list) -> None:
-        self._sweep(*_file_system(self.path))
+        self._sweep(*file_system(self.path))
 
     def _sweep(self, fs: FileSystem, place: str) -> None:
         aside = f"{place}/_aside-{self.job}"
