@@ -75,6 +75,10 @@ def test_grid_round_trip(spark, tmp_path):
     rasters.write_grid(cells, meta, str(tmp_path / "g"))
     got = {(r.px, r.py): r.value for r in rasters.read_grid(spark, str(tmp_path / "g")).collect()}
     assert got == {(0, 0): 0, (1, 0): 205, (2, 0): 205, (0, 1): 205, (1, 1): 205, (2, 1): 254}
+    with pytest.raises(Exception, match="outside the grid"):
+        rasters.write_grid(spark.createDataFrame([(3, 0, 0)], "px int, py int, value int"), meta, str(tmp_path / "g"))
+    with pytest.raises(ValueError, match="64 million"):
+        rasters.write_grid(cells, meta | {"width_px": 10_000, "height_px": 10_000}, str(tmp_path / "g"))
 
 
 def test_ply_ranges_limits_and_commits(spark, tmp_path):
@@ -88,6 +92,10 @@ def test_ply_ranges_limits_and_commits(spark, tmp_path):
     for mode in ("append", "append", "overwrite"):
         df.repartition(3).write.format("ply").mode(mode).save(out)
     assert rasters.read_ply(spark, out).count() == 1000 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    far = df.withColumn("distance", F.col("x") / 4)
+    far.repartition(2).write.format("ply").option("pointsPerFile", 70).mode("overwrite").save(out)
+    back = rasters.read_ply(spark, out)
+    assert back.count() == 1000 and back.where("distance = x / 4 and b = 1.0").count() == 1000 and back.groupBy("file").count().agg(F.max("count")).first()[0] <= 70
     bad = df.withColumn("x", F.when(F.col("point_id") == 999, F.raise_error(F.lit("no")).cast("double")).otherwise(F.col("x")))
     with pytest.raises(Exception, match="no"):
         bad.write.format("ply").mode("append").save(out)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import itertools
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from trajecta.sources.files import file_system
+from trajecta.operators.grids import MAX_CELLS
+from trajecta.sources.files import file_system, write_bytes, write_text
 
 # Fixed values of the PLY format: scalar names and their numpy kinds.
 PLY_TYPES = {
@@ -120,67 +123,88 @@ def _point_batch(place: str, at: int, points: np.ndarray, bytes_: set[str]) -> p
 
 
 class PlyWriter(DataSourceArrowWriter):
-    """One little-endian PLY file a task, written aside and moved in place when all tasks are done; a failed job leaves nothing."""
+    """Little-endian PLY files of at most points_per_file points, written aside and moved in place when all tasks are done; a failed job leaves nothing.
 
-    def __init__(self, path: str, columns: list[str], overwrite: bool) -> None:
-        self.path, self.columns, self.overwrite, self.job = path, columns, overwrite, uuid.uuid4().hex
+    Columns x, y, z, with r, g, b in 0..1 where all three are there, and with distance where it is.
+    """
+
+    def __init__(self, path: str, columns: list[str], overwrite: bool, points_per_file: int) -> None:
+        self.path, self.columns, self.overwrite, self.most, self.job = path, columns, overwrite, points_per_file, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         colour = {"r", "g", "b"} <= set(self.columns)
-        kind = np.dtype([(c, "<f4") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if colour else []))
-        body, n = [], 0
-        for batch in iterator:
-            points = np.zeros(batch.num_rows, dtype=kind)
-            for c in "xyz":
-                points[c] = batch.column(c).to_numpy(zero_copy_only=False)
-            for c, to in (("r", "red"), ("g", "green"), ("b", "blue")) if colour else ():
-                points[to] = np.clip(np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) * 255, 0, 255).astype(np.uint8)
-            body.append(points.tobytes())
-            n += len(points)
-        head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n" + "".join(f"property {'float' if kind[c] == '<f4' else 'uchar'} {c}\n" for c in kind.names) + "end_header\n"
+        kind = np.dtype([(c, "<f4") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if colour else []) + ([("distance", "<f4")] if "distance" in self.columns else []))
         context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}-{self.job}.ply"
         fs, place = file_system(self.path)
-        aside = f"{place}/_aside-{self.job}/{name}.{context.attemptNumber()}"
-        fs.create_dir(aside.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(aside) as out:
-            out.write(head.encode())
-            for part in body:
-                out.write(part)
-        return PlyWritten(aside, name)
+        aside = f"{place}/_aside-{self.job}"
+        fs.create_dir(aside, recursive=True)
+        files, held, n = [], [], 0
+
+        def flush() -> None:
+            head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n" + "".join(f"property {'float' if kind[c] == '<f4' else 'uchar'} {c}\n" for c in kind.names) + "end_header\n"
+            name = f"part-{context.partitionId():05d}-{len(files):03d}-{self.job}.ply"
+            with fs.open_output_stream(f"{aside}/{name}.{context.attemptNumber()}") as out:
+                out.write(head.encode())
+                for part in held:
+                    out.write(part)
+            files.append((f"{aside}/{name}.{context.attemptNumber()}", name))
+
+        for batch in iterator:
+            for at in range(0, batch.num_rows, self.most):
+                own = batch.slice(at, self.most)
+                if n + own.num_rows > self.most:
+                    flush()
+                    held, n = [], 0
+                points = np.zeros(own.num_rows, dtype=kind)
+                for c in kind.names:
+                    values = own.column({"red": "r", "green": "g", "blue": "b"}.get(c, c)).to_numpy(zero_copy_only=False).astype(float)
+                    points[c] = np.clip(np.nan_to_num(values) * 255, 0, 255).astype(np.uint8) if kind[c] == np.uint8 else values
+                held.append(points.tobytes())
+                n += own.num_rows
+        if n or not files:
+            flush()
+        return PlyWritten(files)
 
     def commit(self, messages: list) -> None:
+        """New files come in before old ones go, so a commit that breaks off leaves some twice, but loses none."""
         fs, place = file_system(self.path)
-        if self.overwrite:
-            for f in fs.get_file_info(FileSelector(place)):
-                if f.is_file and f.path.endswith(".ply"):
-                    fs.delete_file(f.path)
+        old = [f.path for f in fs.get_file_info(FileSelector(place)) if f.is_file and f.path.endswith(".ply")] if self.overwrite else []
         for m in messages:
-            if m is not None:
-                fs.move(m.aside, f"{place}/{m.name}")
+            for aside, name in m.files if m is not None else ():
+                fs.move(aside, f"{place}/{name}")
+        for file in old:
+            fs.delete_file(file)
         self._sweep(fs, place)
 
     def abort(self, messages: list) -> None:
-        self._sweep(*file_system(self.path))
-
-    def _sweep(self, fs: FileSystem, place: str) -> None:
+        """Tasks that are being stopped may still write, so the folder is swept until it stays away."""
+        away = 0
+        for _ in range(100):
+            away = 0 if self._sweep(*file_system(self.path)) else away + 1
+            if away == 5:
+                return
+            time.sleep(0.1)
+
+    def _sweep(self, fs: FileSystem, place: str) -> bool:
         aside = f"{place}/_aside-{self.job}"
-        if fs.get_file_info(aside).type == FileType.Directory:
+        if fs.get_file_info(aside).type != FileType.Directory:
+            return False
+        with contextlib.suppress(OSError):  # a file that comes meanwhile goes with the next sweep
             fs.delete_dir(aside)
+        return True
 
 
 @dataclass
 class PlyWritten(WriterCommitMessage):
-    aside: str
-    name: str
+    files: list
 
 
 class PlySink(DataSource):
     """Spark.read.format("ply").load(path) and df.write.format("ply").save(folder), in any store that pyarrow's file systems reach.
 
-    Options: maxPoints (of each file) and rowsPerPartition.
+    Options: maxPoints (of each file) and rowsPerPartition; pointsPerFile when writing.
     """
 
     @classmethod
@@ -195,7 +219,7 @@ class PlySink(DataSource):
         return PlyReader(self.options["path"], None if most is None else int(most), int(self.options.get("rowsPerPartition", 1_000_000)))
 
     def writer(self, schema, overwrite: bool) -> PlyWriter:
-        return PlyWriter(self.options["path"], schema.fieldNames(), overwrite)
+        return PlyWriter(self.options["path"], schema.fieldNames(), overwrite, int(self.options.get("pointsPerFile", 4_000_000)))
 
 
 def read_ply(spark: SparkSession, path: str, max_points: int | None = None, rows: int = 1_000_000) -> DataFrame:
@@ -245,12 +269,26 @@ def read_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_grid(cells: DataFrame, meta: dict, folder: str, fill: int = 205) -> None:
-    """K8: map.pgm and map.json; the grid is bounded by the cell limit of its metadata."""
-    from pathlib import Path
-
-    grid = np.full((meta["height_px"], meta["width_px"]), fill, dtype=np.uint8)
-    for row in cells.select("px", "py", "value").toLocalIterator():
-        grid[row["py"], row["px"]] = row["value"]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "map.pgm").write_bytes(f"P5\n{meta['width_px']} {meta['height_px']}\n255\n".encode() + grid.tobytes())
-    Path(folder, "map.json").write_text(json.dumps(meta))
+    """K8: map.pgm and map.json, in any store that Hadoop reaches.
+
+    Rows of the raster are made in tasks, a row one group of at most width_px cells; what comes to
+    the driver is the raster itself, a byte a cell, whose size the limit of cells bounds. Cells
+    outside it are an error.
+    """
+    width, height = meta["width_px"], meta["height_px"]
+    if width * height > MAX_CELLS:
+        raise ValueError("the grid has over 64 million cells")
+
+    def row(own: pd.DataFrame) -> pd.DataFrame:
+        line = np.full(width, fill, dtype=np.uint8)
+        line[own["px"].to_numpy()] = own["value"].to_numpy()
+        return pd.DataFrame({"py": own["py"].iloc[:1], "line": [line.tobytes()]})
+
+    inside = F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)
+    px = F.when(inside, F.col("px")).otherwise(F.raise_error(F.lit("a cell lies outside the grid")).cast("int"))
+    lines = {r["py"]: r["line"] for r in cells.select(px.cast("int").alias("px"), F.col("py").cast("int").alias("py"), F.col("value").cast("int").alias("value")).groupBy("py").applyInPandas(row, "py int, line binary").toLocalIterator()}
+    empty = bytes([fill]) * width
+    body = b"".join(bytes(lines.get(y, empty)) for y in range(height))
+    spark = cells.sparkSession
+    write_bytes(spark, f"{folder}/map.pgm", f"P5\n{width} {height}\n255\n".encode() + body)
+    write_text(spark, f"{folder}/map.json", json.dumps(meta))
