@@ -47,6 +47,26 @@ def test_pose_texts(spark, tmp_path):
     assert text.split_scenes(spark, put(tmp_path / "s.txt", "sequence7\n")).first().scene == "seq-07"
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    rows = [f"{k} 1 0 0 {k} 0 1 0 0 0 0 1 0" + (" " if k % 7 else "\n# note\n\n") for k in range(400)]
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in" / "a.txt", "# head\n" + "\n".join(rows) + "\n")
+    put(tmp_path / "in" / "b.txt", "x\r\ny\r\n\r\nz")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(was, ("2000", "10"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        df = text.lines(spark, str(tmp_path / "in"))
+        got = df.collect()
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 4
+        assert [(r.line_no, r.line.split()[0]) for r in sorted(got, key=lambda r: r.line_no) if r.file.endswith("a.txt")] == [(k, str(k)) for k in range(400)]
+        assert sorted((r.line_no, r.line) for r in got if r.file.endswith("b.txt")) == [(0, "x"), (1, "y"), (2, "z")]
+        assert [r.m[3] for r in text.trajectory(spark, str(tmp_path / "in" / "a.txt")).orderBy("frame_idx").collect()] == [float(k) for k in range(400)]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_colmap_text(spark, tmp_path):
     c = text.colmap_cameras(spark, put(tmp_path / "cameras.txt", "# c\n1 SIMPLE_RADIAL 640 480 500 320 240 0.1\n2 PINHOLE 640 480 500 501 320 240\n"))
     assert {r.camera_id: (r.fx, r.fy, r.cx, r.cy) for r in c.collect()} == {1: (500, 500, 320, 240), 2: (500, 501, 320, 240)}

@@ -9,12 +9,19 @@ from trajecta.functions.geometry import finite_pose, flip_axes, invert_rigid, ro
 
 
 def lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
-    """(file, line_no from 0, line) without comments; numbered inside each file."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    raw = raw.where(~F.col("line").startswith("#"))
+    """(file, line_no from 0, line) without comments; numbered inside each file.
+
+    Files of any size are split anywhere: a line's number is its turn in its split after the
+    counts of the splits before, so only a row a split meets in a window.
+    """
+    kept = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), "value").where(~F.startswith("value", F.lit("#")))
     if not keep_blank:
-        raw = raw.where(F.trim("line") != "")
-    return raw.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1).alias("line_no"), F.trim("line").alias("line"))
+        kept = kept.where(F.trim("value") != "")
+    kept = kept.withColumn("_id", F.monotonically_increasing_id())
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = kept.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    splits = splits.select("file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return kept.join(splits, ["file", "_split"]).select("file", (F.col("_id") + F.col("_shift")).cast("int").alias("line_no"), F.trim("value").alias("line"))
 
 
 def numbers(line: Column) -> Column:
