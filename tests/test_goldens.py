@@ -12,6 +12,7 @@ from trajecta.functions import geometry as g
 from trajecta.functions import text as tx
 from trajecta.operators import frames as fr
 from trajecta.operators import grids as gr
+from trajecta.operators import joins
 from trajecta.operators.alignment import align, icp, orthogonalize, trajectory_errors
 from trajecta.operators import flow as fl
 from trajecta.operators.clouds import visible_by_cone, visible_by_count, z_buffer
@@ -71,6 +72,18 @@ def test_asof_ties_go_to_the_earlier_row(spark):
     assert asof_nearest(left, right, ["k"], "t", "id", s // 50, inner=True).count() == 2
 
 
+def test_asof_over_stretches_is_the_nearest_of_all(spark, monkeypatch):
+    monkeypatch.setattr(joins, "STRETCH", 2)
+    rnd = random.Random(6)
+    left = [(k, rnd.randrange(-300, 300), i) for k in (1, 2, None) for i in range(60)]
+    right = [(k, rnd.randrange(-300, 300), f"n{i}", i) for k in (1, 2) for i in range(50)]
+    got = asof_nearest(spark.createDataFrame(left, "k int, t long, l int"), spark.createDataFrame(right, "k int, t long, name string, id int"), ["k"], "t", "id", 4).collect()
+    assert len(got) == len(left)
+    for r in got:
+        near = sorted((abs(t - r.t), t, i) for k, t, _, i in right if k == r.k and abs(t - r.t) <= 4)
+        assert r.r_id == (near[0][2] if near else None)
+
+
 def test_umeyama_golden_and_robust_and_icp(spark):
     src = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
     move = lambda p: (-2 * p[1] + 1, 2 * p[0] + 2, 2 * p[2] + 3)

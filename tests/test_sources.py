@@ -1,5 +1,6 @@
 """Formats on generated files."""
 
+import csv
 import struct
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trajecta.sources import rasters, text
 from trajecta.sources.artifacts import Artifact, cached, write_memory_table
+from trajecta.sources.catalog import export_csv
 from trajecta.sources.plugins import Dataset, Method, Registry, run_evaluators
 
 
@@ -135,6 +137,14 @@ def test_artifacts(spark, tmp_path):
     assert got == {(k, f, x, y): 10.0 * f + 3 * (y * 2 // 3) + x // 2 for k, f in ((0, 4), (1, 9)) for x in range(6) for y in range(3)}
     a.clear_incomplete()
     assert a.is_complete()
+    with pytest.raises(FileNotFoundError):
+        a.load_sampling()
+    a.save_sampling([9, 4], {"stride": 5})
+    assert a.load_sampling() == {"num_frames": 2, "frames": [4, 9], "sampling": {"stride": 5}}
+    (tmp_path / "scene" / "sampling.json").write_text("{ half")
+    (tmp_path / "scene" / ".sampling.json.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        a.load_sampling()
     a.save_eval("pose", {"b": 1, "a": 2.5})
     assert a.load_eval("pose") == {"a": 2.5, "b": 1} and a.load_eval("depth") is None
     matrix = [[2.0, 0, 0, 1], [0, 2, 0, 0.5], [0, 0, 2, 0], [0, 0, 0, 1]]
@@ -188,3 +198,11 @@ def test_sequence_texts(spark, tmp_path):
     odd = rows.withColumn("m", F.when(F.col("frame_idx") == 1, F.array(*[F.lit(float("nan"))] * 12)).otherwise(F.col("m")))
     text.write_trajectory(odd, str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).count() == 3
+
+
+def test_csv_export_quotes_and_leaves_nulls_empty(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'say "so", twice'), (2, None), (3, "line\nbreak")], "id int, note string")
+    export_csv(rows.coalesce(1), str(tmp_path / "csv"))
+    body = next((tmp_path / "csv").glob("*.csv")).read_text()
+    assert body == 'id,note\n1,"say ""so"", twice"\n2,\n3,"line\nbreak"\n'
+    assert sorted(map(tuple, csv.reader(body.splitlines(keepends=True)))) == [("1", 'say "so", twice'), ("2", ""), ("3", "line\nbreak"), ("id", "note")]

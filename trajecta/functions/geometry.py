@@ -374,6 +374,22 @@ def induced_flow(u: Column, v: Column, depth: Column, m: Column, fx: Column, fy:
     return F.hypot(fx * x / ahead + cx - u, fy * y / ahead + cy - v)
 
 
+def from_inverse_depth(u: Column, v: Column, inverse: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> tuple[Column, Column, Column, Column]:
+    """a pixel as the homogeneous point x, y, 1 and its inverse depth: a point at infinity has 0."""
+    return (u - cx) / fx, (v - cy) / fy, F.lit(1.0), inverse
+
+
+def move_homogeneous(m: Column, x: Column, y: Column, z: Column, inverse: Column) -> tuple[Column, Column, Column, Column]:
+    """a pose on a homogeneous point: the shift counts by the inverse depth."""
+    return (*[r(m, i, 0) * x + r(m, i, 1) * y + r(m, i, 2) * z + r(m, i, 3) * inverse for i in range(3)], inverse)
+
+
+def project_homogeneous(x: Column, y: Column, z: Column, inverse: Column, fx: Column, fy: Column, cx: Column, cy: Column, min_depth: float = 0.2) -> tuple[Column, Column, Column, Column]:
+    """pixel, inverse depth there, and whether the point lies far enough ahead; one nearer than half the least depth is projected as if at depth 1."""
+    ahead = F.when(z < min_depth / 2, F.lit(1.0)).otherwise(z)
+    return fx * x / ahead + cx, fy * y / ahead + cy, inverse / ahead, z > min_depth
+
+
 def scene_alignment(first_extrinsics: Column) -> Column:
     """the transform that turns a scene to its first camera: inverse(E0), then y and z flipped, then half a turn about y."""
     turn = pose(-1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 1, 0)  # flip(y, z) after the half turn

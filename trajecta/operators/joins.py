@@ -21,21 +21,30 @@ def frame_map(poses: DataFrame, artifacts: DataFrame, keys: list[str]) -> DataFr
     return a.unionByName(b)
 
 
+#: tolerances that a stretch of time of an as-of join is long; right rows are repeated about 2 / STRETCH times
+STRETCH = 64
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, right_id: str, tolerance: int, inner: bool = False) -> DataFrame:
     """J2 (left outer) and J3 (inner): the right row nearest in time within the tolerance, the earlier one on ties.
 
-    One union of both sides, sorted once by key and time; two running windows carry the last
-    right row before and the first after each left row, so the work is a sort and no key meets
-    all rows of the other side. Right rows of one time count as the one of the smallest id.
-    Times are integers; tolerance is inclusive. Right columns come with the prefix r_.
+    One union of both sides, sorted once by key, stretch of time and time; two running windows
+    carry the last right row before and the first after each left row. A stretch is many
+    tolerances long, and right rows near its ends are also in the next one, so a key of very many
+    rows is spread over its stretches, and nothing is carried between them. Right rows of one
+    time count as the one of the smallest id. Times are integers; tolerance is inclusive. Right
+    columns come with the prefix r_.
     """
+    stretch = STRETCH * (tolerance + 1)
+    at = lambda t: F.floor(t / stretch).cast("long")
     right_cols = [c for c in right.columns if c not in by]
     packed = right.groupBy(*by, time).agg(F.min_by(F.struct(*right_cols), right_id).alias("_r")).withColumn("_side", F.lit(0))
+    packed = packed.withColumn("_at", F.explode(F.sequence(at(F.col(time) - tolerance), at(F.col(time) + tolerance))))
     kind = packed.schema["_r"].dataType
-    queries = left.select(*by, time, F.lit(None).cast(kind).alias("_r"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+    queries = left.select(*by, time, F.lit(None).cast(kind).alias("_r"), F.lit(1).alias("_side"), at(F.col(time)).alias("_at"), F.struct(*left.columns).alias("_l"))
     both = queries.unionByName(packed.withColumn("_l", F.lit(None).cast(queries.schema["_l"].dataType)))
-    back = Window.partitionBy(*by).orderBy(F.col(time), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.col(time), F.col("_side").desc()).rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*by, "_at").orderBy(F.col(time), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by, "_at").orderBy(F.col(time), F.col("_side").desc()).rowsBetween(0, Window.unboundedFollowing)
     near = both.withColumn("_b", F.last("_r", True).over(back)).withColumn("_a", F.first("_r", True).over(ahead)).where("_side = 1")
     before, after = F.col(time) - F.col(f"_b.{time}"), F.col(f"_a.{time}") - F.col(time)
     pick = F.when(F.col("_a").isNull() | (before <= after), F.col("_b")).otherwise(F.col("_a"))

@@ -354,3 +354,18 @@ def scalars(spark, d):
 
 
 register("f22_f23_activations", scalars, "WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), b AS (SELECT min(x) AS lo, max(x) AS hi FROM e) SELECT vec_id, round(sign(x) * (exp(abs(x)) - 1), 6) + 0.0 AS inv, round(1 + exp(x), 6) AS conf, round((x - lo) / (hi - lo), 6) AS unit FROM e, b")
+
+
+def gridded(spark, d):
+    """Line items as points and depths of frames, every fifth without a camera; some points are the origin, some depths too small or not finite."""
+    k = F.col("l_orderkey")
+    p = pixels(spark, d).select("frame", "l_orderkey", "l_linenumber", *[F.when(k % 3 == 0, 0.0).otherwise(F.col("gt") * f).alias(c) for c, f in (("x", 1.0), ("y", 0.5), ("z", 0.25))], F.when(k % 7 == 0, float("nan")).when(k % 7 == 1, 1e-4).otherwise(F.col("gt")).alias("depth"), (F.col("frame") % 5 != 0).alias("has_camera"))
+    points_ = cl.valid_grid_points(p).groupBy("frame").agg(F.count(F.lit(1)).alias("n_points"))
+    depths = cl.valid_grid_depths(p).groupBy("frame").agg(F.count(F.lit(1)).alias("n_depths"), F.sum("depth").alias("total"))
+    return rounded(points_.join(depths, "frame", "full"), 2)
+
+
+register(
+    "p3_valid_grid_points", gridded,
+    f"WITH {PIXELS} SELECT frame, nullif(count(*) FILTER (l_orderkey % 3 <> 0 AND gt <> 0), 0) AS n_points, nullif(count(*) FILTER (l_orderkey % 7 > 1 AND gt > 1e-4), 0) AS n_depths, round(sum(gt) FILTER (l_orderkey % 7 > 1 AND gt > 1e-4), 2) AS total FROM pix WHERE frame % 5 <> 0 GROUP BY frame",
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.functions.geometry import compose, invert_affine, nearest_source, planar_pose, pose, quaternion, r, rotation_of, scene_alignment
+from trajecta.functions.geometry import compose, from_inverse_depth, induced_flow, invert_affine, move_homogeneous, nearest_source, planar_pose, pose, project_homogeneous, quaternion, r, rotation_of, scene_alignment
 from trajecta.operators import clouds as cl
 from trajecta.operators import flow as fl
 from trajecta.operators import frames as fr
@@ -57,6 +57,27 @@ register(
 )
 
 
+def projected(spark, d):
+    """pixel (8, 16) of every frame in inverse depth under a turn about z and a shift, some points near or behind, and the flow at its depth."""
+    e = events(spark, d).select("event_id", (F.col("event_id") % 9 / 8.0).alias("w"), F.radians((F.col("event_id") % 5).cast("double")).alias("a"), (F.col("event_id") % 7 - 4.0).alias("tz"))
+    c, s = F.cos("a"), F.sin("a")
+    m = pose(c, -s, F.lit(0.0), F.lit(0.5), s, c, F.lit(0.0), F.lit(-0.25), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("tz"))
+    u, v, camera = F.lit(8.0), F.lit(16.0), [F.lit(x) for x in CAMERA]
+    px, py, depth, fine = project_homogeneous(*move_homogeneous(m, *from_inverse_depth(u, v, F.col("w"), *camera)), *camera)
+    flow = induced_flow(u, v, 1 / F.nullif("w", F.lit(0.0)), m, *camera)
+    return rounded(e.select("event_id", px.alias("px"), py.alias("py"), depth.alias("inverse"), fine.alias("fine"), flow.alias("flow")), 5)
+
+
+_AHEAD = "CASE WHEN 1 + tz * w < 0.1 THEN 1 ELSE 1 + tz * w END"
+register(
+    "f9_inverse_depth_projection", projected,
+    f"""WITH e AS (SELECT event_id, event_id % 9 / 8.0 AS w, radians(CAST(event_id % 5 AS DOUBLE)) AS a, event_id % 7 - 4.0 AS tz FROM events),
+  p AS (SELECT *, cos(a) * (8 - 16) / 40.0 - sin(a) * (16 - 12) / 36.0 + 0.5 * w AS x, sin(a) * (8 - 16) / 40.0 + cos(a) * (16 - 12) / 36.0 - 0.25 * w AS y, 1 + tz * w AS z FROM e)
+  SELECT event_id, round(40 * x / ({_AHEAD}) + 16, 5) + 0.0 AS px, round(36 * y / ({_AHEAD}) + 12, 5) + 0.0 AS py, round(w / ({_AHEAD}), 5) + 0.0 AS inverse, z > 0.2 AS fine,
+    CASE WHEN w > 0 AND z / w > 0.2 THEN round(sqrt((40 * x / z + 16 - 8) ** 2 + (36 * y / z + 12 - 16) ** 2), 5) END AS flow FROM p""",
+)
+
+
 def flow_matrix(spark, d):
     """Suppliers of a nation as frames; some depths are too near, so some pairs are infinitely far (-1 here)."""
     s = table(spark, d, "supplier")

@@ -184,7 +184,7 @@ register(
 
 
 def se3_roundtrips(spark, d):
-    """Identities that must hold for every pose; the error of each, rounded."""
+    """Identities that must hold for every pose, the error of each, rounded, and what the steps in between are."""
     p = poses(spark, d)
     m = F.col("gt")
     unit = compose(invert_rigid(m), m)
@@ -194,13 +194,14 @@ def se3_roundtrips(spark, d):
     again, k = decode_pose_encoding(F.col("code"), F.lit(640.0), F.lit(480.0))
     worst = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
     eye = F.array(*[F.lit(1.0 if i in (0, 5, 10) else 0.0) for i in range(12)])
-    out = p.select("scene", worst(unit, eye).alias("rigid"), worst(full, eye).alias("full"), worst(back, m).alias("quaternion"), worst(again, m).alias("encoding"), F.abs(k.fx - 500.0).alias("focal"), finite_pose(m).alias("fine"))
-    return rounded(out.groupBy("scene").agg(*[F.max(c).alias(c) for c in ("rigid", "full", "quaternion", "encoding", "focal")], F.bool_and("fine").alias("fine")))
+    out = p.select("scene", worst(unit, eye).alias("rigid"), worst(full, eye).alias("full"), worst(back, m).alias("quaternion"), worst(again, m).alias("encoding"), F.abs(k.fx - 500.0).alias("focal"), finite_pose(m).alias("fine"), F.abs("q.z").alias("qz"), r(invert_rigid(m), 0, 3).alias("ix"), r(invert_affine(m), 1, 3).alias("iy"), F.element_at("code", 8).alias("fov"))
+    return rounded(out.groupBy("scene").agg(*[F.max(c).alias(c) for c in ("rigid", "full", "quaternion", "encoding", "focal")], F.bool_and("fine").alias("fine"), *[F.sum(c).alias(c) for c in ("qz", "ix", "iy")], F.max("fov").alias("fov")), 4)
 
 
 register(
     "f1_f5_f10_pose_round_trips", se3_roundtrips,
-    "SELECT user_id AS scene, 0.0 AS rigid, 0.0 AS \"full\", 0.0 AS quaternion, 0.0 AS encoding, 0.0 AS focal, true AS fine FROM events GROUP BY user_id",
+    f"WITH {FRAMES} SELECT scene, 0.0 AS rigid, 0.0 AS \"full\", 0.0 AS quaternion, 0.0 AS encoding, 0.0 AS focal, true AS fine, round(sum(abs(sin(yaw / 2))), 4) AS qz, "
+    "round(sum(-(cos(yaw) * x + sin(yaw) * y)), 4) + 0.0 AS ix, round(sum(sin(yaw) * x - cos(yaw) * y), 4) + 0.0 AS iy, round(2 * atan(480 / 2.0 / 480), 4) AS fov FROM fr GROUP BY scene",
 )
 
 

@@ -42,6 +42,18 @@ class Artifact:
         except json.JSONDecodeError:
             return None
 
+    def save_sampling(self, frames: list[int], config: dict | None = None) -> None:
+        """Which frames were sampled, ascending, and how; a list of frame numbers is small."""
+        document = {"num_frames": len(frames), "frames": sorted(frames)} | ({"sampling": config} if config else {})
+        files.write_text(self.spark, f"{self.root}/sampling.json", json.dumps(document, indent=2))
+
+    def load_sampling(self) -> dict:
+        """The sampling document; a missing or corrupt one is an error."""
+        text = files.read_text(self.spark, f"{self.root}/sampling.json")
+        if text is None:
+            raise FileNotFoundError(f"{self.root}/sampling.json")
+        return json.loads(text)
+
     def clear_incomplete(self) -> None:
         if not self.is_complete():
             files.remove(self.spark, self.root)
