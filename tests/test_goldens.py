@@ -63,6 +63,20 @@ def test_nearest_points_are_exact(spark):
         assert got[i].distance == pytest.approx(d[i].min()) and got[i].near_id == int(np.flatnonzero(np.isclose(d[i], d[i].min()))[0])
 
 
+def test_nearest_points_of_dense_clouds(spark, monkeypatch):
+    monkeypatch.setattr(joins, "DENSE", 16)
+    rng = np.random.default_rng(2)
+    dense = rng.standard_normal((300, 3)) * 0.01 + 0.5
+    b = np.concatenate([dense, np.repeat(dense[:1], 40, axis=0), rng.standard_normal((60, 3)) * 3])
+    a = np.concatenate([rng.standard_normal((80, 3)) * 0.02 + 0.5, dense[:20], rng.standard_normal((40, 3)) * 3])
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    want = {i: (pytest.approx(d[i].min()), int(np.flatnonzero(d[i] == d[i].min())[0])) for i in range(len(a))}
+    got = {r.point_id: (r.distance, r.near_id) for r in nearest_point(points(spark, a), points(spark, b), ["scene"], 0.8, 2).collect()}
+    assert got == want
+    near = {r.point_id: (r.distance, r.near_id) for r in joins.within_radius(points(spark, a), points(spark, b), ["scene"], 0.6).collect()}
+    assert near == {i: w for i, w in want.items() if d[i].min() <= 0.6}
+
+
 def test_asof_ties_go_to_the_earlier_row(spark):
     s = 1_000_000
     left = spark.createDataFrame([(1, 0), (1, s), (1, 5 * s), (2, 0)], "k int, t long")

@@ -119,6 +119,60 @@ def _brute_block(source: DataFrame, target: DataFrame, by: list[str], sid: str,
     return found.where("distance is not null and not isnan(distance)").groupBy(*by, sid).agg(F.min(F.struct("distance", tid)).alias("m")).select(*by, sid, f"m.{tid}", "m.distance")
 
 
+#: distinct target points of a cube up to which they are compared one by one; denser cubes are halved
+DENSE = 4096
+
+
+def _offsets(*steps: int) -> Column:
+    return F.array(*[F.array(*map(F.lit, (i, j, k))) for i in steps for j in steps for k in steps])
+
+
+def _gap(side: float) -> Column:
+    """Distance of the source point _x, _y, _z from the cube _cx, _cy, _cz, a little under it."""
+    out = F.lit(0.0)
+    for c in "xyz":
+        low = F.col(f"_c{c}") * side
+        out = out + F.greatest(low - F.col(f"_{c}"), F.col(f"_{c}") - low - side, F.lit(0.0)) ** 2
+    return F.sqrt(out) * (1 - 1e-9)
+
+
+def _best(met: DataFrame, keys: list[str], tid: str) -> DataFrame:
+    d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2)
+    return met.groupBy(*keys).agg(F.min(F.struct(d.alias("distance"), F.col(tid), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))).alias("m"))
+
+
+def _nearest_by_cubes(source: DataFrame, target: DataFrame, by: list[str], side: float, sid: str, tid: str) -> DataFrame:
+    """(by, sid, m) with m the distance, id and place of a target: the nearest one wherever it is within `side`.
+
+    Targets meet the sources around by cubes of this side. Where cubes hold over DENSE different
+    targets, a source goes down only into those halves of them that may hold a nearer target
+    than one that it has met (each cube tells one of its points), until cubes are small; so no
+    source meets all of a dense cube.
+    """
+    keys, cube = [*by, sid], [*by, "_cx", "_cy", "_cz"]
+    spots = target.groupBy(*by, "x", "y", "z").agg(F.min(tid).alias(tid))
+    near = source.withColumn("_o", F.explode(_offsets(-1, 0, 1)))
+    near = near.select(*keys, *[F.col(c).alias(f"_{c}") for c in "xyz"], *[(_cell(c, side) + F.col("_o")[n]).alias(f"_c{c}") for n, c in enumerate("xyz")])
+    placed = lambda rows, s: rows.select("*", *[_cell(c, s).alias(f"_c{c}") for c in "xyz"])
+    told = lambda rows, s: placed(rows, s).groupBy(*cube).agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("x", "y", "z"), tid).alias("_one"))
+    if told(spots, side).where(F.col("_n") > DENSE).isEmpty():
+        return _best(near.join(placed(spots, side), cube), keys, tid)
+    spots, near, found = cut(spots), near.withColumn("_most", F.lit(side)), None
+    while True:
+        cubes = cut(told(spots, side))
+        one = F.sqrt(sum(((F.col(f"_one.{c}") - F.col(f"_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+        met = near.join(cubes, cube).withColumn("_most", F.least("_most", F.min(one).over(Window.partitionBy(*keys))))
+        met = cut(met.where(_gap(side) <= F.col("_most")).drop("_one"))
+        small = _best(met.where(F.col("_n") <= DENSE).join(placed(spots, side), cube), keys, tid)
+        found = small if found is None else found.unionByName(small)
+        deep = met.where(F.col("_n") > DENSE)
+        if deep.isEmpty():
+            return found.groupBy(*keys).agg(F.min("m").alias("m"))
+        spots = cut(placed(spots, side).join(cubes.where(F.col("_n") > DENSE), cube, "left_semi").select(*by, "x", "y", "z", tid))
+        near = deep.withColumn("_o", F.explode(_offsets(0, 1))).select(*keys, "_x", "_y", "_z", "_most", *[(F.col(f"_c{c}") * 2 + F.col("_o")[n]).alias(f"_c{c}") for n, c in enumerate("xyz")])
+        side /= 2
+
+
 def nearest_point(
     source: DataFrame, target: DataFrame, by: list[str], cell: float, rounds: int = 4, sid: str = "point_id", tid: str = "near_id", part: int = 20_000
 ) -> DataFrame:
@@ -135,11 +189,7 @@ def nearest_point(
     left, done = source.select(*by, sid, "x", "y", "z"), None
     side = cell
     for _ in range(rounds):
-        probe = left.withColumn("_o", F.explode(F.array(*[F.array(*map(F.lit, (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])))
-        probe = probe.select(*by, sid, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), *[(_cell(c, side) + F.col("_o")[n]).alias(f"_c{c}") for n, c in enumerate("xyz")])
-        cubes = spots.select("*", *[_cell(c, side).alias(f"_c{c}") for c in "xyz"])
-        d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2)
-        best = probe.join(cubes, [*by, "_cx", "_cy", "_cz"]).groupBy(*by, sid).agg(F.min(F.struct(d.alias("distance"), F.col(tid))).alias("m"))
+        best = _nearest_by_cubes(left, spots, by, side, sid, tid)
         tried = cut(left.join(best, [*by, sid], "left"))
         found = tried.where(F.col("m.distance") <= side).select(*by, sid, f"m.{tid}", "m.distance")
         done = found if done is None else done.unionByName(found)
@@ -152,12 +202,10 @@ def nearest_point(
 
 def within_radius(source: DataFrame, target: DataFrame, by: list[str], radius: float, sid: str = "point_id", tid: str = "near_id") -> DataFrame:
     """Nearest target within a radius, by cubes of the radius' side; unmatched source points are left out."""
-    spots = target.select(*by, F.col(sid).alias(tid), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), *[_cell(c, radius).alias(f"_c{c}") for c in "xyz"])
-    probe = source.withColumn("_o", F.explode(F.array(*[F.array(*map(F.lit, (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])))
-    probe = probe.select(*by, sid, "x", "y", "z", *[(_cell(c, radius) + F.col("_o")[n]).alias(f"_c{c}") for n, c in enumerate("xyz")])
-    d = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2 + (F.col("z") - F.col("tz")) ** 2)
-    met = probe.join(spots, [*by, "_cx", "_cy", "_cz"]).withColumn("distance", d).where(F.col("distance") <= radius)
-    return met.groupBy(*by, sid).agg(F.min(F.struct("distance", tid, "x", "y", "z", "tx", "ty", "tz")).alias("m")).select(*by, sid, "m.*")
+    spots = target.select(*by, F.col(sid).alias(tid), "x", "y", "z")
+    own = source.select(*by, sid, "x", "y", "z")
+    near = _nearest_by_cubes(own, spots, by, radius, sid, tid).where(F.col("m.distance") <= radius)
+    return near.join(own, [*by, sid]).select(*by, sid, "m.distance", f"m.{tid}", "x", "y", "z", "m.tx", "m.ty", "m.tz")
 
 
 def stencil(cells: DataFrame, radius: int, disk: bool = True, px: str = "px", py: str = "py") -> DataFrame:
