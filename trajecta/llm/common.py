@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajecta.operators.lineage import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse, which all executors reach too."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_trajecta"
+    """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse, but never a disk of the driver's own beside a cluster: that is an error."""
+    return shared_folder(spark)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -56,6 +57,25 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def frugal(run):
+    """A function over batches that, at the end of its task, gives memory that was freed back to the system: a worker is kept for later tasks and stages, beside whose memory it would stand."""
+
+    def with_end(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return with_end
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

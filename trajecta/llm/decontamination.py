@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import materialize, read_table
+from trajecta.llm.common import discard, frugal, materialize, read_table
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -143,15 +144,10 @@ def find_contamination(
     tasks hold one block however large the benchmark is. Null or empty texts and items match nothing; repeated rows give
     repeated results; other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    n_blocks = max(1, -(-size["n"] // block_items), -(-(size["chars"] or 0) // block_chars))
     schema = "doc_id long, item_id long, distance int, end long"
-    out = None
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        rows = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()])
+    out, blocks = None, item_blocks(benchmark, block_items, block_chars)
+    for block in blocks:
+        rows = _held(block)
 
         def scan(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
             matcher = Matcher(rows.value, error_rate, min_piece)
@@ -165,13 +161,50 @@ def find_contamination(
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = docs.select("doc_id", "text").mapInPandas(scan, schema)
-        if n_blocks > 1:
+        if len(blocks) > 1:
             part = materialize(part, "contamination")
             rows.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def item_blocks(benchmark: DataFrame, block_items: int, block_chars: int) -> list[DataFrame]:
+    """Parts of benchmark(item_id, text), which the driver reads one at a time."""
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    n = max(1, -(-size["n"] // block_items), -(-(size["chars"] or 0) // block_chars))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _held(block: DataFrame):
+    return block.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()])
+
+
+def without_contamination(
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, min_piece: int = 12, block_items: int = 20_000, block_chars: int = 16_000_000
+) -> DataFrame:
+    """The rows of docs, whole, in whose text find_contamination finds nothing: judged one by one in the scan itself, so ids decide nothing and no join is needed.
+
+    What a block leaves is written before the next block is read.
+    """
+    out, blocks = docs, item_blocks(benchmark, block_items, block_chars)
+    for block in blocks:
+        rows = _held(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(rows.value, error_rate, min_piece)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column("text").to_pylist()], type=pa.bool_()))
+
+        left = out.mapInArrow(frugal(clean), out.schema)
+        if len(blocks) > 1:
+            left = materialize(left, "uncontaminated")
+            rows.destroy()
+            discard(out)
+        out = left
+    return out
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found, with edits, in all documents."""
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

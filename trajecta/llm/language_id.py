@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import id_fold, read_table
+from trajecta.llm.common import frugal, id_fold, read_table
 
 ORDER = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -284,7 +284,7 @@ def identify(docs: DataFrame, model: Model | None, tolerance: float | None = Non
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     schema = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean" + kinds
-    return docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInPandas(predict, schema)
+    return docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInPandas(frugal(predict), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import connected_components, counted, discard, hot_join, hot_keys, materialize, read_table
+from trajecta.llm.common import connected_components, counted, discard, frugal, hot_join, hot_keys, materialize, read_table
 from trajecta.llm.tokens import text_batches
 
 #: 72 bands of 8 rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8**8)**72 < 2e-6.
@@ -168,7 +168,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                 row_id += b - a
 
     schema = "row_id long, doc_id long, n_shingles long, word_key binary, bands array<bigint>"
-    return docs.select("doc_id", "text").mapInPandas(sign, schema)
+    return docs.select("doc_id", "text").mapInPandas(frugal(sign), schema)
 
 
 def shingle_sets(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -181,7 +181,7 @@ def shingle_sets(docs: DataFrame, width: int = 4) -> DataFrame:
                 ends = np.cumsum(n)
                 yield pd.DataFrame({"word_key": keys, "shingles": [shingles[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]})
 
-    return docs.select("text").mapInPandas(sets, "word_key binary, shingles binary")
+    return docs.select("text").mapInPandas(frugal(sets), "word_key binary, shingles binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -210,7 +210,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, hubs: list) -> Data
 
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = hot_join(with_a, sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), ["b"], "b", hubs)
-    return with_b.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    return with_b.select("a", "b", "sa", "sb").mapInPandas(frugal(check), "a long, b long")
 
 
 def spanning_links(names: list, classes: np.ndarray, sets: list[np.ndarray], percent: int, first: int | None = None) -> list[tuple]:

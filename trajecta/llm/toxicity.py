@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import id_fold, read_table
+from trajecta.llm.common import frugal, id_fold, read_table
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
@@ -138,7 +138,7 @@ def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7, c
             yield pd.DataFrame(out | {c: batch[c] for c in carry})
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInPandas(predict, "doc_id long, score double, predicted int" + kinds)
+    return docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInPandas(frugal(predict), "doc_id long, score double, predicted int" + kinds)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
