@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.llm.common import discard, materialize, read_table
-from trajecta.llm.decontamination import find_contamination
+from trajecta.llm.decontamination import without_contamination
 from trajecta.llm.language_id import identify
 from trajecta.llm.language_id import train as train_languages
 from trajecta.llm.near_dedup import near_duplicates
@@ -25,12 +25,18 @@ from trajecta.llm.toxicity import train as train_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _in_small_batches(docs: DataFrame) -> DataFrame:
+    """Whole texts go to Python in batches of about 8 MB, so that the stages' workers stay small beside one another."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return docs
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: texts without letters, null ones too, and texts that no language's model accepts go; without any labelled row all go.
 
     Rows are judged one by one: a null doc_id decides nothing, and repeated rows stay repeated.
     """
-    found = identify(docs, train_languages(docs), carry=tuple(COLUMNS[1:]))
+    found = identify(_in_small_batches(docs), train_languages(docs), carry=tuple(COLUMNS[1:]))
     return found.where("not rejected").select(*COLUMNS)
 
 
@@ -39,7 +45,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are judged one by one: a null doc_id decides nothing, and repeated rows stay repeated.
     """
-    scored = score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")), carry=tuple(COLUMNS[1:]))
+    scored = score_toxicity(_in_small_batches(docs), train_toxicity(docs, read_table(spark, sf_dir, "labels")), carry=tuple(COLUMNS[1:]))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
@@ -49,7 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat this doc_id are one document: the first by text stays. Texts without words
     and rows without a doc_id are in no group and stay.
     """
-    found = near_duplicates(docs, percent=80, width=5)
+    found = near_duplicates(_in_small_batches(docs), percent=80, width=5)
     gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
     repeated = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = materialize(repeated, "repeated")
@@ -65,17 +71,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that hold a benchmark item go, row by row: null and repeated doc_ids decide nothing, null texts hold nothing."""
-    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS), "keyed")
-    found = find_contamination(keyed.select(F.col("row_id").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.select(F.col("doc_id").alias("row_id")).distinct(), "contaminated")
-    return keyed.join(gone, "row_id", "left_anti").select(*COLUMNS)
+    return without_contamination(_in_small_batches(docs).select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: what is left, in sequences of at most 2048 tokens; null texts are empty documents, repeated rows documents of their own."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
+    return pack_documents(_in_small_batches(docs), public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("packing", packing)]
@@ -88,5 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
