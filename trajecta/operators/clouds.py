@@ -171,5 +171,5 @@ def merge_clouds(clouds: list[DataFrame]) -> DataFrame:
 
 
 def random_cap(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
-    """N rows without replacement, the same for one seed."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """N rows without replacement, the same for one seed: those whose keys, joined by colons after it, have the least md5. A task keeps n rows at most."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)

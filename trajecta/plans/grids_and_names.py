@@ -268,11 +268,11 @@ register("a37_x6_run_counters", counters, f"WITH {_CAT} SELECT dataset, method,
 
 
 def capped(spark, d):
-    """A seeded sample; rows only, as the hash is Spark's."""
+    """A seeded sample of the points."""
     return random_cap(points(spark, d).select("point_id"), 100, 42, ["point_id"])
 
 
-register("o2_o3_p12_random_cap", capped)
+register("o2_o3_p12_random_cap", capped, f"WITH {POINTS} SELECT point_id FROM pts ORDER BY md5('42:' || point_id), point_id LIMIT 100")
 
 
 def colours(spark, d):

@@ -130,11 +130,25 @@ register(
 
 
 def aligned_errors(spark, d):
-    """Rows only; the SVD has no SQL. Tested by invariance."""
+    """Errors after the best similarity; of planar poses the SVD has a closed form."""
     return rounded(trajectory_errors(poses(spark, d), ["scene"]), 4)
 
 
-register("a1_a8_aligned_ate", aligned_errors)
+# Sums of singular values of the planar covariance: of a turn where its determinant is positive, else of a mirroring, which a turn in space gives.
+register(
+    "a1_a8_aligned_ate", aligned_errors,
+    f"WITH {FRAMES}, " + """m AS (SELECT scene, avg(x) AS mx, avg(y) AS my, avg(px) AS mpx, avg(py) AS mpy FROM fr GROUP BY scene),
+  c AS (SELECT scene, avg((x - mx) * (px - mpx)) AS a, avg((x - mx) * (py - mpy)) AS b, avg((y - my) * (px - mpx)) AS c, avg((y - my) * (py - mpy)) AS d,
+    avg((px - mpx) ** 2 + (py - mpy) ** 2) AS vp, avg((x - mx) ** 2 + (y - my) ** 2) AS vg, count(*) AS n_frames FROM fr JOIN m USING (scene) GROUP BY scene),
+  k AS (SELECT *, sqrt(CASE WHEN a * d - b * c >= 0 THEN (a + d) ** 2 + (c - b) ** 2 ELSE (a - d) ** 2 + (b + c) ** 2 END) AS s FROM c),
+  st AS (SELECT *, lag(yaw) OVER w AS byaw, lag(x) OVER w AS bx, lag(y) OVER w AS by_, lag(pyaw) OVER w AS cyaw, lag(px) OVER w AS cx, lag(py) OVER w AS cy
+    FROM fr WINDOW w AS (PARTITION BY scene ORDER BY frame_idx)),
+  rel AS (SELECT st.scene, yaw - byaw AS gy, pyaw - cyaw AS py_, cos(byaw) * (x - bx) + sin(byaw) * (y - by_) AS g1, -sin(byaw) * (x - bx) + cos(byaw) * (y - by_) AS g2,
+    s / vp * (cos(cyaw) * (px - cx) + sin(cyaw) * (py - cy)) AS p1, s / vp * (-sin(cyaw) * (px - cx) + cos(cyaw) * (py - cy)) AS p2 FROM st JOIN k ON k.scene = st.scene WHERE byaw IS NOT NULL),
+  e AS (SELECT scene, sqrt((p1 - g1) ** 2 + (p2 - g2) ** 2) AS l, degrees(acos(least(greatest(1 - 2 * greatest(1 - cos((py_ - gy) / 2) ** 2, 1e-15), -1), 1))) AS a FROM rel),
+  rr AS (SELECT scene, sqrt(avg(l * l)) AS rpe_trans, sqrt(avg(a * a)) AS rpe_rot FROM e GROUP BY scene)
+  SELECT k.scene, round(sqrt(greatest(vg - s * s / vp, 0)), 4) AS ate, n_frames, round(rpe_trans, 4) AS rpe_trans, round(rpe_rot, 4) AS rpe_rot FROM k LEFT JOIN rr ON rr.scene = k.scene""",
+)
 
 
 def statistics(spark, d):
