@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajecta.functions.text import frame_key
 from trajecta.operators import flow as fl
+from trajecta.plans import registry
 
 
 def test_flow_matrix_takes_blocks_of_frames_and_no_pixel_of_unknown_depth(spark):
@@ -37,3 +39,10 @@ def test_flow_matrix_takes_blocks_of_frames_and_no_pixel_of_unknown_depth(spark)
         both = seen(s, i, j) + seen(s, j, i)
         fine = [f for ok, f in both if ok]
         assert distance == (None if not both else math.inf if len(fine) / len(both) < 0.7 else pytest.approx(sum(fine) / len(fine)))
+
+
+def test_names_of_parts_from_a_million_on_are_those_of_the_sql(spark, tmp_path):
+    spark.createDataFrame([(7, "SMALL", 1, 1.0), (999_999, "ECONOMY", 2, 1.0), (1_234_567, "LARGE", 3, 1.0)], "p_partkey long, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.frame_key for r in registry.queries()["f30_f34_f39_names"](spark, str(tmp_path)).collect()}
+    assert got == {7: "000007", 999_999: "999999", 1_234_567: "123456"}  # lpad(CAST(p_partkey AS VARCHAR), 6, '0')
+    assert spark.range(1_234_567, 1_234_568).select(frame_key(F.col("id"))).first()[0] == "1234567"  # the operator keeps numbers whole
