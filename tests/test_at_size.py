@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajecta.functions.text import frame_key
 from trajecta.operators import flow as fl
+from trajecta.operators import joins
 from trajecta.plans import registry
 
 
@@ -46,3 +47,18 @@ def test_names_of_parts_from_a_million_on_are_those_of_the_sql(spark, tmp_path):
     got = {r.p_partkey: r.frame_key for r in registry.queries()["f30_f34_f39_names"](spark, str(tmp_path)).collect()}
     assert got == {7: "000007", 999_999: "999999", 1_234_567: "123456"}  # lpad(CAST(p_partkey AS VARCHAR), 6, '0')
     assert spark.range(1_234_567, 1_234_568).select(frame_key(F.col("id"))).first()[0] == "1234567"  # the operator keeps numbers whole
+
+
+def test_points_of_crowded_cubes_meet_few_others(spark, monkeypatch):
+    rng, met = np.random.default_rng(5), []
+    b = np.concatenate([rng.random((1500, 3)), [[3.0, 3.0, 3.0]]])
+    a = np.concatenate([rng.random((500, 3)), [[2.2, 2.4, 2.9], [1.3, 1.2, 1.1], [9.0, 9.0, 9.0]]])
+    table = lambda rows: spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(rows)], "scene int, point_id long, x double, y double, z double")
+    best = joins._best
+    monkeypatch.setattr(joins, "_best", lambda m, keys, tid: met.append(m.count()) or best(m, keys, tid))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    want = {i: (pytest.approx(d[i].min()), int(d[i].argmin())) for i in range(len(a))}
+    assert {r.point_id: (r.distance, r.near_id) for r in joins.nearest_point(table(a), table(b), ["scene"], 1.0, 2).collect()} == want
+    near = {r.point_id: (r.distance, r.near_id) for r in joins.within_radius(table(a), table(b), ["scene"], 1.0).collect()}
+    assert near == {i: w for i, w in want.items() if d[i].min() <= 1.0} and len(near) == len(a) - 2
+    assert sum(met) < 2 * 200 * len(a)  # all in a cube of side 1 would be 1500 a point

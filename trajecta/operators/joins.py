@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +121,9 @@ def _brute_block(source: DataFrame, target: DataFrame, by: list[str], sid: str,
 
 
 #: distinct target points of a cube up to which they are compared one by one; denser cubes are halved
-DENSE = 4096
+DENSE = 256
+#: cubes are made smaller until half of the targets sit in cubes of so many different ones at most
+CROWD = 4
 
 
 def _offsets(*steps: int) -> Column:
@@ -155,7 +158,7 @@ def _nearest_by_cubes(source: DataFrame, target: DataFrame, by: list[str], side:
     near = near.select(*keys, *[F.col(c).alias(f"_{c}") for c in "xyz"], *[(_cell(c, side) + F.col("_o")[n]).alias(f"_c{c}") for n, c in enumerate("xyz")])
     placed = lambda rows, s: rows.select("*", *[_cell(c, s).alias(f"_c{c}") for c in "xyz"])
     told = lambda rows, s: placed(rows, s).groupBy(*cube).agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("x", "y", "z"), tid).alias("_one"))
-    if told(spots, side).where(F.col("_n") > DENSE).isEmpty():
+    if near.join(told(spots, side).where(F.col("_n") > DENSE).select(*cube), cube, "left_semi").isEmpty():
         return _best(near.join(placed(spots, side), cube), keys, tid)
     spots, near, found = cut(spots), near.withColumn("_most", F.lit(side)), None
     while True:
@@ -173,38 +176,60 @@ def _nearest_by_cubes(source: DataFrame, target: DataFrame, by: list[str], side:
         side /= 2
 
 
+def _halvings(spots: DataFrame, by: list[str], side: float, most: int = 20) -> int:
+    """How often cubes of this side are to be halved until half of the targets have at most CROWD different ones in their cube."""
+    places, k = spots.select(*by, "x", "y", "z").distinct(), 0
+    while k < most:
+        n = places.groupBy(*by, *[_cell(c, side / 2**k) for c in "xyz"]).agg(F.count(F.lit(1)).alias("n"))
+        full = F.when(F.col("n") > CROWD, F.col("n"))
+        row = n.agg((F.sum(full) / F.sum("n")).alias("share"), (F.sum(full * F.log2(full)) / F.sum(full)).alias("size")).first()
+        if (row["share"] or 0.0) <= 0.5:
+            break
+        k += max(1, int((row["size"] - math.log2(CROWD)) / 3))
+    return min(k, most)
+
+
+def _nearest_by_rounds(source: DataFrame, spots: DataFrame, by: list[str], sides: list[float], sid: str, tid: str) -> tuple[DataFrame, DataFrame | None]:
+    """(by, sid, m) of the sources with a target within the last side, as _nearest_by_cubes, and the sources that have none; each side is tried by those that found nothing within the one before."""
+    left, done = source.select(*by, sid, "x", "y", "z"), None
+    for side in sides:
+        tried = cut(left.join(_nearest_by_cubes(left, spots, by, side, sid, tid), [*by, sid], "left"))
+        found = tried.where(F.col("m.distance") <= side).select(*by, sid, "m")
+        done = found if done is None else done.unionByName(found)
+        left = tried.where(F.col("m").isNull() | (F.col("m.distance") > side)).select(*by, sid, "x", "y", "z")
+        if left.isEmpty():
+            return done, None
+    return done, left
+
+
 def nearest_point(
     source: DataFrame, target: DataFrame, by: list[str], cell: float, rounds: int = 4, sid: str = "point_id", tid: str = "near_id", part: int = 20_000
 ) -> DataFrame:
     """Exact nearest target point (smallest id on ties) of every source point x, y, z of its group.
 
-    Targets sit in cubes of side `cell`; a source point probes the 27 cubes around it by an
-    equality join, and a neighbour within one side is final, for no closer point lies outside.
-    The others try again with sides doubled; the table of what is left is cut from its plan in
-    every round. What is left after `rounds` is compared with all targets of its group, both
-    dealt to parts of about `part` rows. Source points of a group without targets are not in
-    the result.
+    Targets sit in cubes of side `cell`, halved until most of them have few others in their
+    cube, so that a source meets about as many targets in a large cloud as in a small one. A
+    source point probes the 27 cubes around it by an equality join, and a neighbour within one
+    side is final, for no closer point lies outside. The others try again with sides doubled, up
+    to cell doubled `rounds` - 1 times; the table of what is left is cut from its plan in every
+    round. What is left then is compared with all targets of its group, both dealt to parts of
+    about `part` rows. Source points of a group without targets are not in the result.
     """
     spots = target.select(*by, F.col(sid).alias(tid), "x", "y", "z")
-    left, done = source.select(*by, sid, "x", "y", "z"), None
-    side = cell
-    for _ in range(rounds):
-        best = _nearest_by_cubes(left, spots, by, side, sid, tid)
-        tried = cut(left.join(best, [*by, sid], "left"))
-        found = tried.where(F.col("m.distance") <= side).select(*by, sid, f"m.{tid}", "m.distance")
-        done = found if done is None else done.unionByName(found)
-        left = tried.where(F.col("m").isNull() | (F.col("m.distance") > side)).select(*by, sid, "x", "y", "z")
-        if left.isEmpty():
-            return done
-        side *= 2
-    return done.unionByName(_brute_block(left, spots, by, sid, tid, part))
+    done, left = _nearest_by_rounds(source, spots, by, [cell * 2.0**k for k in range(-_halvings(spots, by, cell), rounds)], sid, tid)
+    done = done.select(*by, sid, f"m.{tid}", "m.distance")
+    return done if left is None else done.unionByName(_brute_block(left, spots, by, sid, tid, part))
 
 
 def within_radius(source: DataFrame, target: DataFrame, by: list[str], radius: float, sid: str = "point_id", tid: str = "near_id") -> DataFrame:
-    """Nearest target within a radius, by cubes of the radius' side; unmatched source points are left out."""
+    """Nearest target within a radius, by cubes of the radius' side or, in crowded clouds, by smaller ones first; unmatched source points are left out."""
     spots = target.select(*by, F.col(sid).alias(tid), "x", "y", "z")
     own = source.select(*by, sid, "x", "y", "z")
-    near = _nearest_by_cubes(own, spots, by, radius, sid, tid).where(F.col("m.distance") <= radius)
+    halvings = _halvings(spots, by, radius)
+    if halvings:
+        near, _ = _nearest_by_rounds(own, spots, by, [radius * 2.0**k for k in range(-halvings, 1)], sid, tid)
+    else:
+        near = _nearest_by_cubes(own, spots, by, radius, sid, tid).where(F.col("m.distance") <= radius)
     return near.join(own, [*by, sid]).select(*by, sid, "m.distance", f"m.{tid}", "x", "y", "z", "m.tx", "m.ty", "m.tz")
 
 
