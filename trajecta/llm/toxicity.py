@@ -88,11 +88,20 @@ def nn_pu_fit(
     return Classifier({words[x]: float(w[i]) for i, x in enumerate(chosen) if abs(w[i]) > 1e-6}, float(b))
 
 
-def draw(rows: DataFrame, n: int, count: int, max_chars: int) -> list[str]:
-    """At most n whole texts of rows(doc_id, text), by a hash of the row, until they hold max_chars characters together."""
+def draw(rows: DataFrame, n: int, count: int, max_chars: int, only: DataFrame | None = None) -> list[str]:
+    """At most n whole texts of rows(doc_id, text), by a hash of the row, until they hold max_chars characters together.
+
+    With `only`, of the rows whose doc_id is in that table. Then the rows' ids and hashes meet the
+    table without their texts, and the texts of the at most n drawn ones are read afterwards.
+    """
     rate = min(1 << 20, int((1 << 20) * 1.5 * n / max(count, 1)) + 1)
     turn = F.xxhash64("doc_id", "text", F.lit(1))
-    drawn = rows.where((F.length("text") > 0) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < rate)).select("text", turn.alias("turn")).orderBy("turn").limit(n)
+    drawn = rows.where((F.length("text") > 0) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < rate)).withColumn("turn", turn)
+    if only is not None:
+        met = drawn.select("doc_id", "turn").join(only.select("doc_id"), "doc_id", "left_semi").orderBy("turn").limit(n)
+        chosen = rows.sparkSession.createDataFrame(met.distinct().collect(), met.schema)  # n rows of two numbers
+        drawn = drawn.join(F.broadcast(chosen), ["doc_id", "turn"], "left_semi")
+    drawn = drawn.select("text", "turn").orderBy("turn").limit(n)
     before = F.sum(F.length("text")).over(Window.orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1))  # n rows
     drawn = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_chars)
     return [r["text"] for r in drawn.orderBy("turn", "text").select("text").collect()]
@@ -111,13 +120,13 @@ def train(
     said = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     n, p = said["n"] or 0, said["p"] or 0
     prior = min(max(p / n, 0.01), 0.6) if n else 0.1
-    toxic = docs.select("doc_id", "text").join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    toxic = known.where("toxic = 1").select("doc_id")
     places: dict[str, int] = {}
 
     def numbered(texts: list[str]) -> list[np.ndarray]:
         return [np.array([places.setdefault(w, len(places)) for w in sorted(features_of(t))], dtype=np.int32) for t in texts]
 
-    positive = numbered(draw(toxic, max_positive, p, positive_chars))
+    positive = numbered(draw(docs.select("doc_id", "text"), max_positive, p, positive_chars, toxic))
     unlabelled = numbered(draw(docs.select("doc_id", "text"), max_unlabelled, docs.count(), unlabelled_chars))
     return nn_pu_fit(positive, unlabelled, list(places), prior)
 
