@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajecta.functions.geometry import compose, invert_affine
 from trajecta.functions.text import frame_key
 from trajecta.operators import flow as fl
 from trajecta.operators import joins
@@ -62,3 +63,12 @@ def test_points_of_crowded_cubes_meet_few_others(spark, monkeypatch):
     near = {r.point_id: (r.distance, r.near_id) for r in joins.within_radius(table(a), table(b), ["scene"], 1.0).collect()}
     assert near == {i: w for i, w in want.items() if d[i].min() <= 1.0} and len(near) == len(a) - 2
     assert sum(met) < 2 * 200 * len(a)  # all in a cube of side 1 would be 1500 a point
+
+
+def test_mean_flow_from_relative_poses(spark):
+    pose = lambda a, x: [math.cos(a), -math.sin(a), 0.0, x, math.sin(a), math.cos(a), 0.0, 0.5, 0.0, 0.0, 1.0, 0.0]
+    rows = [(i, pose(0.1 * i, 0.2), pose(0.3, 0.1 * i), float(u), 8.0, 2.0 + u, 40.0, 36.0, 16.0, 12.0) for i in range(3) for u in (0, 8, 16)]
+    both = spark.createDataFrame(rows, "i int, cur array<double>, ref array<double>, u double, v double, depth double, fx double, fy double, cx double, cy double")
+    rel = both.withColumn("rel", compose(invert_affine(F.col("ref")), F.col("cur"))).drop("cur", "ref")
+    want, got = ({r.i: (r.flow, r.n_valid) for r in fl.mean_flow(p, ["i"]).collect()} for p in (both, rel))
+    assert got == want and all(n == 3 and f > 0 for f, n in got.values())

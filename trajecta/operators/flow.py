@@ -25,10 +25,15 @@ def _moved(m: Column, fx: Column, fy: Column, cx: Column, cy: Column, depth: Col
 
 
 def mean_flow(pixels: DataFrame, by: list[str], stride: int = 8, intrinsics: tuple[str, ...] = ("fx", "fy", "cx", "cy")) -> DataFrame:
-    """Mean length of the flow from pose `cur` to pose `ref` over every stride-th pixel u, v of positive depth; 0 where none is valid."""
+    """Mean length of the flow over every stride-th pixel u, v of positive depth; 0 where none is valid.
+
+    Pixels have the poses `cur` and `ref`, from which to which they flow, or `rel`, their relative
+    pose, which then is composed once a frame and not once a pixel.
+    """
     fx, fy, cx, cy = map(F.col, intrinsics)
     kept = pixels.where((F.col("u") % stride == 0) & (F.col("v") % stride == 0))
-    z, flow = _moved(compose(invert_affine(F.col("ref")), F.col("cur")), fx, fy, cx, cy, F.col("depth"))
+    rel = F.col("rel") if "rel" in pixels.columns else compose(invert_affine(F.col("ref")), F.col("cur"))
+    z, flow = _moved(rel, fx, fy, cx, cy, F.col("depth"))
     out = kept.select(*by, "depth", z.alias("_z"), flow.alias("_flow"))
     fine = (F.col("depth") > 1e-6) & (F.col("_z") > 1e-6)
     return out.groupBy(*by).agg(F.coalesce(F.avg(F.when(fine, F.col("_flow"))), F.lit(0.0)).alias("flow"), F.count_if(fine).alias("n_valid"))

@@ -37,7 +37,8 @@ def flow_steps(spark, d):
     """Mean flow of every frame against the one before it."""
     steps = consecutive(_sampled(spark, d), ["scene"], "frame_idx", ["pose"])
     cells = F.explode(F.arrays_zip("u", "v", "depth")).alias("c")
-    rows = steps.select("scene", "frame_idx", F.col("pose").alias("cur"), F.col("p_pose").alias("ref"), cells).select("scene", "frame_idx", "cur", "ref", "c.*")
+    rel = compose(invert_affine(F.col("p_pose")), F.col("pose"))
+    rows = steps.select("scene", "frame_idx", rel.alias("rel"), "u", "v", "depth").select("scene", "frame_idx", "rel", cells).select("scene", "frame_idx", "rel", "c.*")
     rows = rows.withColumns(dict(zip(("fx", "fy", "cx", "cy"), map(F.lit, CAMERA), strict=True)))
     return rounded(fl.mean_flow(rows, ["scene", "frame_idx"]), 4)
 
