@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trajecta.functions.geometry import compose, invert_affine
 from trajecta.functions.text import frame_key
 from trajecta.operators import flow as fl
-from trajecta.operators import joins
+from trajecta.operators import joins, tiles
 from trajecta.plans import registry
 
 
@@ -72,3 +72,12 @@ def test_mean_flow_from_relative_poses(spark):
     rel = both.withColumn("rel", compose(invert_affine(F.col("ref")), F.col("cur"))).drop("cur", "ref")
     want, got = ({r.i: (r.flow, r.n_valid) for r in fl.mean_flow(p, ["i"]).collect()} for p in (both, rel))
     assert got == want and all(n == 3 and f > 0 for f, n in got.values())
+
+
+def test_tiles_relaxed_together_are_those_relaxed_one_by_one():
+    rnd, side = random.Random(8), 5
+    cells = [[k for k in range((side + 2) ** 2) if rnd.random() < share] for share in (0.0, 0.5, 0.8, 1.0) for _ in range(5)]
+    seeds = [[{"x": float(k % 7), "y": float(k // 7), "cost": rnd.random() * 9} for k in rnd.sample(own, min(3, len(own)))] for own in cells]
+    together = tiles.relax_together(cells, seeds, side)
+    for k, own in enumerate(cells):
+        assert np.allclose(together[k], tiles.TileCosts(own, side).relax([(int(s["x"]), int(s["y"]), s["cost"]) for s in seeds[k]]))

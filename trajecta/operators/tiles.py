@@ -102,18 +102,51 @@ def _work(asked: DataFrame, tiles: DataFrame, known: DataFrame, by: list[str], s
     return asked.join(tiles, [*by, "tx", "ty"]).join(seeds, ["request_id", *by, "tx", "ty"])
 
 
+#: cells of tiles that are relaxed in one go
+AT_ONCE = 1 << 18
+
+
+def relax_together(cells: list, seeds: list, side: int) -> np.ndarray:
+    """TileCosts.relax of several tiles, as (tiles, y, x): sweeps over all of them until no cost falls."""
+    n = side + 2
+    free, cost = np.zeros((len(cells), n * n), dtype=bool), np.full((len(cells), n, n), np.inf)
+    for k, (own, known) in enumerate(zip(cells, seeds, strict=True)):
+        free[k, np.asarray(own, dtype=np.int64)] = True
+        for s in known:
+            x, y = int(s["x"]), int(s["y"])
+            cost[k, y, x] = min(cost[k, y, x], s["cost"])
+    free, moves, inner = free.reshape(-1, n, n), [], slice(1, n - 1)
+    for dx, dy in STEPS:
+        ys, xs = slice(1 + dy, n - 1 + dy), slice(1 + dx, n - 1 + dx)
+        allowed = free[:, inner, inner] & free[:, ys, xs]
+        if dx and dy:
+            allowed = allowed & free[:, inner, xs] & free[:, ys, inner]
+        moves.append((ys, xs, np.where(allowed, math.hypot(dx, dy), np.inf)))
+    inside = cost[:, inner, inner]
+    while True:
+        before = inside.copy()
+        for ys, xs, w in moves:
+            np.minimum(inside, cost[:, ys, xs] + w, out=inside)
+        if not (inside < before - EPS).any():
+            return cost
+
+
 def _relax_tiles(side: int, by: list[str], columns: list[str]):
+    together = max(1, AT_ONCE // (side + 2) ** 2)
+    rim = np.zeros((side + 2, side + 2), dtype=bool)
+    rim[1, 1:-1] = rim[-2, 1:-1] = rim[1:-1, 1] = rim[1:-1, -2] = True
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                cost = TileCosts(row["cells"], side).relax([(int(s["x"]), int(s["y"]), s["cost"]) for s in row["seeds"]])
-                rim = np.zeros(cost.shape, dtype=bool)
-                rim[1, 1:-1] = rim[-2, 1:-1] = rim[1:-1, 1] = rim[1:-1, -2] = True
-                gx, gy = row["gx"] - row["tx"] * side + 1, row["gy"] - row["ty"] * side + 1
-                if 1 <= gx <= side and 1 <= gy <= side:
-                    rim[gy, gx] = True
-                y, x = np.nonzero(rim & np.isfinite(cost))
-                out = {c: row[c] for c in ("request_id", *by)} | {"px": x - 1 + row["tx"] * side, "py": y - 1 + row["ty"] * side, "cost": cost[y, x]}
+            for at in range(0, len(batch), together):
+                rows = batch.iloc[at : at + together].reset_index(drop=True)
+                cost = relax_together(rows["cells"].tolist(), rows["seeds"].tolist(), side)
+                told = np.repeat(rim[None], len(rows), axis=0)
+                gx, gy = (rows[g].to_numpy() - rows[t].to_numpy() * side + 1 for g, t in (("gx", "tx"), ("gy", "ty")))
+                own = np.flatnonzero((gx >= 1) & (gx <= side) & (gy >= 1) & (gy <= side))
+                told[own, gy[own].astype(np.int64), gx[own].astype(np.int64)] = True
+                k, y, x = np.nonzero(told & np.isfinite(cost))
+                out = {c: rows[c].to_numpy()[k] for c in ("request_id", *by)} | {"px": x - 1 + rows["tx"].to_numpy()[k] * side, "py": y - 1 + rows["ty"].to_numpy()[k] * side, "cost": cost[k, y, x]}
                 yield pd.DataFrame(out, columns=columns)
 
     return run
@@ -146,12 +179,15 @@ def tiled_costs(requests: DataFrame, tiles: DataFrame, by: list[str], side: int)
 
 
 def _trace_tiles(side: int, by: list[str], columns: list[str]):
+    together = max(1, AT_ONCE // (side + 2) ** 2)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                tile = TileCosts(row["cells"], side)
-                cost = tile.relax([(int(s["x"]), int(s["y"]), s["cost"]) for s in row["seeds"]])
+            out, rows, costs = [], batch.to_dict("records"), []
+            for k, row in enumerate(rows):
+                if k % together == 0:
+                    costs = relax_together(*[[r[c] for r in rows[k : k + together]] for c in ("cells", "seeds")], side)
+                tile, cost = TileCosts(row["cells"], side), costs[k % together]
                 ox, oy = row["tx"] * side - 1, row["ty"] * side - 1
                 cells, on = tile.trace(cost, int(row["px"] - ox), int(row["py"] - oy))
                 to = (on[0] + ox, on[1] + oy) if on else (None, None)
