@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.functions.geometry import compose, invert_affine
+from trajecta.functions.geometry import compose, invert_affine, slerp
 from trajecta.functions.text import frame_key
 from trajecta.operators import flow as fl
 from trajecta.operators import grids, joins, tiles
@@ -102,3 +102,17 @@ def test_shortest_costs_without_joins_of_cells(spark, monkeypatch):
     near = {tuple(r)[:3]: r.cost for r in grids.shortest_costs(moves, (0, 0), ["m"], rounds=1).collect()}
     assert near == {(1, 0, 0): 0.0} | {(1, x, y): math.hypot(x, y) for _, a, b, x, y in steps if (a, b) == (0, 0)}
     assert grids.shortest_costs(moves.where("m > 5"), (0, 0), ["m"]).isEmpty()
+
+
+def test_slerp_names_its_angle_once(spark):
+    quats = [(0.0, 0.0, math.sin(a), math.cos(a)) for a in (0.0, 0.001, 0.4, 1.2, 3.0)]
+    df = spark.createDataFrame([(i, j, {"x": p[0], "y": p[1], "z": p[2], "w": p[3]}, {"x": q[0], "y": q[1], "z": q[2], "w": q[3]}) for i, p in enumerate(quats) for j, q in enumerate(quats)],
+                               "i int, j int, p struct<x:double,y:double,z:double,w:double>, q struct<x:double,y:double,z:double,w:double>")
+    out = df.select("i", "j", slerp(F.col("p"), F.col("q"), F.lit(0.25)).alias("s"))
+    assert out._jdf.queryExecution().analyzed().toString().count("ACOS(") == 1  # it was named 80 times
+    for r in out.collect():
+        a, b = np.array(quats[r.i]), np.array(quats[r.j])
+        b = -b if a @ b < 0 else b
+        t = math.acos(min(a @ b, 1.0))
+        want = 0.75 * a + 0.25 * b if a @ b > 0.9995 else (math.sin(0.75 * t) * a + math.sin(0.25 * t) * b) / math.sin(t)
+        assert list(r.s) == pytest.approx((want / np.linalg.norm(want)).tolist(), abs=1e-12)
