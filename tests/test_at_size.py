@@ -116,3 +116,28 @@ def test_slerp_names_its_angle_once(spark):
         t = math.acos(min(a @ b, 1.0))
         want = 0.75 * a + 0.25 * b if a @ b > 0.9995 else (math.sin(0.75 * t) * a + math.sin(0.25 * t) * b) / math.sin(t)
         assert list(r.s) == pytest.approx((want / np.linalg.norm(want)).tolist(), abs=1e-12)
+
+
+def test_aligned_errors_broadcast_no_frames(spark):
+    from trajecta.operators.alignment import trajectory_errors
+
+    rnd = random.Random(8)
+    turn = lambda a, x, y: [math.cos(a), -math.sin(a), 0.0, x, math.sin(a), math.cos(a), 0.0, y, 0.0, 0.0, 1.0, 0.0]
+    flat = [0.0] * 12
+    rows = [(s, i, turn(rnd.random(), rnd.random(), rnd.random()), flat if (s, i) == (2, 3) else turn(rnd.random(), rnd.random(), rnd.random())) for s in (1, 2) for i in range(6)]
+    rows += [(3, 0, turn(1.0, 2.0, 3.0), turn(1.0, 2.0, 4.0)), (None, 0, rows[0][2], rows[0][3]), (None, 1, rows[1][2], rows[1][3])]
+    df = spark.createDataFrame(rows, "s int, frame_idx int, gt array<double>, pred array<double>")
+    out = trajectory_errors(df, ["s"])
+    got = {r.s: r for r in out.collect()}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()  # it took the frames where their shuffle was small
+    assert set(got) == {1, 2, 3} and got[3].rpe_trans is None and got[3].n_frames == 1
+    plain = {r.s: r for r in trajectory_errors(df, ["s"], aligned=False).collect()}
+    assert plain[None].n_frames == 2 and plain[None].rpe_trans is None
+    poses = {(s, i): [np.vstack([np.array(m).reshape(3, 4), [0, 0, 0, 1]]) for m in (g, p)] for s, i, g, p in rows}
+    lengths = []
+    for i in range(1, 6):
+        (g0, p0), (g1, p1) = poses[1, i - 1], poses[1, i]
+        e = np.linalg.inv(np.linalg.inv(g0) @ g1) @ np.linalg.inv(p0) @ p1
+        lengths.append(np.linalg.norm(e[:3, 3]))
+    assert plain[1].rpe_trans == pytest.approx(math.sqrt(np.mean(np.square(lengths))))
+    assert plain[1].ate == pytest.approx(math.sqrt(np.mean([((poses[1, i][0] - poses[1, i][1])[:3, 3] ** 2).sum() for i in range(6)])))

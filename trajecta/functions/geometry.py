@@ -87,6 +87,22 @@ def _invert_affine(m: Column, det: Column) -> Column:
     return F.when(det.isNotNull(), pose(*cells))
 
 
+def inverse_turn(m: Column, det: Column) -> Column:
+    """The inverse of R by the adjugate, as nine numbers; null where the determinant is."""
+    at = lambda i, j: r(m, i % 3, j % 3)
+    cells = [(at(j + 1, i + 1) * at(j + 2, i + 2) - at(j + 1, i + 2) * at(j + 2, i + 1)) / det for i in range(3) for j in range(3)]
+    return F.when(det.isNotNull(), F.array(*cells))
+
+
+def relative_parts(turn: Column, a: Column, b: Column) -> Column:
+    """relative(a, b) from the inverse turn of a, all plain columns."""
+    cells = []
+    for i in range(3):
+        for j in range(4):
+            cells.append(sum((turn[3 * i + k] * (r(b, k, j) - r(a, k, 3) if j == 3 else r(b, k, j)) for k in range(1, 3)), turn[3 * i] * (r(b, 0, j) - r(a, 0, 3) if j == 3 else r(b, 0, j))))
+    return pose(*cells)
+
+
 def relative(a: Column, b: Column) -> Column:
     """D12, canonical: inverse(A) after B."""
     return compose(invert_affine(a), b)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajecta.functions.geometry import compose, finite_pose, invert_affine, r, rotation_error, transform_point
-from trajecta.operators.joins import consecutive, within_radius
+from trajecta.functions.geometry import compose_parts, determinant, finite_pose, inverse_turn, r, relative_parts, rotation_error, transform_point
+from trajecta.operators.joins import within_radius
 from trajecta.operators.metrics import rms, umeyama_statistics
 
 
@@ -58,19 +60,21 @@ def trajectory_errors(poses: DataFrame, by: list[str], aligned: bool = True) ->
     fine = poses.where(finite_pose(F.col("gt")) & finite_pose(F.col("pred")))
     if aligned:
         spots = fine.select(*by, *[r(F.col(p), i, 3).alias(f"{q}{c}") for p, q in (("pred", "s"), ("gt", "t")) for i, c in enumerate("xyz")])
-        fine = fine.join(align(spots, by), by)
-        scaled = F.array(*[F.col("pred")[i] * F.col("scale") if i % 4 == 3 else F.col("pred")[i] for i in range(12)])
-        fine = fine.withColumn("pred", compose(F.col("align"), scaled))
+        fine = fine.join(align(spots, by).hint("merge"), by)  # frames of many scenes are small enough in a shuffle to be broadcast, and must not be
+        fine = fine.withColumn("_scaled", F.array(*[F.col("pred")[i] * F.col("scale") if i % 4 == 3 else F.col("pred")[i] for i in range(12)]))
+        fine = fine.withColumn("pred", compose_parts(F.col("align"), F.col("_scaled")))
     d = F.sqrt(sum(((r(F.col("gt"), i, 3) - r(F.col("pred"), i, 3)) ** 2 for i in range(3)), F.lit(0.0)))
-    ate = fine.withColumn("d", d).groupBy(*by).agg(rms(F.col("d")).alias("ate"), F.count(F.lit(1)).alias("n_frames"))
-    steps = consecutive(fine, by, "frame_idx", ["gt", "pred"])
-    g = compose(invert_affine(F.col("p_gt")), F.col("gt"))
-    p = compose(invert_affine(F.col("p_pred")), F.col("pred"))
-    steps = steps.withColumn("e", compose(invert_affine(g), p))
+    before = lambda c: F.lag(c).over(Window.partitionBy(*by).orderBy("frame_idx"))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], before("frame_idx").isNotNull())
+    steps = fine.select(*by, "gt", "pred", d.alias("d"), known.alias("_known"), before("gt").alias("p_gt"), before("pred").alias("p_pred"))
+    # a product of plain columns a projection: small enough to be compiled, and each is computed once
+    for name, a, b in (("g", "p_gt", "gt"), ("p", "p_pred", "pred"), ("e", "g", "p")):
+        steps = steps.withColumn("_det", F.nullif(determinant(F.col(a)), F.lit(0.0))).withColumn("_turn", inverse_turn(F.col(a), F.col("_det")))
+        steps = steps.withColumn(name, relative_parts(F.col("_turn"), F.col(a), F.col(b)))
     length = F.sqrt(r(F.col("e"), 0, 3) ** 2 + r(F.col("e"), 1, 3) ** 2 + r(F.col("e"), 2, 3) ** 2)
     angle = rotation_error(F.col("e"), F.array(*[F.lit(1.0 if i in (0, 5, 10) else 0.0) for i in range(12)]))
-    rpe = steps.select(*by, length.alias("l"), angle.alias("a")).groupBy(*by).agg(rms(F.col("l")).alias("rpe_trans"), rms(F.col("a")).alias("rpe_rot"))
-    return ate.join(rpe, by, "left")
+    steps = steps.select(*by, "d", F.when(F.col("_known"), length).alias("l"), F.when(F.col("_known"), angle).alias("a"))
+    return steps.groupBy(*by).agg(rms(F.col("d")).alias("ate"), F.count(F.lit(1)).alias("n_frames"), rms(F.col("l")).alias("rpe_trans"), rms(F.col("a")).alias("rpe_rot"))
 
 
 def icp(source: DataFrame, target: DataFrame, radius: float, rounds: int = 20, tolerance: float = 1e-6) -> tuple[list[float], float, float]:
