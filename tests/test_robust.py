@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from trajecta.operators import robust
@@ -64,3 +65,18 @@ def test_no_agreement_ends_after_the_iterations(spark):
     r = align_robust(df, ["scene"], 1e-6, iterations=300).first()
     assert r.tries >= 300 and r.n_inliers <= 3
     assert align_robust(df.limit(0), ["scene"], 0.1).collect() == []
+
+
+def test_a_batch_of_groups_is_scored_as_one_table():
+    """Small groups used to give a table each, and their overhead was most of the time; groups of null keys were not scored."""
+    rnd = random.Random(2)
+    spots = pd.DataFrame([(k, 0, *[rnd.random() for _ in range(6)]) for k in (1.0, 2.0, None) for _ in range(5)], columns=["scene", "_chunk", *robust.SPOTS])
+    still = [1.0, *np.eye(4)[:3].ravel()]
+    heads = pd.DataFrame({"scene": [1.0, None], "_chunk": [0, 0], "_h": [np.array(still * 2), np.array(still)]})
+    both = pd.concat([heads.iloc[:1], spots.iloc[:5], spots.iloc[5:10], heads.iloc[1:], spots.iloc[10:]], ignore_index=True)
+    both["_h"] = both["_h"].astype(object).where(both["_h"].notna(), None)
+    out = list(robust._score(["scene"], 0.9)([both.iloc[:4], both.iloc[4:]]))
+    assert len(out) == 2  # a table a batch
+    got = pd.concat(out).groupby(["scene", "_k"], dropna=False)["_good"].sum()
+    near = lambda rows: sum(math.dist(r[2:5], r[5:8]) < 0.9 for r in rows.itertuples(index=False))
+    assert got.tolist() == [near(spots.iloc[:5])] * 2 + [near(spots.iloc[10:])]

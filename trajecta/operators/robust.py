@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,19 @@ def fit_triples(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.concatenate([scale[:, None], np.concatenate([rot, shift[:, :, None]], axis=2).reshape(-1, 12)], axis=1)
 
 
+#: distances that are computed in one go, so that small groups take few calls
+AT_ONCE = 1 << 17
+
+
 def inliers(hypotheses: np.ndarray, source: np.ndarray, target: np.ndarray, threshold: float) -> np.ndarray:
     """Numbers of pairs nearer than the threshold, one a hypothesis."""
     out = np.zeros(len(hypotheses), dtype=np.int64)
-    for k, h in enumerate(hypotheses):
-        m = h[1:].reshape(3, 4)
-        d = h[0] * source @ m[:, :3].T + m[:, 3] - target
-        out[k] = np.count_nonzero(np.einsum("ij,ij->i", d, d) < threshold**2)
+    together = max(1, AT_ONCE // max(1, len(source)))
+    for at in range(0, len(hypotheses), together):
+        h = hypotheses[at : at + together]
+        m = h[:, 1:].reshape(-1, 3, 4)
+        d = h[:, 0, None, None] * (source @ m[:, :, :3].transpose(0, 2, 1)) + m[:, None, :, 3] - target
+        out[at : at + together] = np.count_nonzero(np.einsum("kij,kij->ki", d, d) < threshold**2, axis=1)
     return out
 
 
@@ -56,16 +63,24 @@ def tries_needed(share: float, confidence: float) -> float:
 
 
 def _propose(by: list[str], batch: int, seed: int):
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("_turn")
-        rng = np.random.default_rng([seed, len(pool)])
-        spots = pool[SPOTS].to_numpy(float)
-        picks = np.argsort(rng.random((batch, len(pool))), axis=1)[:, :3] if len(pool) <= 64 else rng.permutation(len(pool))[: len(pool) // 3 * 3].reshape(-1, 3)[:batch]
+    """Rows of a group's pool, as lists, to a row of its hypotheses; a task takes many groups at once."""
+
+    def picked(pool: np.ndarray) -> np.ndarray | None:
+        spots = pool[np.argsort(pool[:, -1], kind="stable"), :-1]
+        rng = np.random.default_rng([seed, len(spots)])
+        picks = np.argsort(rng.random((batch, len(spots))), axis=1)[:, :3] if len(spots) <= 64 else rng.permutation(len(spots))[: len(spots) // 3 * 3].reshape(-1, 3)[:batch]
         if picks.shape[1] < 3:
-            return pd.DataFrame(columns=[*by, "_h"])
+            return None
         h = fit_triples(spots[picks][:, :, :3], spots[picks][:, :, 3:])
-        h = h[np.isfinite(h).all(axis=1)]
-        return pool[by].iloc[:1].assign(_h=[h.ravel().tolist()])
+        return h[np.isfinite(h).all(axis=1)].ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            lists = [rows.column(c) for c in (*SPOTS, "_turn")]
+            ends = np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))
+            found = [picked(p) for p in np.split(np.stack([c.flatten().to_numpy() for c in lists], axis=1), ends[:-1])] if len(ends) else []
+            made = pa.array(found, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in by], made], names=[*by, "_h"]).filter(made.is_valid())
 
     return run
 
@@ -76,17 +91,19 @@ def _score(by: list[str], threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, own = None, None
         for batch in batches:
-            keys = list(zip(*[batch[c].tolist() for c in by], batch["_chunk"].tolist(), strict=True))
+            keys = list(zip(*[batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in by], batch["_chunk"].tolist(), strict=True))
             starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            spots, models, ats, goods = batch[SPOTS].to_numpy(float), batch["_h"].tolist(), [], []
             for a, b in zip(starts, starts[1:], strict=False):
-                rows = batch.iloc[a:b]
-                if rows["_h"].iloc[0] is not None:
-                    held, own, rows = np.asarray(rows["_h"].iloc[0], dtype=float).reshape(-1, WIDTH), keys[a], rows.iloc[1:]
-                if not len(rows) or own != keys[a] or not len(held):
-                    continue
-                spots = rows[SPOTS].to_numpy(float)
-                out = {c: rows[c].iloc[0] for c in by} | {"_k": np.arange(len(held)), "_good": inliers(held, spots[:, :3], spots[:, 3:], threshold)}
-                yield pd.DataFrame(out)[[*by, "_k", "_good"]]
+                first = a
+                if models[a] is not None:
+                    held, own, first = np.asarray(models[a], dtype=float).reshape(-1, WIDTH), keys[a], a + 1
+                if first < b and own == keys[a] and len(held):
+                    ats.append(a)
+                    goods.append(inliers(held, spots[first:b, :3], spots[first:b, 3:], threshold))
+            if ats:
+                out = batch[by].iloc[np.repeat(ats, [len(g) for g in goods])].reset_index(drop=True)
+                yield out.assign(_k=np.concatenate([np.arange(len(g)) for g in goods]), _good=np.concatenate(goods))
 
     return run
 
@@ -122,7 +139,8 @@ def align_robust(pairs: DataFrame, by: list[str], threshold: float, iterations:
         share = F.least(F.lit(6.0 * size) / F.col("_n"), F.lit(1.0))
         met = meet_groups(rows, todo.select(*by, "_n"), by, n_groups).withColumn("_turn", F.rand(seed * 1009 + step + 1))
         pool = met.where(F.col("_turn") < share)
-        models = cut(pool.groupBy(*by).applyInPandas(_propose(by, size, seed + step), f"{kinds}_h array<double>"))
+        listed = pool.groupBy(*by).agg(*[F.collect_list(c).alias(c) for c in (*SPOTS, "_turn")])
+        models = cut(listed.mapInArrow(_propose(by, size, seed + step), f"{kinds}_h array<double>"))
         chunks = F.ceil(F.col("_n") / CHUNK).cast("int")
         given = same_groups(models, todo.select(*by, "_n"), by).select(*by, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_chunk"), "_h", *[F.lit(None).cast("double").alias(c) for c in SPOTS])
         dealt = met.select(*by, F.floor(F.rand(seed + 7) * chunks).cast("int").alias("_chunk"), F.lit(None).cast("array<double>").alias("_h"), *SPOTS)
