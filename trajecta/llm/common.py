@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajecta.llm.tokens import forget_encoders
 from trajecta.operators.lineage import shared_folder
 
 
@@ -57,8 +58,11 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def frugal(run):
-    """A function over batches that, at the end of its task, gives memory that was freed back to the system: a worker is kept for later tasks and stages, beside whose memory it would stand."""
+def frugal(run, encodes: bool = False):
+    """A function over batches that, at the end of its task, gives memory that was freed back to the system: a worker is kept for later tasks and stages, beside whose memory it would stand.
+
+    Unless it `encodes`, it first drops the encoders that tasks of an earlier stage left in the worker.
+    """
 
     def with_end(batches):
         import ctypes
@@ -66,6 +70,8 @@ def frugal(run):
         import pyarrow as pa
 
         try:
+            if not encodes:
+                forget_encoders()
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()

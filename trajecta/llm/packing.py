@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import dense_rank_slots, materialize, read_table
+from trajecta.llm.common import dense_rank_slots, frugal, materialize, read_table
 from trajecta.llm.tokens import encoder, text_batches
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long, tie long"
@@ -89,18 +89,19 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return segments
 
 
-def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache_pieces: int = 900_000) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, tie): a document's ids and end_id, cut only if longer than capacity.
 
     The first piece takes the remainder, the others are full. Null text counts as empty. `tie`
-    numbers equal rows so that repeated rows stay apart.
+    numbers equal rows so that repeated rows stay apart. A worker keeps the ids of about
+    cache_pieces pieces: fewer take less of its memory and more time, and give the same rows.
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), 0
-        enc, end = encoder(tokenizer_path, cache_pieces=900_000), np.array([end_id], dtype=np.uint32)
+        enc, end = encoder(tokenizer_path, cache_pieces), np.array([end_id], dtype=np.uint32)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             names = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
@@ -116,7 +117,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
                 yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(frugal(pieces, encodes=True), PIECE_SCHEMA)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -152,17 +153,17 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield out
 
     return ranked.drop("tie").mapInPandas(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache_pieces: int = 900_000) -> DataFrame:
     """Tokenize, cut and pack: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Null text is an empty document (its end id alone); null or repeated doc_ids and repeated
     rows are packed each as a document of its own; an empty table gives no rows.
     """
-    return pack(materialize(cut_into_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack(materialize(cut_into_pieces(docs, tokenizer_path, capacity, end_id, cache_pieces), "pieces"), capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,11 @@ def encoder(path: str, cache_pieces: int = 300_000) -> "PieceEncoder":
     return _ENCODERS[key]
 
 
+def forget_encoders() -> None:
+    """Drop this worker process's encoders with their caches, hundreds of MB, once its tasks no longer encode."""
+    _ENCODERS.clear()
+
+
 class PieceEncoder:
     """Encodes texts with `Tokenizer.encode(text, add_special_tokens=False)` results.
 
