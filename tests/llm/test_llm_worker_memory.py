@@ -42,3 +42,11 @@ def test_the_pipeline_caches_fewer_pieces_than_the_operator(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda docs, *args, **more: asked.update(more) or docs)
     corpus_pipeline.packing(spark, spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
     assert asked["cache_pieces"] <= 300_000
+
+
+def test_texts_of_known_pieces_take_one_lookup_a_piece_and_give_the_ids_of_whole_texts(encoders, monkeypatch):
+    enc, texts = tokens.encoder(PATH, 1000), ["a stone, a river\nand a stone", "stone  twice spaced", "", None, "a river"]
+    first = enc.encode_many(texts)
+    monkeypatch.setattr(enc, "_add", lambda keys: pytest.fail("nothing is new"))
+    for text, once, again in zip(texts, first, enc.encode_many(texts), strict=True):
+        assert once.tolist() == again.tolist() == enc.tokenizer.encode(text or "", add_special_tokens=False).ids

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 
@@ -56,6 +56,7 @@ class PieceEncoder:
         self.byte_chars = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in kept)}
         self.space = chr(self.byte_chars[32])
         self.by_parts = self.by_pieces and self.line is not None and (pre.get("model") or {}).get("type") == "BPE"
+        self.tokenize = self.tokenizer.model.tokenize  # each access to the model makes a new object
         self.cache_pieces = cache_pieces
         self._clear()
 
@@ -104,7 +105,7 @@ class PieceEncoder:
     def _part(self, part: str, spaced: bool) -> tuple[int, ...]:
         """Ids of one pre-token, a space before it or not, by the tokenizer's model."""
         chars = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.byte_chars)
-        return tuple([t.id for t in self.tokenizer.model.tokenize(self.space + chars if spaced else chars)])
+        return tuple([t.id for t in self.tokenize(self.space + chars if spaced else chars)])
 
     def _add(self, keys: list[str]) -> None:
         """Encode new pieces: by parts where they are letters and marks, else many in one text with line ends between them, odd ones alone."""
@@ -171,8 +172,12 @@ class PieceEncoder:
             own = self._keys(text) if text else []
             pieces += own
             counts[i] = len(own)
-        self._add(list(set(pieces).difference(self.slots)))
-        slots = np.fromiter(map(self.slots.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        slots = np.fromiter(map(self.slots.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            own = [pieces[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(own)))
+            slots[new] = np.fromiter(map(self.slots.__getitem__, own), dtype=np.int64, count=len(own))
         self.again[slots[slots < known]] = True
         sizes = self.sizes[slots]
         ends = np.cumsum(sizes)
