@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import materialize, read_table
+from trajecta.llm.common import discard, materialize, read_table
 
 # Public licence texts and the short notices in common use.
 TEMPLATES: dict[str, str] = {
@@ -83,6 +83,47 @@ def anchor_words(known: dict[str, list[str]], share: float) -> list[str]:
     return sorted(out)
 
 
+def least_words(grams: list[str], share: float) -> tuple[list[str], int]:
+    """The distinct words of a template, and how many of them whatever holds `share` of its bigrams has at least.
+
+    A bigram is held with both of its words, so the words held stand in twice as many places of
+    bigrams as there are bigrams held; the words of most places get there first.
+    """
+    places: dict[str, int] = {}
+    for word in (w for g in grams for w in g.split(" ")):
+        places[word] = places.get(word, 0) + 1
+    wanted, n = 2 * share * len(grams) - 1e-6, 0
+    for k in sorted(places.values(), reverse=True):
+        if wanted <= 0:
+            break
+        wanted, n = wanted - k, n + 1
+    return list(places), n
+
+
+def may_hold(docs: DataFrame, known: dict[str, list[str]], share: float, long: int = 256) -> DataFrame:
+    """The rows of docs(doc_id, text) with words enough, anywhere in the text, for `share` of the bigrams of any template; others hold it in no part.
+
+    Templates of over `long` bigrams are only looked for in texts that are long enough for them.
+    """
+    strings = lambda own: F.split(F.lit("\n".join(own)), "\n")
+    once = lambda x: F.explode(F.array(x))
+    words = F.split(F.lower("text"), r"[^a-z0-9\p{L}\p{N}]+")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", once(words).alias("w"))
+    kinds = [{k: v for k, v in known.items() if (len(v) > long) == big} for big in (False, True)]
+    held = F.lit(False)
+    for i, kind in enumerate(kinds):
+        if not kind:
+            continue
+        needs = [least_words(own, share) for own in kind.values()]
+        fits = F.size("w") > share * min(map(len, kind.values()))
+        found = F.array_intersect(strings(list(dict.fromkeys(w for own, _ in needs for w in own))), F.col("w"))
+        rows = rows.select("*", once(F.when(fits, found).otherwise(F.array().cast("array<string>"))).alias(f"m{i}"))
+        for own, n in needs:
+            m = F.col(f"m{i}")
+            held = held | ((F.size(m) >= n) & (F.size(F.array_intersect(strings(own), m)) >= n))
+    return rows.where(held).select("doc_id", "text")
+
+
 def scan_runs(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     """Best run of words in docs(doc_id, text) for every document and template: doc_id, license_id, dice, whole_text.
 
@@ -151,19 +192,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     b * threshold / (2 - threshold) and b * (2 - threshold) / threshold, so other templates are
     pruned before any intersection. By the same bound a unit must hold a share
     threshold / (2 - threshold) of a template's bigrams, so one of any larger remainder of
-    them: units without a word of such a remainder are pruned before bigrams are made. A unit gives its best template (the first by name on
+    them: units without a word of such a remainder are pruned before bigrams are made. Before all,
+    one scan of the texts keeps those with words enough for such a share of any template (may_hold);
+    only these are written and cut into units and runs. A unit gives its best template (the first by name on
     ties). Returned is a row for each document and licence: the highest Dice, the number of
     units, and whether the whole text is one. Licences that no unit of a document gives are looked
     for in runs of words of any place and length (scan_runs), with whole licence texts among the
     templates; n_units is then the number of rows that hold one. Null texts and units under two words match
     nothing; rows that repeat a doc_id count together; an empty table gives no rows.
     """
+    in_runs = templates or TEMPLATES | FULL_TEXTS
     known = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
     if len(known) > MAX_TEMPLATES:
         raise ValueError(f"{len(known)} templates; at most {MAX_TEMPLATES} fit an expression")
     if not known or any(not v for v in known.values()):
         raise ValueError("every template needs two words")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    docs = materialize(may_hold(docs, {k: template_bigrams(v) for k, v in (in_runs | (templates or TEMPLATES)).items()}, low), "licence-texts")
     least, most = low * min(map(len, known.values())), high * max(map(len, known.values()))
     words = F.transform(F.split(F.lower("text"), "\n"), lambda line: F.split(line, r"[^\p{L}\p{N}]+"))
     # posexplode: unit 0 is the whole text
@@ -187,7 +232,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     )
     found = materialize(found, "licence-units")
     same = F.col("r.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("r.license_id") == F.col("u.license_id"))
-    runs = scan_runs(docs, templates or TEMPLATES | FULL_TEXTS, threshold)
+    runs = scan_runs(docs, in_runs, threshold)
+    discard(docs)  # both have written what they took from it
     return found.unionByName(runs.alias("r").join(found.alias("u"), same, "left_anti"))
 
 
