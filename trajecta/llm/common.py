@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -58,6 +60,18 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system; the allocator would keep it for later."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def frugal(run, encodes: bool = False):
     """A function over batches that, at the end of its task, gives memory that was freed back to the system: a worker is kept for later tasks and stages, beside whose memory it would stand.
 
@@ -65,19 +79,29 @@ def frugal(run, encodes: bool = False):
     """
 
     def with_end(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         try:
             if not encodes:
                 forget_encoders()
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
+
+    return with_end
+
+
+def frugal_on_driver(run):
+    """A function that runs on the driver, such as a fit over a sample, after which the memory of what it held goes back to the system.
+
+    Frames of plans that only cycles of references still hold go too, with what the JVM keeps for them.
+    """
+
+    @functools.wraps(run)
+    def with_end(*args, **more):
+        try:
+            return run(*args, **more)
+        finally:
+            gc.collect()
+            give_back()
 
     return with_end
 

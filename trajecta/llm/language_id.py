@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import frugal, id_fold, read_table
+from trajecta.llm.common import frugal, frugal_on_driver, id_fold, read_table
 
 ORDER = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -241,6 +241,7 @@ def sample_texts(labelled: DataFrame, per_lang: int, max_chars: int) -> dict[str
     return out
 
 
+@frugal_on_driver
 def train(labelled: DataFrame, per_lang: int = 500, max_chars: int = 1_000_000) -> Model | None:
     """Fit on four fifths of a bounded sample of labelled(text, lang) and calibrate on the rest; None without labels."""
     drawn = sample_texts(labelled, per_lang, max_chars)

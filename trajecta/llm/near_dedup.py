@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import connected_components, counted, discard, frugal, hot_join, hot_keys, materialize, read_table
+from trajecta.llm.common import connected_components, counted, discard, frugal, frugal_on_driver, hot_join, hot_keys, materialize, read_table
 from trajecta.llm.tokens import text_batches
 
 #: 72 bands of 8 rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8**8)**72 < 2e-6.
@@ -301,6 +301,7 @@ def compare_buckets(members: DataFrame, sets: DataFrame, percent: int, block: in
     return dealt.groupBy("lot").applyInPandas(compare, "a long, b long")
 
 
+@frugal_on_driver
 def near_duplicates(
     docs: DataFrame, percent: int = 80, width: int = 4, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 2
 ) -> DataFrame:

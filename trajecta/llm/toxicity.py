@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import frugal, id_fold, read_table
+from trajecta.llm.common import frugal, frugal_on_driver, id_fold, read_table
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
@@ -107,6 +107,7 @@ def draw(rows: DataFrame, n: int, count: int, max_chars: int, only: DataFrame |
     return [r["text"] for r in drawn.orderBy("turn", "text").select("text").collect()]
 
 
+@frugal_on_driver
 def train(
     docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000, positive_chars: int = 6_000_000, unlabelled_chars: int = 18_000_000
 ) -> Classifier:
